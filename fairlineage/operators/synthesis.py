@@ -22,10 +22,14 @@ from .modules import merge_modules, merge_twins, prime_modules, twins
 ABLATIONS = {"no-horizontal": "or", "no-vertical": "and", "no-hybrid": "hybrid"}
 
 
+SEARCH_ABOVE = 12  # so many terms or owners have at most 2^12 unions: cheaper to solve than to split
+
+
 @dataclass
 class Step:
-    """One round of merging: ``groups(game_id, kind, rep, child)`` and, for hybrid groups, their own
-    functions ``quotients(game_id, rep, term)``. After the round ``rep`` stands for the group."""
+    """One round of merging: ``groups(game_id, kind, rep, child, born)`` and, for hybrid groups,
+    their own functions ``quotients(game_id, rep, term)``. After the round ``rep`` stands for the
+    group; ``born`` is the round that made the child, null for an owner."""
 
     groups: DataFrame
     quotients: DataFrame | None = None
@@ -37,23 +41,52 @@ class Decomposition:
     steps: list[Step]
 
 
-def decompose(dnf: DataFrame) -> Decomposition:
-    """Take minimised games that are neither TRUE nor FALSE apart until one element is left."""
-    source = cut(dnf.where(F.size("term") > 0).select(*D.KEYS))
+def _with_born(groups: DataFrame, steps: list[Step]) -> DataFrame:
+    if not steps:
+        return groups.withColumn("born", F.lit(None).cast("int"))
+    made = None
+    for i, step in enumerate(steps):
+        reps = step.groups.where("child = rep").select("game_id", F.col("rep").alias("child"), F.lit(i).alias("_i"))
+        made = reps if made is None else made.unionByName(reps)
+    latest = made.groupBy("game_id", "child").agg(F.max("_i").alias("born"))
+    return groups.join(latest, ["game_id", "child"], "left").select("game_id", "kind", "rep", "child", "born")
+
+
+def decompose(dnf: DataFrame, search_above: int = 0) -> Decomposition:
+    """Take minimised games that are neither TRUE nor FALSE apart until one element is left.
+
+    Twin-free rests (kernels) with at most ``search_above`` terms or elements are not searched for
+    modules but taken as one function of their elements; values do not change by that.
+    """
+    source, seen = cut(dnf.where(F.size("term") > 0).select(*D.KEYS), n=F.count(F.lit(1)))
+    games = source.agg(F.count_distinct("game_id")).first()[0]
+    size = {"rows": F.count(F.lit(1)), "widest": F.max(F.size("term"))}
     work, steps = source, []
-    while True:
-        groups, seen = cut(twins(work), n=F.count(F.lit(1)))
-        if seen["n"]:
+    while seen["n"]:
+        groups, found = cut(_with_born(twins(work), steps), n=F.count(F.lit(1)))
+        if found["n"]:
             steps.append(Step(groups))
-            work = cut(merge_twins(work, groups))
+            work, now = cut(merge_twins(work, groups), **size)
+            if now["rows"] == games and now["widest"] == 1:
+                break
             continue
-        left = work.groupBy("game_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("term")).alias("m"))
-        kernel, seen = cut(work.join(left.where("n > 1 or m > 1"), "game_id", "left_semi"), n=F.count(F.lit(1)))
-        if not seen["n"]:
-            return Decomposition(source, steps)
-        groups, quotients, work = merge_modules(kernel, cut(prime_modules(kernel)))
-        steps.append(Step(cut(groups), cut(quotients)))
-        work = cut(work)
+        left = D.members(work).groupBy("game_id").agg(
+            F.least(F.count_distinct("term"), F.count_distinct("owner_id")).alias("_n"),
+            F.count_distinct("owner_id").alias("_o")).where("_o > 1").drop("_o")
+        kernel, found = cut(work.join(left, "game_id"), n=F.count(F.lit(1)), most=F.max("_n"))
+        if not found["n"]:
+            break
+        small = kernel.where(F.col("_n") <= search_above)
+        modules = D.variables(small).groupBy("game_id").agg(F.sort_array(F.collect_list("owner_id")).alias("members"))
+        if found["most"] > search_above:
+            modules = modules.unionByName(prime_modules(cut(kernel.where(F.col("_n") > search_above).select(*D.KEYS))))
+        groups, quotients, work = merge_modules(kernel.select(*D.KEYS), cut(modules))
+        steps.append(Step(cut(_with_born(groups, steps)), cut(quotients)))
+        games = kernel.agg(F.count_distinct("game_id")).first()[0]
+        work, now = cut(work, **size)
+        if now["rows"] == games and now["widest"] == 1:
+            break
+    return Decomposition(source, steps)
 
 
 # --- the tree as tables -----------------------------------------------------------------------
@@ -170,33 +203,33 @@ def ablate(d: Decomposition, ablation: str) -> Decomposition:
     kind = ABLATIONS[ablation]
     where = D.variables(d.dnf).groupBy("game_id").agg(F.min("owner_id").alias("elem")).withColumns(
         {"leaf_step": F.lit(None).cast("int"), "leaf_rep": F.lit(None).cast("bigint")})
-    covered = []  # per step: the groups that stay
     for i in reversed(range(len(d.steps))):
-        groups = d.steps[i].groups.withColumnRenamed("rep", "elem")
+        groups = d.steps[i].groups.select("game_id", "kind", F.col("rep").alias("elem"), "child")
         hit = F.col("leaf_step").isNull() & (F.col("kind") == kind)
         where = where.join(groups, ["game_id", "elem"], "left").select(
             "game_id", F.coalesce("child", "elem").alias("elem"),
             F.when(hit, F.lit(i)).otherwise(F.col("leaf_step")).alias("leaf_step"),
             F.when(hit, F.col("elem")).otherwise(F.col("leaf_rep")).alias("leaf_rep"))
-        where, seen = cut(where, n=F.count("leaf_step"))
-        inside = where.where("leaf_step is not null").select("game_id", F.col("elem").alias("child"))
-        covered.append(d.steps[i].groups.join(inside, ["game_id", "child"], "left_anti") if seen["n"]
-                       else d.steps[i].groups)
-    covered.reverse()
-    leaves = where.where("leaf_step is not null").select(
-        "game_id", F.col("elem").alias("owner_id"), "leaf_step", F.col("leaf_rep").alias("rep"))
+    leaves = cut(where.where("leaf_step is not null").select(
+        "game_id", F.col("elem").alias("owner_id"), "leaf_step", F.col("leaf_rep").alias("rep")))
     functions = cut(D.members(d.dnf).join(leaves, ["game_id", "owner_id"]).groupBy(*D.KEYS, "leaf_step", "rep").agg(
         F.sort_array(F.collect_list("owner_id")).alias("_q")).select(
         "game_id", "leaf_step", "rep", F.col("_q").alias("term")).distinct())
     steps = []
-    for i, groups in enumerate(covered):
+    for i, step in enumerate(d.steps):
+        # an element is named by its least owner: what that owner is covered by, covers the element
+        inside = leaves.where(F.col("leaf_step") >= i).select("game_id", F.col("owner_id").alias("child"))
+        groups = step.groups.join(inside, ["game_id", "child"], "left_anti")
         here = leaves.where(F.col("leaf_step") == i).select(
-            "game_id", F.lit("hybrid").alias("kind"), "rep", F.col("owner_id").alias("child"))
+            "game_id", F.lit("hybrid").alias("kind"), "rep", F.col("owner_id").alias("child"),
+            F.lit(None).cast("int").alias("born"))
         terms = functions.where(F.col("leaf_step") == i).select("game_id", "rep", "term")
-        old = d.steps[i].quotients
-        if old is not None:
-            terms = terms.unionByName(old.join(groups.select("game_id", "rep").distinct(), ["game_id", "rep"], "left_semi"))
-        steps.append(Step(cut(groups.select("game_id", "kind", "rep", "child").unionByName(here)), cut(terms)))
+        if step.quotients is not None:
+            hybrid = groups.where("kind = 'hybrid'").select("game_id", "rep").distinct()
+            terms = terms.unionByName(step.quotients.join(hybrid, ["game_id", "rep"], "left_semi"))
+        groups = cut(groups.select("game_id", "kind", "rep", "child", "born").unionByName(here))
+        terms, seen = cut(terms, n=F.count(F.lit(1)))
+        steps.append(Step(groups, terms if seen["n"] else None))
     return Decomposition(d.dnf, steps)
 
 
@@ -208,17 +241,20 @@ def _log_complement(log_v: Column) -> Column:
     return F.coalesce(F.ln(-F.expm1(log_v)), F.lit(-745.0))
 
 
-def _union_rows(step: Step, state: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Hybrid groups at every node: (game_id, rep, q, members, coeff, child, lv, product)."""
+def _union_rows(step: Step, values: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Hybrid groups at every node: (game_id, rep, q, members, coeff, child, born, lv, _sum)."""
     keyed = step.quotients.select(F.struct("game_id", "rep").alias("game_id"), "term")
     states = union_states(keyed).select("game_id.*", "members", "coeff")
+    kids = step.groups.where("kind = 'hybrid'").select("game_id", "rep", "child", "born")
     rows = (
-        states.withColumn("child", F.explode("members")).join(nodes, "game_id")
-        .join(state.select("game_id", F.col("elem").alias("child"), "q", "lv"), ["game_id", "child", "q"], "left")
+        states.withColumn("child", F.explode("members")).join(kids, ["game_id", "rep", "child"])
+        .join(nodes, "game_id")
+        .join(values.select("game_id", F.col("elem").alias("child"), F.col("step").alias("born"), "q", "lv"),
+              ["game_id", "child", "born", "q"], "left")
         .withColumn("lv", F.coalesce("lv", F.ln("t"))))
     whole = rows.groupBy("game_id", "rep", "members", "coeff", "q").agg(F.sum("lv").alias("_sum"))
     return rows.join(whole, ["game_id", "rep", "members", "coeff", "q"]).select(
-        "game_id", "rep", "q", "members", "coeff", "child", "lv", "_sum")
+        "game_id", "rep", "q", "members", "coeff", "child", "born", "lv", "_sum")
 
 
 def synthesise(d: Decomposition) -> DataFrame:
@@ -229,56 +265,48 @@ def synthesise(d: Decomposition) -> DataFrame:
     """
     games = D.owner_counts(d.dnf).withColumnRenamed("owners", "n")
     nodes = cut(nodes_for(games))
-    empty = nodes.select("game_id", F.lit(0).cast("bigint").alias("elem"), "q", F.lit(0.0).alias("lv"),
-                         F.lit(0.0).alias("lw")).where(F.lit(False))
-    state, known = empty, empty.select("game_id", "elem")
+    values = nodes.select("game_id", F.lit(0).cast("bigint").alias("elem"), F.lit(0).alias("step"), "q",
+                          F.lit(0.0).alias("lv"), F.lit(0.0).alias("lw")).where(F.lit(False))
     factors, owners = [], []
     for i, step in enumerate(d.steps):
-        kids = step.groups.join(known.withColumn("_known", F.lit(True)).withColumnRenamed("elem", "child"),
-                                ["game_id", "child"], "left").withColumn("var", F.col("_known").isNull()).drop("_known")
-        kids = cut(kids)
-        plain = kids.where("kind <> 'hybrid'")
+        plain = step.groups.where("kind <> 'hybrid'")
         # owners of an AND/OR group count once, with their number
-        single = plain.where("var").groupBy("game_id", "kind", "rep").agg(F.count(F.lit(1)).alias("c")).join(
-            nodes, "game_id").select(
+        single = plain.where("born is null").groupBy("game_id", "kind", "rep").agg(
+            F.count(F.lit(1)).alias("c")).join(nodes, "game_id").select(
             "game_id", "kind", "rep", F.lit(None).cast("bigint").alias("child"), "q",
             F.ln("t").alias("lv"), F.ln(1 - F.col("t")).alias("lw"), "c")
-        merged = plain.where("not var").join(
-            state.withColumnRenamed("elem", "child"), ["game_id", "child"]).select(
+        merged = plain.where("born is not null").join(
+            values.withColumnsRenamed({"elem": "child", "step": "born"}), ["game_id", "child", "born"]).select(
             "game_id", "kind", "rep", "child", "q", "lv", "lw", F.lit(1).cast("bigint").alias("c"))
-        parts = cut(single.unionByName(merged))
+        parts = cut(single.unionByName(merged) if i else single)
         total = parts.groupBy("game_id", "kind", "rep", "q").agg(
             F.sum(F.col("c") * F.col("lv")).alias("_v"), F.sum(F.col("c") * F.col("lw")).alias("_w"))
         is_and = F.col("kind") == "and"
         value = total.select(
-            "game_id", F.col("rep").alias("elem"), "q",
+            "game_id", F.col("rep").alias("elem"), F.lit(i).alias("step"), "q",
             F.when(is_and, F.col("_v")).otherwise(_log_complement(F.col("_w"))).alias("lv"),
             F.when(is_and, _log_complement(F.col("_v"))).otherwise(F.col("_w")).alias("lw"))
         factor = parts.join(total, ["game_id", "kind", "rep", "q"]).select(
             "game_id", F.col("rep").alias("elem"), "q", "child", F.col("rep").alias("cls"),
             F.exp(F.when(is_and, F.col("_v") - F.col("lv")).otherwise(F.col("_w") - F.col("lw"))).alias("f"))
         if step.quotients is not None:
-            unions = cut(_union_rows(step, state, nodes))
+            unions = cut(_union_rows(step, values, nodes))
             one = unions.groupBy("game_id", "rep", "q", "members", "coeff").agg(F.first("_sum").alias("_sum"))
             v = one.groupBy("game_id", F.col("rep").alias("elem"), "q").agg(
                 F.sum(F.col("coeff") * F.exp("_sum")).alias("v"))
             value = value.unionByName(v.select(
-                "game_id", "elem", "q", F.coalesce(F.ln(F.greatest("v", F.lit(0.0))), F.lit(-745.0)).alias("lv"),
+                "game_id", "elem", F.lit(i).alias("step"), "q",
+                F.coalesce(F.ln(F.greatest("v", F.lit(0.0))), F.lit(-745.0)).alias("lv"),
                 F.coalesce(F.ln(F.greatest(1 - F.col("v"), F.lit(0.0))), F.lit(-745.0)).alias("lw")))
-            slope = unions.groupBy("game_id", "rep", "child", "q").agg(
-                F.sum(F.col("coeff") * F.exp(F.col("_sum") - F.col("lv"))).alias("f"))
-            by_child = kids.where("kind = 'hybrid'").select("game_id", "rep", "child", "var")
-            factor = factor.unionByName(slope.join(by_child, ["game_id", "rep", "child"]).select(
-                "game_id", F.col("rep").alias("elem"), "q", F.when(~F.col("var"), F.col("child")).alias("child"),
-                F.col("child").alias("cls"), "f"))
+            factor = factor.unionByName(unions.groupBy("game_id", "rep", "child", "born", "q").agg(
+                F.sum(F.col("coeff") * F.exp(F.col("_sum") - F.col("lv"))).alias("f")).select(
+                "game_id", F.col("rep").alias("elem"), "q",
+                F.when(F.col("born").isNotNull(), F.col("child")).alias("child"), F.col("child").alias("cls"), "f"))
         factors.append(factor)
-        owners.append(kids.where("var").select(
+        owners.append(step.groups.where("born is null").select(
             "game_id", F.lit(i).alias("step"), F.when(F.col("kind") == "hybrid", F.col("child")).otherwise(
                 F.col("rep")).alias("cls"), F.col("child").alias("owner_id")))
-        if i + 1 < len(d.steps):
-            gone = kids.select("game_id", F.col("child").alias("elem"))
-            state = cut(state.join(gone, ["game_id", "elem"], "left_anti").unionByName(value))
-            known = state.select("game_id", "elem").distinct()
+        values = values.unionByName(value) if i else value
     # top-down: one chain of joins; a row that has reached owners waits with its step and class
     root = D.variables(d.dnf).groupBy("game_id").agg(F.min("owner_id").alias("elem"), F.count(F.lit(1)).alias("n"))
     slope = root.where("n > 1").join(nodes, "game_id").select(
@@ -304,5 +332,5 @@ def synthesise(d: Decomposition) -> DataFrame:
 
 
 def recursive_method(dnf: DataFrame, ablation: str | None = None) -> DataFrame:
-    d = decompose(dnf)
+    d = decompose(dnf, SEARCH_ABOVE)
     return synthesise(ablate(d, ablation) if ablation else d)
