@@ -115,7 +115,7 @@ def uniform_places(records: DataFrame, owners: int, seed: int, table: str) -> Da
             lambda end: F.transform(
                 F.array((F.floor(draw(seed, f"place-{table}", F.col("row_id"), j) * end) + 1).cast("bigint")),
                 lambda pick: F.array_append(taken, F.when(F.array_contains(taken, pick), end).otherwise(pick)))[0])[0])
-    return records.select("row_id", F.explode(picks).alias("place"))
+    return records.where("copies > 0").select("row_id", F.explode(picks).alias("place"))
 
 
 GRID = 4096

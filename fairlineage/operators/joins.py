@@ -19,8 +19,8 @@ def join_along(tables: Resolver, plan: JoinPlan, with_assignment: bool, distinct
     """Join the plan's tables in order.
 
     Right columns that the left side has already get the suffix ``:<table>``; right key columns
-    are dropped. With an assignment the left key takes the right key's name and the declared join
-    type counts; without, names stay and every step is an inner join. Duplicate tuples stay unless
+    are dropped. With an assignment the left key takes the right key's name (with the suffix, if
+    that is taken) and the declared join type counts; without, names stay and every step is an inner join. Duplicate tuples stay unless
     ``distinct`` asks otherwise.
     """
     table = tables if callable(tables) else tables.__getitem__
@@ -34,7 +34,9 @@ def join_along(tables: Resolver, plan: JoinPlan, with_assignment: bool, distinct
         match = [left[f"`{a}`"] == right[keys[b]] for a, b in zip(step.left_keys, step.right_keys)]
         left = left.join(right, match, step.how if with_assignment else "inner").drop(*keys.values())
         if with_assignment:
-            left = left.withColumnsRenamed(dict(zip(step.left_keys, step.right_keys)))
+            names = set(left.columns) - set(step.left_keys)
+            left = left.withColumnsRenamed({
+                a: f"{b}:{step.table}" if b in names else b for a, b in zip(step.left_keys, step.right_keys)})
     if with_assignment:
         left = left.withColumnsRenamed(
             {c: f"{c}:{plan.init_table}" for c in _PER_ROW if c in left.columns})

@@ -71,7 +71,7 @@ def list_tables(spark: SparkSession, folder: str, suffix: str = ".csv") -> dict[
 def read_folder(spark: SparkSession, folder: str, infer: bool = False) -> dict[str, DataFrame]:
     """One table per ``*.csv`` of a folder, named by the file's stem."""
     return {
-        name: read_csv(spark, path, schema_of(name), infer)
+        name: read_csv(spark, path, None if infer else schema_of(name), infer)
         for name, path in sorted(list_tables(spark, folder).items())
     }
 
