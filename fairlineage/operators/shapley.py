@@ -159,7 +159,7 @@ def lookup(dnf: DataFrame, most: int = MOST_PLAYERS) -> DataFrame:
     counts = None
     for size in range(longest):
         losing = frontier.where(~is_winning())
-        if size:
+        if size % 4 == 3:
             losing = cut(losing)
         swings = losing.select(
             "game_id", "owners", "n",
@@ -194,11 +194,12 @@ def minimal_set_method(dnf: DataFrame) -> DataFrame:
     test = linear_test(dnf)
     easy = dnf.join(test.where("linear"), "game_id", "left_semi")
     hard = cut(dnf.join(test.where("not linear"), "game_id", "left_semi").select(*D.KEYS))
-    choice = cut(form_choice(hard))
+    choice, seen = cut(form_choice(hard), lookup=F.count_if(F.col("form") == "lookup"),
+                       combination=F.count_if(F.col("form") == "combination"))
     results = [linear(easy)]
     for form, solve in (("lookup", lookup), ("combination", combination)):
         wanted = choice.where(F.col("form") == form)
-        if wanted.isEmpty():
+        if not seen[form]:
             continue
         results.append(solve(hard.join(wanted, "game_id", "left_semi")).join(
             wanted, ["game_id", "owner_id"], "left_semi").select("game_id", "owner_id", "sv"))
