@@ -382,9 +382,9 @@ FROM tested t LEFT JOIN best b ON b.game_id = t.game_id"""
 # all modules of a game by testing all 255 sets of owners
 def _modules(dnf: str) -> str:
     return f"""every AS (SELECT game_id, bit_or(m) AS p FROM {dnf} GROUP BY game_id),
-tested AS (SELECT t.game_id, s, p, count(*) = count(DISTINCT m & s) * count(DISTINCT m & (255 - s)) AS ok
-  FROM {dnf} t JOIN every e ON e.game_id = t.game_id JOIN (SELECT unnest(range(1, 256)) AS s) ON (s & p) = s
-  WHERE (m & s) <> 0 GROUP BY t.game_id, s, p),
+tested AS (SELECT game_id, s, max(p) AS p, count(*) = list_unique(list(m & s)) * list_unique(list(m & (255 - s))) AS ok
+  FROM (SELECT game_id, m, bit_or(m) OVER (PARTITION BY game_id) AS p FROM {dnf}) CROSS JOIN range(1, 256) r(s)
+  WHERE (s & p) = s AND (m & s) <> 0 GROUP BY game_id, s),
 modules AS (SELECT game_id, s, p FROM tested WHERE ok),
 strong AS (SELECT * FROM modules x WHERE s <> p AND NOT EXISTS (SELECT 1 FROM modules y WHERE y.game_id = x.game_id
   AND (x.s & y.s) <> 0 AND (x.s & y.s) <> x.s AND (x.s & y.s) <> y.s)),
@@ -393,7 +393,7 @@ top AS (SELECT * FROM strong x WHERE NOT EXISTS (SELECT 1 FROM strong y WHERE y.
 alone AS (SELECT game_id, p AS s, p FROM every WHERE bit_count(p) = 1),
 parts AS (SELECT t.game_id, t.m, count(*) AS hit, (SELECT count(*) FROM top z WHERE z.game_id = t.game_id) AS n FROM {dnf} t
   JOIN top x ON x.game_id = t.game_id AND (x.s & t.m) <> 0 GROUP BY t.game_id, t.m),
-kind AS (SELECT game_id, CASE WHEN max(hit) = 1 THEN 'or' WHEN min(hit) = max(n) THEN 'and' ELSE 'hybrid' END AS kind
+kind AS (SELECT game_id, CASE WHEN max(hit) = 1 THEN 1 WHEN min(hit) = max(n) THEN 2 ELSE 3 END AS code
   FROM parts GROUP BY game_id)"""
 
 
@@ -413,14 +413,15 @@ SELECT game_id, kind, rep, child FROM (
   UNION ALL SELECT game_id, 'or', min(i) OVER (PARTITION BY game_id, b), i, count(*) OVER (PARTITION BY game_id, b) FROM o)
 WHERE n > 1"""
 SQL["maximal_modules"] = f"""WITH {ORDERS}, {_modules('order_dnf')}
-SELECT t.game_id, kind, {_least('s')} AS module, i AS owner_id FROM top t JOIN kind k ON k.game_id = t.game_id,
+SELECT t.game_id, ['or', 'and', 'hybrid'][code] AS kind, {_least('s')} AS module, i AS owner_id FROM top t JOIN kind k ON k.game_id = t.game_id,
   (SELECT unnest(range(8)) AS i) WHERE ((s >> i::INT) & 1) = 1
 UNION ALL SELECT game_id, 'var', {_least('s')}, {_least('s')} FROM alone"""
-SQL["and_split"] = f"""WITH {ORDERS}, {_modules('order_dnf')} SELECT t.game_id, {_least('s')} AS module, i AS owner_id FROM top t
-  JOIN kind k ON k.game_id = t.game_id AND kind = 'and', (SELECT unnest(range(8)) AS i) WHERE ((s >> i::INT) & 1) = 1"""
+SQL["and_split"] = f"""WITH {ORDERS}, {_modules('order_dnf')}, u AS (SELECT t.game_id, max(code) AS code, max(s) AS s FROM top t
+  JOIN kind k ON k.game_id = t.game_id GROUP BY t.game_id, s)
+SELECT game_id, {_least('s')} AS module, unnest({_members('s')}) AS owner_id FROM u WHERE code = 2"""
 SQL["hybrid_quotient"] = f"""WITH {ORDERS}, {_modules('order_dnf')}, q AS (SELECT t.game_id, t.m, bit_or(1::BIGINT << ({_least('s')})::INT)
   AS q FROM order_dnf t JOIN top x ON x.game_id = t.game_id AND (x.s & t.m) <> 0 JOIN kind k ON k.game_id = t.game_id
-  AND kind = 'hybrid' GROUP BY t.game_id, t.m) SELECT DISTINCT game_id, {_text('q')} AS term FROM q"""
+  AND code = 3 GROUP BY t.game_id, t.m) SELECT DISTINCT game_id, {_text('q')} AS term FROM q"""
 SQL["one_level_parts"] = f"""WITH {ORDERS}, {_modules('order_dnf')} SELECT DISTINCT t.game_id, {_least('s')} AS module,
   {_text('(t.m & s)')} AS term FROM order_dnf t JOIN (SELECT * FROM top UNION ALL SELECT * FROM alone) x
   ON x.game_id = t.game_id AND (x.s & t.m) <> 0"""

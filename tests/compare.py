@@ -24,12 +24,12 @@ def connect(folder):
     return con
 
 
-def compare(spark, con, folder, name, fn, sql):
+def compare(spark, folder, name, fn, sql):
     df = fn(spark, folder)
     rows = [tuple(r) for r in df.collect()]
     if sql is None:
         return len(rows), None, ""
-    cur = con.execute(sql)
+    cur = connect(folder).execute(sql)
     columns = [d[0] for d in cur.description]
     want = canon(cur.fetchall(), columns)
     got = canon(rows, df.columns)
@@ -50,7 +50,6 @@ def main():
     names = sys.argv[2:]
     spark = build_session("local[8]", 8, spark__ui__enabled="false", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
-    con = connect(folder)
     oracle = E.oracle_sql()
     assert not set(oracle) - set(E.queries()), set(oracle) - set(E.queries())
     bad = []
@@ -59,7 +58,7 @@ def main():
             continue
         t = time.time()
         try:
-            n, ok, why = compare(spark, con, folder, name, fn, oracle.get(name))
+            n, ok, why = compare(spark, folder, name, fn, oracle.get(name))
         except Exception as e:  # noqa: BLE001
             n, ok, why = 0, False, f"{type(e).__name__}: {str(e)[:600]}"
         print(f"{'ok  ' if ok else 'rows' if ok is None else 'BAD '} {name} rows={n} {time.time() - t:.1f}s {why}", flush=True)
