@@ -87,4 +87,5 @@ def test_plain_join_is_inner(spark):
     ds = match_dataset(spark, "/root/testdata/sf0.001")
     plain = J.join_along(ds.tables, plan_for("soccer"), with_assignment=False).count()
     left = J.join_along(ds.tables, plan_for("soccer"), with_assignment=True).count()
-    assert plain < left == ds.tables["Match"].count()
+    teams = ds.tables["HomeTeam"].select(F.col("team_api_id").alias("home_team_api_id"))
+    assert plain < left == ds.tables["Match"].join(teams, "home_team_api_id").count()
