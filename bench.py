@@ -7,7 +7,6 @@ import time
 
 from fairlineage.operators import games as G
 from fairlineage.operators import shapley as V
-from fairlineage.operators import synthesis as T
 from fairlineage.plans.catalog import totals_of_shapes
 from fairlineage.session import build_session, cut
 from fairlineage.sources import derived as X
@@ -48,10 +47,6 @@ def main() -> None:
         kept["shapes"], "permutation", sample_size=1000))
     timed("attribution_iusv", lambda: totals_of_shapes(kept["shapes"], "iusv"))
     timed("attribution_rdsv", lambda: totals_of_shapes(kept["shapes"], "rdsv"))
-    for name in T.ABLATIONS:
-        timed("attribution_rdsv_" + name.replace("-", "_"),
-              lambda: totals_of_shapes(kept["shapes"], "rdsv", ablation=name))
-
     def trade():
         kept["trade"] = cut(G.group_games(X.trade_rows(spark, SF), "c_custkey", X.TRADE_OWNERS))
         return kept["trade"]
