@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
@@ -63,3 +65,20 @@ def cut(df: DataFrame, **metrics) -> DataFrame | tuple[DataFrame, dict]:
     source.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     return (table, observation.get) if observation is not None else table
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package's source to the Python workers, once per application, so that they need no installation."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(__file__).parent
+    target = os.path.join(tempfile.mkdtemp(prefix="fairlineage-source-"), "fairlineage_source.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for file in sorted(top.rglob("*.py")):
+            z.write(file, file.relative_to(top.parent))
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)
