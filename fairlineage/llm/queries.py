@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality
+from . import bpe, mixing, quality
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +32,8 @@ def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(bpe.encode_texts(read(spark, sf, "documents"), tokenizer_file()))
+
+
+@query
+def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.taken_words(mixing.mix(read(spark, sf, "documents")))
