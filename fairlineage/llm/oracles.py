@@ -1,3 +1,30 @@
 """SQL counterparts, for DuckDB, of the registered queries that SQL can express."""
 
+from .secrets import BASE_RULES, RULES
+
 SQL: dict[str, str] = {}
+
+
+def _secret_spans() -> str:
+    def rule(rank, r):
+        p = r.pattern.replace("'", "''")
+        return f"""
+    list_filter(list_transform(range(len(regexp_extract_all(t, '{p}', 0))), lambda i: {{
+        's': list_sum(list_transform(string_split_regex(t, '{p}')[1:i+1], lambda x: length(x)))
+           + coalesce(list_sum(list_transform(regexp_extract_all(t, '{p}', 0)[1:i], lambda x: length(x))), 0),
+        'r': {rank}, 'k': '{r.kind}', 'n': length(regexp_extract_all(t, '{p}', 0)[i+1]),
+        'g': length(regexp_extract_all(t, '{p}', {r.group})[i+1])}}), lambda x: x.g >= {r.least})"""
+
+    lists = ",".join(rule(rank, r) for rank, r in enumerate(RULES))
+    text = "array_to_string(list_transform({}, lambda x: x.k || ':' || x.s::BIGINT || ':' || (x.s + x.n)::BIGINT), ',')"
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (SELECT doc_id, list_sort(flatten([{lists}])) AS a FROM docs)
+SELECT doc_id, len(list_filter(a, lambda x: x.k = 'assign')) AS n_assign, len(list_filter(a, lambda x: x.k = 'access')) AS n_access,
+    len(list_filter(a, lambda x: x.k = 'hex')) AS n_hex,
+    sha256({text.format(f"list_filter(a, lambda x: x.r < {len(BASE_RULES)})")}) AS base_sha256,
+    {text.format('a')} AS spans
+FROM found"""
+
+
+SQL["op5_secrets"] = _secret_spans()

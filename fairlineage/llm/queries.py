@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality
+from ..session import shared_folder
+from . import bpe, mixing, quality, secrets
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +40,13 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(read(spark, sf, "documents")))
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return os.path.join(shared_folder(spark), name, uuid.uuid4().hex)
+
+
+@query
+def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    ledger = secrets.BlobLedger(spark, new_folder(spark, "blob-ledger"))
+    return secrets.digests(secrets.scan_documents(read(spark, sf, "documents"), ledger))
