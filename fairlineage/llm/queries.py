@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_folder
-from . import bpe, mixing, quality, secrets
+from . import bpe, mixing, ngram_join, quality, secrets
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
     ledger = secrets.BlobLedger(spark, new_folder(spark, "blob-ledger"))
     return secrets.digests(secrets.scan_documents(read(spark, sf, "documents"), ledger))
+
+
+@query
+def op4_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.near_groups(read(spark, sf, "documents"))
