@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_folder
-from . import bpe, mixing, ngram_join, quality, secrets
+from . import bpe, mixing, ngram_join, pii, quality, secrets
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +55,8 @@ def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.near_groups(read(spark, sf, "documents"))
+
+
+@query
+def op2_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf, "documents"))
