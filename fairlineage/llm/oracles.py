@@ -1,5 +1,6 @@
 """SQL counterparts, for DuckDB, of the registered queries that SQL can express."""
 
+from . import licenses
 from .secrets import BASE_RULES, RULES
 
 SQL: dict[str, str] = {}
@@ -28,3 +29,34 @@ FROM found"""
 
 
 SQL["op5_secrets"] = _secret_spans()
+
+
+def _licenses() -> str:
+    def lowered(x: str) -> str:
+        return f"translate({x}, '{licenses._CAPITALS}', '{licenses._SMALL}')"
+
+    def canonical(x: str) -> str:
+        out = f"regexp_replace({lowered(x)}, '{licenses.COPYRIGHT_LINE}', '\\1', 'g')"
+        for written, meant in licenses.SPELLINGS:
+            out = f"replace({out}, '{written}', '{meant}')"
+        return f"trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'))"
+
+    marked = "regexp_matches({}, '" + licenses.MARKS + "')"
+    known = ", ".join(f"('{d}', '{n}')" for d, n in sorted(licenses.known_digests().items()))
+    return f"""
+WITH known(digest, license) AS (VALUES {known}),
+docs AS (SELECT row_number() OVER () AS no, doc_id, coalesce(text, '') AS t FROM documents),
+parts AS (SELECT no, t, string_split(t, chr(10)) AS lines, string_split_regex(t, '\n[ \t]*\n') AS paragraphs FROM docs),
+units AS (
+    SELECT no, unnest(lines) AS u FROM parts
+    UNION ALL SELECT no, u FROM (SELECT no, unnest(paragraphs) AS u FROM parts) WHERE contains(u, chr(10))
+    UNION ALL SELECT no, t FROM parts WHERE len(paragraphs) > 1),
+found AS (
+    SELECT no, license FROM (SELECT no, sha256({canonical('u')}) AS digest FROM units WHERE {marked.format(lowered('u'))})
+    JOIN known USING (digest))
+SELECT doc_id, coalesce(array_to_string(list_sort(list(DISTINCT license) FILTER (license IS NOT NULL)), ','), '') AS licenses,
+    count(license) AS n_units
+FROM docs LEFT JOIN found USING (no) GROUP BY no, doc_id"""
+
+
+SQL["op9_licenses"] = _licenses()

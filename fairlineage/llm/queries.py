@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_folder
-from . import bpe, mixing, ngram_join, pii, quality, secrets
+from . import bpe, licenses, mixing, ngram_join, pii, quality, secrets
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,8 @@ def op4_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op2_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.personal_data(read(spark, sf, "documents"))
+
+
+@query
+def op9_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.license_scan(read(spark, sf, "documents"))
