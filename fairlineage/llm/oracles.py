@@ -60,3 +60,11 @@ FROM docs LEFT JOIN found USING (no) GROUP BY no, doc_id"""
 
 
 SQL["op9_licenses"] = _licenses()
+
+SQL["op6_topk"] = """
+WITH codes AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings WHERE embedding IS NOT NULL),
+pairs AS (
+    SELECT q.vec_id AS query_vec_id, r.vec_id, len(list_filter(list_zip(q.bits, r.bits), lambda z: z[1] <> z[2]))::INTEGER AS distance
+    FROM codes q JOIN codes r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_vec_id ORDER BY distance, vec_id)::INTEGER AS rank FROM pairs)
+SELECT query_vec_id, rank, vec_id, distance FROM ranked WHERE rank <= 10"""

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_folder
-from . import bpe, licenses, mixing, ngram_join, pii, quality, secrets
+from . import bpe, licenses, mixing, ngram_join, pii, quality, secrets, topk
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +65,8 @@ def op2_pii(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf, "documents"))
+
+
+@query
+def op6_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.nearest_by_sign(read(spark, sf, "embeddings"))
