@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_folder
-from . import bpe, licenses, mixing, ngram_join, pii, quality, secrets, topk
+from . import bpe, licenses, lm, mixing, ngram_join, pii, quality, secrets, topk
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,8 @@ def op9_licenses(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op6_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.nearest_by_sign(read(spark, sf, "embeddings"))
+
+
+@query
+def op8_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.lm_scores(read(spark, sf, "documents"))
