@@ -189,11 +189,8 @@ def block_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], perc
 def box_edges(rows: DataFrame) -> DataFrame:
     """(a, b): rows that share a box, as edges to the box's smallest row. ``rows``: (row_no, boxes)."""
     cells = rows.select("row_no", F.explode("boxes").alias("box"))
-    shared, seen = cut(
-        cells.groupBy("box").agg(F.min("row_no").alias("b"), F.max("row_no").alias("last")).where("b < last").drop("last"),
-        boxes=F.count(F.lit(1)))
-    return cells.join(small_side(shared, seen["boxes"]), "box").where("row_no <> b").select(
-        F.col("row_no").alias("a"), "b").distinct()
+    shared = cells.groupBy("box").agg(F.min("row_no").alias("b"), F.max("row_no").alias("last")).where("b < last").drop("last")
+    return cells.join(shared, "box").where("row_no <> b").select(F.col("row_no").alias("a"), "b").distinct()
 
 
 def family_blocks(members: DataFrame, percent: int) -> DataFrame:
