@@ -6,10 +6,10 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
-from . import bpe, licenses, lm, mixing, ngram_join, pii, quality, secrets, topk
+from . import bpe, html_crf, licenses, lm, mixing, ngram_join, pii, quality, secrets, topk
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,9 @@ def op6_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op8_lm(spark: SparkSession, sf: str) -> DataFrame:
     return lm.lm_scores(read(spark, sf, "documents"))
+
+
+@query
+def op3_html_crf(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read(spark, sf, "pages")
+    return html_crf.main_text(pages, html_crf.fit(pages)).withColumn("n_chars", F.char_length("text").cast("long"))
