@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -48,6 +49,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded_tables():
+    """Collects the paths of the working tables written inside, so that a run can delete its own when it is done."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
+
+
+def working_folder(spark: SparkSession) -> str:
+    """A new folder name in the shared folder, known to the recorders that are open."""
+    path = os.path.join(shared_folder(spark), "fairlineage", uuid.uuid4().hex)
+    for made in _recorders:
+        made.append(path)
+    return path
+
+
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete working tables that nothing reads any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()
+
+
 def cut(df: DataFrame, **metrics) -> DataFrame | tuple[DataFrame, dict]:
     """Write ``df`` once to the shared folder and go on from the written table.
 
@@ -56,7 +87,7 @@ def cut(df: DataFrame, **metrics) -> DataFrame | tuple[DataFrame, dict]:
     write (no second job); with metrics given, ``(table, values)`` comes back.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), "fairlineage", uuid.uuid4().hex)
+    path = working_folder(spark)
     observation = None
     source = df
     if metrics:
