@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import shared_folder
+from ..session import working_folder
 from . import bpe, html_crf, licenses, lm, mixing, ngram_join, pii, quality, secrets, topk
 from .common import read
 
@@ -42,13 +40,9 @@ def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(read(spark, sf, "documents")))
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_folder(spark), name, uuid.uuid4().hex)
-
-
 @query
 def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
-    ledger = secrets.BlobLedger(spark, new_folder(spark, "blob-ledger"))
+    ledger = secrets.BlobLedger(spark, working_folder(spark))
     return secrets.digests(secrets.scan_documents(read(spark, sf, "documents"), ledger))
 
 
