@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut
@@ -27,6 +29,27 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+_FACTOR = np.uint64(0xD6E8FEB86659FD93)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Each number's bits spread over all 64."""
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(32))) * _FACTOR
+    return x ^ (x >> np.uint64(32))
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers ≥ 0, byte by byte of their rank, compressed."""
+    raw = np.ascontiguousarray(numbers, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(raw.T).view("<u8").ravel()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of at most ``rows``, so that a task holds the work of few texts at once."""
     for batch in batches:

@@ -25,38 +25,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut, ship_package
-from .common import slices
+from .common import mixed, pack, slices, unpack
 
 #: Words of a chunk and questions of a bucket: division of work only.
 CHUNK, BUCKET = 1_500_000, 1_500_000
 #: Steps per power of two in which estimates are told apart while weights are learned.
 STEPS = 4
 END = b"\n"
-_FACTOR = np.uint64(0xD6E8FEB86659FD93)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    for _ in range(2):
-        x = (x ^ (x >> np.uint64(32))) * _FACTOR
-    return x ^ (x >> np.uint64(32))
-
-
-def pack(numbers: np.ndarray) -> bytes:
-    """Numbers ≥ 0, byte by byte of their rank, compressed."""
-    raw = np.ascontiguousarray(numbers, dtype="<u8").view(np.uint8).reshape(-1, 8)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
-
-
-def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(raw.T).view("<u8").ravel()
-
-
 class WordList(dict):
     """Word → its number in a chunk."""
 
@@ -145,9 +124,9 @@ class Chunk:
         self.end = int(self.tokens[-1])
         pairs, self.pair_of = np.unique(self.context * (n + 1) + self.tokens, return_inverse=True)
         left = np.append(self.words, np.uint64(1))[pairs // (n + 1)]
-        pair_keys = _mixed(_mixed(left) * np.uint64(3) + self.words[pairs % (n + 1)])
+        pair_keys = mixed(mixed(left) * np.uint64(3) + self.words[pairs % (n + 1)])
         self.asked = []
-        for keys, of in ((_mixed(self.words), self.tokens), (pair_keys, self.pair_of)):
+        for keys, of in ((mixed(self.words), self.tokens), (pair_keys, self.pair_of)):
             order = np.argsort(keys, kind="stable")
             learned = np.bincount(of[token_learns], minlength=len(keys))
             held = np.bincount(of[token_dev], minlength=len(keys))

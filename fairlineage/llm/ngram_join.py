@@ -7,7 +7,7 @@ minima bounds o from above. The index over these points is laid out for a shuffl
 
 * The top level splits by the total of the coordinates (the set's size) into size classes. A set also
   enters the class above if its partner may be there.
-* Below, a class cuts its coordinates into segments of 256 groups. Similar sets differ in fewer tokens than a class has
+* Below, a class cuts its coordinates into segments of many groups each. Similar sets differ in fewer tokens than a class has
   segments, so some segments have equal coordinates in both: each (class, segment, its coordinates) is a box, and similar
   points share a box. Boxes with one point are leaves without partners and go.
 * Points joined through boxes form families. A family is cut into blocks of bounded size, and pairs of
@@ -37,21 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut, ship_package
-from .common import components, slices, small_side
+from .common import components, mixed, pack, slices, small_side, unpack
 
-#: Segments beyond those that differences can touch; tokens in a segment's groups; a class's largest set over its smallest.
+#: Segments beyond those that differences can touch; groups of a segment; a class's largest set over its smallest.
 SPARE, GROUPS, STEP = 3, 256, 1.25
 #: Most documents and most tokens of one side of a block, and points of a leaf: division of work only.
 BLOCK_ROWS, BLOCK_TOKENS, LEAF = 1024, 2_000_000, 16
-_FACTOR = np.uint64(0xD6E8FEB86659FD93)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Each number's bits spread over all 64."""
-    for _ in range(2):
-        x = (x ^ (x >> np.uint64(32))) * _FACTOR
-    return x ^ (x >> np.uint64(32))
-
+#: Rows of a slice and boxes of a bucket: division of work only.
+SLICE, BUCKET = 4096, 1_500_000
 
 class WordHashes(dict):
     """Word → 64-bit hash; starts anew when it has grown large."""
@@ -71,10 +64,10 @@ def shingle_set(text: bytes, words_each: int, hashes: WordHashes) -> np.ndarray:
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     k = min(words_each, len(h))
     n = len(h) - k + 1
-    mixed = np.full(n, k, np.uint64)
+    out = np.full(n, k, np.uint64)
     for i in range(k):
-        mixed = _mixed(mixed + h[i:i + n])
-    return np.unique(mixed)
+        out = mixed(out + h[i:i + n])
+    return np.unique(out)
 
 
 def class_bounds(percent: int) -> list[int]:
@@ -103,9 +96,9 @@ def boxes(tokens: np.ndarray, bounds: Sequence[int], percent: int) -> np.ndarray
             break
         most = (bounds[level + 1] - 1) * (100 - percent) // percent
         segments = most + 1 + SPARE
-        spread = _mixed(tokens + np.uint64(level + 1))
+        spread = mixed(tokens + np.uint64(level + 1))
         segment = ((spread >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
-        group = _mixed((spread & np.uint64(GROUPS - 1)) + np.uint64(1))
+        group = mixed((spread & np.uint64(GROUPS - 1)) + np.uint64(1))
         order = np.argsort(segment, kind="stable")
         starts = np.flatnonzero(np.diff(segment[order], prepend=-1))
         sums = np.add.reduceat(group[order], starts)
@@ -114,32 +107,31 @@ def boxes(tokens: np.ndarray, bounds: Sequence[int], percent: int) -> np.ndarray
             full = np.zeros(segments, np.uint64)
             full[there.astype(np.int64)] = sums
             there, sums = np.arange(segments, dtype=np.uint64), full
-        out.append(_mixed(sums + _mixed(there + np.uint64(level << 40))))
+        out.append(mixed(sums + mixed(there + np.uint64(level << 40))))
     return np.concatenate(out).view(np.int64)
 
 
-def index_points(docs: DataFrame, carried: Sequence[str], words_each: int, percent: int, key: str, text: str) -> DataFrame:
-    """(row struct, key, text, n, print, boxes) of every row: set size, 128-bit print of the set and its boxes."""
+def index_points(docs: DataFrame, carried: Sequence[str], words_each: int, percent: int, text: str) -> DataFrame:
+    """(row struct, n, print, boxes) of every row: set size, 128-bit print of the set and its boxes."""
     ship_package(docs.sparkSession)
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col(key).alias("key"),
-        F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"),
+                       F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     bounds = class_bounds(percent)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in slices(batches, 512):
-            sets = [shingle_set(t, words_each, hashes) for t in part.column(2).to_pylist()]
+            sets = [shingle_set(t, words_each, hashes) for t in part.column(1).to_pylist()]
             found = [boxes(s, bounds, percent) for s in sets]
             ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([
-                part.column(0), part.column(1), part.column(2), pa.array([len(s) for s in sets], pa.int64()),
+                part.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int64))),
-            ], ["row", "key", "text", "n", "print", "boxes"])
+            ], ["row", "n", "print", "boxes"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(work, f"row {kinds['row']}, key {kinds['key']}, text binary, n long, print binary, boxes array<long>")
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(work, f"row {kind}, n long, print binary, boxes array<long>")
 
 
 def block_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -150,7 +142,7 @@ def block_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], perc
     dims = int(8 * (size[-1] * (100 - percent) // percent + 1 + SPARE))
     points = np.zeros((len(sets), dims), np.uint16)
     for i, s in enumerate(sets):
-        points[i] = np.minimum(np.bincount((_mixed(s) % np.uint64(dims)).astype(np.int64), minlength=dims), 65535)
+        points[i] = np.minimum(np.bincount((mixed(s) % np.uint64(dims)).astype(np.int64), minlength=dims), 65535)
     leaf_box = np.maximum.reduceat(points, np.arange(0, len(sets), LEAF))
     two_sides = sides.min() != sides.max()
     root = list(range(len(sets)))
@@ -186,11 +178,53 @@ def block_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], perc
     return links
 
 
-def box_edges(rows: DataFrame) -> DataFrame:
-    """(a, b): rows that share a box, as edges to the box's smallest row. ``rows``: (row_no, boxes)."""
-    cells = rows.select("row_no", F.explode("boxes").alias("box"))
-    shared = cells.groupBy("box").agg(F.min("row_no").alias("b"), F.max("row_no").alias("last")).where("b < last").drop("last")
-    return cells.join(shared, "box").where("row_no <> b").select(F.col("row_no").alias("a"), "b").distinct()
+def box_edges(rows: DataFrame, buckets: int) -> DataFrame:
+    """(a, b): rows that share a box, as edges to the box's smallest row. ``rows``: (row_no, boxes).
+
+    A slice of rows first joins its own rows that share a box and sends each box once, to the bucket of its
+    hash; so a box that very many rows share costs an entry per slice. Buckets grow in number with the rows.
+    """
+
+    def first_of(box: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct boxes, their smallest rows, and edges of all other rows of a box to it."""
+        order = np.lexsort((row, box))
+        box, row = box[order], row[order]
+        start = np.append(True, box[1:] != box[:-1])
+        least = row[np.flatnonzero(start)]
+        edges = np.stack([row, least[np.cumsum(start) - 1]])
+        return box[start], least, np.unique(edges[:, edges[0] != edges[1]], axis=1)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, SLICE):
+            lists = part.column(1)
+            box = lists.flatten().to_numpy().view(np.uint64)
+            if not len(box):
+                continue
+            row = np.repeat(part.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+            box, least, edges = first_of(box, row)
+            of = (((box >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(of, prepend=-1))
+            ends = [*cuts[1:], len(box)]
+            n, m = len(cuts), edges.shape[1]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([of[cuts], edges[0] % buckets])),
+                pa.array([pack(np.diff(box[x:y], prepend=np.uint64(0))) for x, y in zip(cuts, ends)] + [None] * m, pa.binary()),
+                pa.array([pack(least[x:y]) for x, y in zip(cuts, ends)] + [None] * m, pa.binary()),
+                pa.array([None] * n + edges[0].tolist(), pa.int64()), pa.array([None] * n + edges[1].tolist(), pa.int64()),
+            ], ["bucket", "boxes", "rows", "a", "b"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        sent = table.filter(table["boxes"].is_valid())
+        own = table.filter(table["a"].is_valid()).select(["a", "b"])
+        if not sent.num_rows:
+            return own
+        box = np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in sent["boxes"].to_pylist()])
+        row = np.concatenate([unpack(x) for x in sent["rows"].to_pylist()]).astype(np.int64)
+        _, _, edges = first_of(box, row)
+        return pa.concat_tables([own, pa.table({"a": edges[0], "b": edges[1]})])
+
+    kinds = "bucket long, boxes binary, rows binary, a long, b long"
+    return rows.select("row_no", "boxes").mapInArrow(send, kinds).groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def family_blocks(members: DataFrame, percent: int) -> DataFrame:
@@ -225,20 +259,23 @@ def family_blocks(members: DataFrame, percent: int) -> DataFrame:
 def grouped_rows(docs: DataFrame, carried: Sequence[str], words_each: int, percent: int, key: str,
                  text: str) -> tuple[DataFrame, DataFrame]:
     """All rows (row, row_no, key, n), and (row_no, label) of those linked with another row."""
-    rows = cut(index_points(docs, carried, words_each, percent, key, text)
-               .withColumn("row_no", F.monotonically_increasing_id()))
+    rows, seen = cut(
+        index_points(docs, carried, words_each, percent, text).withColumn("row_no", F.monotonically_increasing_id()),
+        boxes=F.coalesce(F.sum(F.size("boxes")), F.lit(0)))
+    buckets = max(1, seen["boxes"] // BUCKET)
+    rows = rows.withColumn("key", F.col("row")[key])
     full = rows.where("n > 0")
     firsts = full.groupBy("print").agg(F.min("row_no").alias("id"), F.max("row_no").alias("last"))
     copies = cut(full.select("print", "row_no").join(firsts.where("id < last"), "print").where("row_no <> id")
                  .select(F.col("row_no").alias("a"), F.col("id").alias("b")))
-    families = components(box_edges(full.select("row_no", "boxes")).unionByName(copies))
+    families = components(box_edges(full, buckets).unionByName(copies))
     members, seen = cut(
         families.join(copies, families["node"] == copies["a"], "left_anti")
         .join(full.select(F.col("row_no").alias("node"), "n"), "node")
         .select(F.col("node").alias("id"), F.col("label").alias("family"), "n"),
         rows=F.count(F.lit(1)))
     placed = family_blocks(members, percent)
-    texts = rows.select(F.col("row_no").alias("id"), "text").join(
+    texts = rows.select(F.col("row_no").alias("id"), F.col("row")[text].cast("binary").alias("text")).join(
         small_side(members.select("id"), seen["rows"]), "id", "left_semi")
 
     def work(table: pa.Table) -> pa.Table:
@@ -253,7 +290,7 @@ def grouped_rows(docs: DataFrame, carried: Sequence[str], words_each: int, perce
 
 def near_groups(docs: DataFrame, words_each: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row; ``component_id`` is the smallest key reachable by links."""
-    rows, labels = grouped_rows(docs, [key], words_each, percent, key, text)
+    rows, labels = grouped_rows(docs, [key, text], words_each, percent, key, text)
     rows = rows.select("row_no", "key", F.col("n").alias("n_shingles"))
     labelled = labels.join(rows.select(F.col("row_no").alias("node"), "key"), "node")
     least = labelled.groupBy("label").agg(F.min("key").alias("component_id"))
