@@ -32,6 +32,9 @@ COPYRIGHT_LINE = r"(^|\n)[\x20\t]*(?:copyright|\(c\)|©|all rights reserved)[^\n
 #: Every known text holds one of these words in its canonical form.
 MARKS = r"licen[cs]e|permission|redistribution|warranty|public domain"
 
+#: A paragraph of one line is looked up as that line.
+TWO_LINES = r"\S\s*\n\s*\S"
+
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
 rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
@@ -127,7 +130,7 @@ def license_scan(docs: DataFrame, known=KNOWN, key: str = "doc_id", text: str =
     lines, paragraphs = split("\n"), split(r"\n[\x20\t]*\n")
     units = F.concat(
         F.filter(lines, marked),
-        F.filter(paragraphs, lambda p: marked(p) & p.contains("\n")),
+        F.filter(paragraphs, lambda p: marked(p) & p.rlike(TWO_LINES)),
         F.when((F.size(paragraphs) > 1) & marked(body), F.array(body)).otherwise(F.array().cast("array<string>")))
     rows = docs.select(
         F.monotonically_increasing_id().alias("_row"), F.col(key).alias(key),

@@ -40,7 +40,7 @@ from ..session import cut, ship_package
 from .common import components, mixed, pack, slices, small_side, unpack
 
 #: Segments beyond those that differences can touch; groups of a segment; a class's largest set over its smallest.
-SPARE, GROUPS, STEP = 3, 256, 1.25
+SPARE, GROUPS, STEP = 3, 1 << 40, 1.25
 #: Most documents and most tokens of one side of a block, and points of a leaf: division of work only.
 BLOCK_ROWS, BLOCK_TOKENS, LEAF = 1024, 2_000_000, 16
 #: Rows of a slice and boxes of a bucket: division of work only.

@@ -49,7 +49,7 @@ docs AS (SELECT row_number() OVER () AS no, doc_id, coalesce(text, '') AS t FROM
 parts AS (SELECT no, t, string_split(t, chr(10)) AS lines, string_split_regex(t, '\n[ \t]*\n') AS paragraphs FROM docs),
 units AS (
     SELECT no, unnest(lines) AS u FROM parts
-    UNION ALL SELECT no, u FROM (SELECT no, unnest(paragraphs) AS u FROM parts) WHERE contains(u, chr(10))
+    UNION ALL SELECT no, u FROM (SELECT no, unnest(paragraphs) AS u FROM parts) WHERE regexp_matches(u, '{licenses.TWO_LINES}')
     UNION ALL SELECT no, t FROM parts WHERE len(paragraphs) > 1),
 found AS (
     SELECT no, license FROM (SELECT no, sha256({canonical('u')}) AS digest FROM units WHERE {marked.format(lowered('u'))})

@@ -12,8 +12,7 @@ Kinds: ``card`` (13 to 19 digits; blanks or hyphens between), ``phone`` (ten dig
 ``date`` (1900 to 2099, year first or last). Row by row, no shuffle, only DataFrame functions.
 
 Defined results: a null text stays null with no findings; empty texts stay empty; repeated rows are all returned; a
-text of any length is treated whole; further columns are ignored, or carried by ``pseudonymised``. With a
-field named like a column in use, the carried one wins in its own place only.
+text of any length is treated whole; further columns are ignored, or carried by ``pseudonymised``.
 """
 
 from __future__ import annotations
@@ -216,26 +215,31 @@ def findings(text: Column, key: str) -> Column:
                                  m["pseudonym"].alias("pseudonym")))
 
 
-def _found(docs: DataFrame, key: str, text: str) -> DataFrame:
-    body = F.col(text)
-    return docs.withColumn("_found", F.when(body.rlike("[0-9]|@") & body.rlike(ANY), findings(body, key)))
+def _found(docs: DataFrame, carried: list[str], key: str, text: str) -> DataFrame:
+    """(row struct of the carried columns, text, found): ``found`` is null where a text has no candidate."""
+    body = F.col("text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col(text).alias("text"))
+    return rows.withColumn("found", F.when(body.rlike("[0-9]|@") & body.rlike(ANY), findings(body, key)))
 
 
-def _rebuilt(text: Column) -> Column:
-    return F.when(F.col("_found").isNull(), text).otherwise(F.array_join(F.transform(
-        "_found", lambda f: F.concat(f["between"], F.coalesce(f["pseudonym"], F.lit("")))), ""))
+def _rebuilt() -> Column:
+    return F.when(F.col("found").isNull(), F.col("text")).otherwise(F.array_join(F.transform(
+        "found", lambda f: F.concat(f["between"], F.coalesce(f["pseudonym"], F.lit("")))), ""))
 
 
 def pseudonymised(docs: DataFrame, key: str = "fairlineage", text: str = "text") -> DataFrame:
     """All rows and columns, with personal data in the text replaced by pseudonyms."""
-    return _found(docs, key, text).withColumn(text, _rebuilt(F.col(text))).select(*docs.columns)
+    found = _found(docs, docs.columns, key, text)
+    return found.select(F.col("row").withField(text, _rebuilt()).alias("row")).select("row.*")
 
 
 def personal_data(docs: DataFrame, key: str = "fairlineage", row_key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row_key, n_<kind> for every kind, n_found, text with pseudonyms) of every row."""
-    found = _found(docs.select(F.col(row_key).alias(row_key), F.col(text).alias("text")), key, "text")
-    count = lambda kind: F.coalesce(F.size(F.filter("_found", lambda f: f["kind"] == kind)), F.lit(0)).cast("long")
-    counted = found.select(row_key, *[F.when(F.col("_found").isNull(), F.lit(0)).otherwise(count(k)).cast("long").alias(
-        f"n_{k}") for k in KINDS], _rebuilt(F.col("text")).alias("text"))
+    found = _found(docs, [row_key], key, text)
+    count = lambda kind: F.size(F.filter("found", lambda f: f["kind"] == kind))
+    counted = found.select(
+        F.col("row")[row_key].alias(row_key),
+        *[F.when(F.col("found").isNull(), 0).otherwise(count(k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        _rebuilt().alias("text"))
     return counted.select(row_key, *[f"n_{k}" for k in KINDS],
                           sum((F.col(f"n_{k}") for k in KINDS), F.lit(0).cast("long")).alias("n_found"), "text")

@@ -126,8 +126,9 @@ def scan_documents(docs: DataFrame, ledger: BlobLedger, rules: Sequence[Rule] =
 
 def masked(docs: DataFrame, ledger: BlobLedger, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """All rows and columns, with each finding in the text (overlapping ones together) replaced by ``[secret]``."""
-    found = ledger.scan(docs, text, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    body = F.col(text)
+    found = ledger.scan(docs, text, rules)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), blob_of(F.col(text)).alias("blob"))
+    body = F.col("row")[text]
 
     def add(state: Column, span: Column) -> Column:
         gap = F.substring(body, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
@@ -136,12 +137,10 @@ def masked(docs: DataFrame, ledger: BlobLedger, rules: Sequence[Rule] = RULES, t
             F.greatest(state["at"], span["end"]).alias("at"),
             F.when(fresh, F.concat(state["out"], gap, F.lit("[secret]"))).otherwise(state["out"]).alias("out"))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add,
+    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add,
                        lambda s: F.concat(s["out"], F.substring(body, s["at"] + 1, F.char_length(body))))
-    own = docs.columns
-    return (
-        docs.withColumn("_blob", blob_of(body)).join(found, "_blob", "left")
-        .withColumn(text, F.when(F.col("_spans").isNotNull(), done).otherwise(body)).select(*own))
+    return rows.join(found, "blob", "left").select(
+        F.col("row").withField(text, F.when(F.col("spans").isNotNull(), done).otherwise(body)).alias("row")).select("row.*")
 
 
 def as_text(spans: Column) -> Column:

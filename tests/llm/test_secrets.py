@@ -1,0 +1,71 @@
+import hashlib
+import re
+
+from fairlineage.llm import secrets
+from fairlineage.session import working_folder
+
+TEXTS = {
+    1: 'é password = "abcdefgh1" then Secret:zzzzzzzz and token=short', 2: "AKIAABCDEFGHIJKL AKIASHORT 0123456789abcdef0123456789abcdef",
+    3: "no secrets", 4: None, 5: "", 6: 'api_key="0123456789abcdef0123456789abcdef0"', 7: "😀 ghp_" + "a1" * 20 + " https://me:pass@host",
+    8: "password=token=abcdefghij secret=token : abcdefgh1234", 9: "x" * 50_000 + " passwd: longenough1", 10: "no secrets",
+}
+
+
+def brute(text):
+    out = []
+    for rank, rule in enumerate(secrets.RULES):
+        for m in re.finditer(rule.pattern, text or ""):
+            if len(m[rule.group]) >= rule.least:
+                out.append((m.start(), rank, m.end(), rule.kind))
+    return sorted(out)
+
+
+def frame(spark, texts):
+    return spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+
+
+def test_spans(spark):
+    ledger = secrets.BlobLedger(spark, working_folder(spark))
+    found = secrets.scan_documents(frame(spark, TEXTS), ledger)
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in found.collect()}
+    assert got == {k: brute(t) for k, t in TEXTS.items()}
+    for r in secrets.digests(found).collect():
+        spans = brute(TEXTS[r["doc_id"]])
+        text = ",".join(f"{k}:{s}:{e}" for s, rank, e, k in spans if rank < 3)
+        assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert r["spans"] == ",".join(f"{k}:{s}:{e}" for s, _, e, k in spans)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[3] == k for s in spans) for k in ("assign", "access", "hex"))
+
+
+def test_only_unseen_pairs_are_scanned(spark):
+    ledger = secrets.BlobLedger(spark, working_folder(spark))
+    first = {k: TEXTS[k] for k in (1, 2, 3, 10)}
+    ledger.scan(frame(spark, first))
+    assert ledger.entries().count() == 3
+    ledger.scan(frame(spark, TEXTS))
+    assert ledger.entries().count() == len(set(t or "" for t in TEXTS.values()))
+    ledger.scan(frame(spark, TEXTS))
+    assert ledger.entries().count() == len(set(t or "" for t in TEXTS.values()))
+    ledger.scan(frame(spark, first), rules=secrets.BASE_RULES)
+    assert ledger.entries().where(f"rules = '{secrets.rules_version(secrets.BASE_RULES)}'").count() == 3
+
+
+def test_masked(spark, edge_docs):
+    ledger = secrets.BlobLedger(spark, working_folder(spark))
+    got = {r["doc_id"]: r["text"] for r in secrets.masked(frame(spark, TEXTS), ledger).collect()}
+    for k, text in TEXTS.items():
+        out, at = "", 0
+        for start, _, end, _ in brute(text):
+            if start >= at:
+                out += (text or "")[at:start] + "[secret]"
+            at = max(at, end)
+        assert got[k] == (None if text is None else out + text[at:])
+    kept = secrets.masked(edge_docs, ledger)
+    assert kept.columns == edge_docs.columns and kept.count() == edge_docs.count()
+
+
+def test_edges(spark, edge_docs, edge_rows, no_docs):
+    ledger = secrets.BlobLedger(spark, working_folder(spark))
+    assert secrets.scan_documents(no_docs, ledger).collect() == []
+    got = sorted(((r["doc_id"], [tuple(s) for s in r["spans"]]) for r in secrets.scan_documents(edge_docs, ledger).collect()), key=str)
+    assert got == sorted(((k, brute(t)) for k, t, *_ in edge_rows), key=str)
