@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -19,11 +19,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def owner_set(*cells: Column, wrap_u32: bool = False) -> Column:
-    """Set of the owner cells of a row; cells that are null or no integers are no members.
+    """Set of the owner cells of a row; cells that are null or of no integer type are no members.
 
     ``wrap_u32`` keeps the low 32 bits of an id, as a store with 32-bit owner ids would.
     """
-    ids = [c.try_cast("bigint") for c in cells]
+    ids = [F.when(F.typeof(c).isin(*INTEGERS), c.try_cast("bigint")) for c in cells]
     if wrap_u32:
         ids = [F.pmod(c, F.lit(4294967296).cast("bigint")) for c in ids]
     return canonical(F.array(*ids))

@@ -121,9 +121,9 @@ def uniform_places(records: DataFrame, owners: int, seed: int, table: str) -> Da
 GRID = 4096
 
 
-def weighted_places(records: DataFrame, weights: DataFrame, max_copy: int, seed: int, table: str) -> DataFrame:
-    """(row_id, place): ``copies`` distinct places per record, drawn one after the other with the
-    given ``weights(i, weight)``, each draw among the places not taken.
+def weighted_places(records: DataFrame, weights: DataFrame, seed: int, table: str) -> DataFrame:
+    """(row_id, place): ``copies`` distinct places per record (all places, if these are fewer), drawn one
+    after the other with the given ``weights(i, weight)``, each draw among the places not taken.
 
     A draw is a point on the line of places laid end to end, taken places cut out. Places are
     found by an equi join on a grid over that line; a grid cell holds the same share of records
@@ -134,10 +134,11 @@ def weighted_places(records: DataFrame, weights: DataFrame, max_copy: int, seed:
         "lo", F.col("hi") - F.col("weight")).withColumn(
         "top", F.expr("if(lead(i) over (order by i) is null, 2D, hi)")).withColumn(
         "_cell", F.explode(F.expr(f"sequence(cast(floor(lo * {GRID}) as int), cast(least(floor(hi * {GRID}), {GRID - 1}) as int))")))
-    line = cut(line.select("_cell", F.col("i").cast("bigint").alias("_i"), "lo", "hi", "top"))
+    line, ends = cut(line.select("_cell", F.col("i").cast("bigint").alias("_i"), "lo", "hi", "top"), places=F.max("_i"))
+    records, seen = cut(records.select("row_id", "copies"), most=F.max("copies"))
     taken_type = "array<struct<lo:double,hi:double,place:bigint>>"
     now = records.select("row_id", "copies", F.array().cast(taken_type).alias("taken"))
-    for j in range(1, max_copy + 1):
+    for j in range(1, min(seen["most"] or 0, ends["places"] or 0) + 1):
         mass = "aggregate(taken, 0D, (m, p) -> m + p.hi - p.lo)"
         now = now.withColumn("_x", draw(seed, f"weight-{table}", F.col("row_id"), F.lit(j)) * (1 - F.expr(mass)))
         now = now.withColumn("_x", F.expr(
@@ -190,7 +191,7 @@ def assign_table(records: DataFrame, table: str, table_owners: DataFrame, config
         places = uniform_places(counted, m, config.seed, table)
     else:
         weights = zipf_weights(table_owners.select(F.col("place").alias("i")), config.beta)
-        places = weighted_places(counted, weights, min(config.max_copy, m), config.seed, table)
+        places = weighted_places(counted, weights, config.seed, table)
     pairs = places.join(table_owners.select("place", "owner_id"), "place").select("row_id", "owner_id")
     whole = repair_starved(cut(pairs), table_owners.select("owner_id"))
     return whole.select(F.lit(table).alias("table"), "row_id", "owner_id")

@@ -113,14 +113,15 @@ def union_polynomial(states: DataFrame) -> DataFrame:
         F.sum("coeff").alias("coeff")).where("coeff <> 0")
 
 
-def child_products(states: DataFrame, children: DataFrame, most: int) -> DataFrame:
+def child_products(states: DataFrame, children: DataFrame) -> DataFrame:
     """(game_id, members, degree, coeff): product of the polynomials ``children(game_id, child_id,
-    degree, coeff)`` over the members of each state. ``most`` is the largest number of members."""
+    degree, coeff)`` over the members of each state, in as many rounds as the largest state has members."""
+    states, seen = cut(states.select("game_id", "members").distinct(), most=F.max(F.size("members")))
     child = children.select("game_id", F.col("child_id").alias("_child"), F.col("degree").alias("_d"),
                             F.col("coeff").alias("_c"))
-    grown = states.select("game_id", "members").distinct().withColumns(
+    grown = states.withColumns(
         {"degree": F.lit(0).cast("bigint"), "coeff": F.lit(1).cast("bigint")})
-    for i in range(most):
+    for i in range(seen["most"] or 0):
         with_child = grown.withColumn("_child", F.get("members", F.lit(i)))
         grown = (
             with_child.join(child, ["game_id", "_child"], "left")
@@ -130,16 +131,16 @@ def child_products(states: DataFrame, children: DataFrame, most: int) -> DataFra
     return grown.where("coeff <> 0")
 
 
-def expression_polynomial(states: DataFrame, children: DataFrame, most: int) -> DataFrame:
+def expression_polynomial(states: DataFrame, children: DataFrame) -> DataFrame:
     """(game_id, degree, coeff): the function with the children's polynomials put in."""
     weight = states.select("game_id", "members", F.col("coeff").alias("_w"))
-    return child_products(states, children, most).join(weight, ["game_id", "members"]).groupBy(
+    return child_products(states, children).join(weight, ["game_id", "members"]).groupBy(
         "game_id", "degree").agg(F.sum(F.col("coeff") * F.col("_w")).alias("coeff")).where("coeff <> 0")
 
 
-def interaction_polynomial(a: DataFrame, b: DataFrame, children: DataFrame, most: int) -> DataFrame:
+def interaction_polynomial(a: DataFrame, b: DataFrame, children: DataFrame) -> DataFrame:
     """The polynomial of the AND of two functions, given the union states of both."""
     other = b.select("game_id", F.col("members").alias("_m"), F.col("coeff").alias("_c"))
     both = a.join(other, "game_id").groupBy("game_id", S.union(F.col("members"), F.col("_m")).alias("members")).agg(
         F.sum(F.col("coeff") * F.col("_c")).alias("coeff")).where("coeff <> 0")
-    return expression_polynomial(both, children, most)
+    return expression_polynomial(both, children)

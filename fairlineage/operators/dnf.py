@@ -12,13 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import sets as S
+from ..session import cut
 
 KEYS = ["game_id", "term"]
 
-# Terms up to this width are checked against a list of their own subsets (at most 2^10 rows per
-# term, whatever the size of the game); wider ones against terms that share their rarest owner.
-SUBSET_WIDTH = 10
-
 
 def from_pairs(imp: DataFrame) -> DataFrame:
     """(game_id, imp_id, owner_id) → (game_id, term); the inverse of :func:`to_pairs`."""
@@ -86,38 +83,23 @@ def minimise(dnf: DataFrame) -> DataFrame:
     least = dnf.groupBy("game_id").agg(F.min(F.size("term")).alias("_least"), F.max(F.size("term")).alias("_most"))
     mixed = least.where("_least < _most")  # terms of one size never absorb each other
     wide = dnf.join(mixed, "game_id").where(F.size("term") > F.col("_least"))
-    absorbed = _has_subset_narrow(wide, dnf).unionByName(_has_subset_wide(wide, dnf))
+    absorbed = _has_subset(wide, dnf)
     return dnf.join(absorbed, KEYS, "left_anti")
 
 
-def _proper_subsets(term: str, least: str) -> str:
-    """SQL for the proper non-empty subsets of a term that have at least ``least`` members."""
-    masks = f"filter(sequence(1, (1 << size({term})) - 2), m -> bit_count(m) >= {least})"
-    return f"transform({masks}, m -> filter({term}, (o, i) -> (m >> i) & 1 = 1))"
-
-
-def _has_subset_narrow(wide: DataFrame, dnf: DataFrame) -> DataFrame:
+def _has_subset(wide: DataFrame, dnf: DataFrame) -> DataFrame:
+    """Terms of ``wide`` with a proper subset: it lies wholly inside, so also its rarest owner does; look it up by that."""
     true_game = wide.where("_least = 0").select(*KEYS)
-    narrow = wide.where(f"_least > 0 and size(term) <= {SUBSET_WIDTH}").select(
-        *KEYS, F.explode(F.expr(_proper_subsets("term", "_least"))).alias("_sub"))
-    small = dnf.select(F.col("game_id").alias("_g"), F.col("term").alias("_t"))
-    hits = narrow.join(small, (F.col("game_id") == F.col("_g")) & (F.col("_sub") == F.col("_t")), "left_semi")
-    return hits.select(*KEYS).unionByName(true_game).distinct()
-
-
-def _has_subset_wide(wide: DataFrame, dnf: DataFrame) -> DataFrame:
-    """A subset lies wholly inside the wide term, so also its rarest owner does: look it up by that."""
-    wide = wide.where(f"_least > 0 and size(term) > {SUBSET_WIDTH}").select(*KEYS)
+    wide = wide.where("_least > 0").select(*KEYS)
     pairs = members(dnf.join(wide.select("game_id").distinct(), "game_id", "left_semi"))
     spread = pairs.groupBy("game_id", "owner_id").agg(F.count(F.lit(1)).alias("_n"))
     anchored = pairs.join(spread, ["game_id", "owner_id"]).groupBy(*KEYS).agg(
         F.min(F.struct("_n", "owner_id"))["owner_id"].alias("_anchor"))
     small = anchored.select(F.col("game_id").alias("_g"), F.col("term").alias("_t"), "_anchor")
-    return (
-        members(wide)
-        .join(small, (F.col("game_id") == F.col("_g")) & (F.col("owner_id") == F.col("_anchor"))
-              & (F.size("_t") < F.size("term")) & (F.size(F.array_except("_t", "term")) == 0), "left_semi")
-        .select(*KEYS).distinct())
+    hits = members(wide).join(
+        small, (F.col("game_id") == F.col("_g")) & (F.col("owner_id") == F.col("_anchor"))
+        & (F.size("_t") < F.size("term")) & (F.size(F.array_except("_t", "term")) == 0), "left_semi")
+    return hits.select(*KEYS).unionByName(true_game).distinct()
 
 
 # --- evaluation and restriction ---------------------------------------------------------------
@@ -191,16 +173,17 @@ def rename_variables(dnf: DataFrame, mapping: DataFrame) -> DataFrame:
     return renamed.select("game_id", F.col("_new").alias("term")).unionByName(true_terms).distinct()
 
 
-def expand_clauses(clauses: DataFrame, most: int, column: str = "clauses") -> DataFrame:
+def expand_clauses(clauses: DataFrame, column: str = "clauses") -> DataFrame:
     """AND of ORs → terms: pick one owner of every clause. ``clauses(game_id, clauses)``.
 
-    ``most`` is the largest number of clauses, i.e. of joined tables. A pick that hits the next
+    There are as many rounds as the longest list has clauses. A pick that hits the next
     clause already needs no further owner: anything larger would be absorbed. An empty clause
     makes the game FALSE; no clause at all gives no rows.
     """
+    clauses, seen = cut(clauses.select("game_id", column), most=F.max(F.size(column)))
     grown = clauses.where(F.size(column) > 0).select(
         "game_id", F.col(column).alias("_c"), F.array().cast("array<bigint>").alias("term"))
-    for i in range(most):
+    for i in range(seen["most"] or 0):
         grown = grown.select("game_id", "_c", F.explode(F.expr(
             f"""case when size(_c) <= {i} then array(term)
                      when arrays_overlap(term, get(_c, {i})) then array(term)

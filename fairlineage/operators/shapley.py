@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import sets as S
@@ -9,7 +11,7 @@ from ..session import cut
 from . import dnf as D
 from .coefficients import union_states
 
-MOST_PLAYERS = 30  # beyond, 2^n coalitions are no plan
+MOST_PLAYERS = 62  # a coalition of the exhaustive listing is one bigint; the other methods have no such bound
 LOW_BITS = 10      # coalitions a single task step lists at once: 2^10
 
 
@@ -145,35 +147,35 @@ def combination(dnf: DataFrame) -> DataFrame:
     return from_union_states(union_states(dnf))
 
 
-def lookup(dnf: DataFrame, most: int = MOST_PLAYERS) -> DataFrame:
+def lookup(dnf: DataFrame) -> DataFrame:
     """Grow losing coalitions owner by owner and count the owners who turn them into winning ones.
 
     Every subset of a losing coalition is losing, so only losing ones are grown further; they
-    serve all owners of a game at once.
+    serve all owners of a game at once. A row is one coalition (a sorted owner set), whatever the number of players;
+    whether a newcomer makes it win is looked up among the terms with that newcomer.
     """
-    games = cut(masked_games(dnf, most).withColumn("_rest", F.expr("(1L << n) - 1")))
-    longest = games.agg(F.max("n")).first()[0] or 0
-    # swings: what a term still lacks, where that is one owner
-    lacks = "transform(masks, m -> m & ~coalition)"
-    frontier = games.withColumns({"coalition": F.lit(0).cast("bigint"), "_next": F.lit(0).cast("bigint")})
-    counts = None
-    for size in range(longest):
-        losing = frontier.where(~is_winning())
-        if size % 4 == 3:
-            losing = cut(losing)
-        swings = losing.select(
-            "game_id", "owners", "n",
-            F.explode(F.expr(f"array_distinct(filter({lacks}, x -> bit_count(x) = 1))")).alias("bit"))
-        level = swings.groupBy("game_id", "n", F.expr("get(owners, cast(log2(bit) as int))").alias("owner_id")).agg(
-            F.count(F.lit(1)).alias("swings")).withColumn("k", F.lit(size).cast("bigint"))
-        counts = level if counts is None else counts.unionByName(level)
-        frontier = (
-            losing.where("_next < n")
-            .withColumn("_add", F.explode(F.expr("sequence(_next, n - 1)")))
-            .withColumns({"coalition": F.expr("coalition | (1L << cast(_add as int))"), "_next": F.col("_add") + 1})
-            .drop("_add"))
-    if counts is None:
-        return D.variables(dnf).withColumn("sv", F.lit(0.0))
+    players = D.variables(dnf)
+    terms = D.members(dnf).select(
+        "game_id", F.col("owner_id").alias("_o"),
+        S.difference(F.col("term"), F.array("owner_id")).alias("_rest"), F.col("game_id").alias("_g")).drop("game_id")
+    # a game that is TRUE has no losing coalition
+    frontier = cut(dnf.groupBy("game_id").agg(F.min(F.size("term")).alias("_least")).where("_least > 0").select(
+        "game_id", F.array().cast("array<bigint>").alias("members")))
+    levels, size, growing = [], 0, True
+    while growing:
+        asked = frontier.join(players, "game_id").where(~F.array_contains("members", F.col("owner_id")))
+        wins = (F.col("game_id") == F.col("_g")) & (F.col("owner_id") == F.col("_o")) & S.is_subset(
+            F.col("_rest"), F.col("members"))
+        levels.append(cut(
+            asked.join(terms, wins, "left_semi").groupBy("game_id", "owner_id").agg(F.count(F.lit(1)).alias("swings"))
+            .withColumn("k", F.lit(size).cast("bigint"))))
+        frontier, seen = cut(
+            asked.where(F.coalesce(F.array_max("members") < F.col("owner_id"), F.lit(True)))
+            .join(terms, wins, "left_anti").select("game_id", F.array_append("members", F.col("owner_id")).alias("members")),
+            n=F.count(F.lit(1)))
+        growing, size = seen["n"] > 0, size + 1
+    counts = reduce(DataFrame.unionByName, levels).join(
+        D.owner_counts(dnf).select("game_id", F.col("owners").alias("n")), "game_id")
     return counts.groupBy("game_id", "owner_id").agg(
         F.sum(F.col("swings") * weight(F.col("n"), F.col("k"))).alias("sv"))
 

@@ -187,7 +187,7 @@ def owner_universe(spark, sf):
 def result_json_sink(spark, sf):
     sv = total_sv(spark, sf)
     path = _folder(spark)
-    W.write_result(W.result_document(sv, method="rdsv", csv_dir=sf, sample_size=None), sv, path)
+    W.write_result(W.result_document(sv, method="iusv", csv_dir=sf, sample_size=None), sv, path)
     back = spark.read.schema("method string, num_of_owners bigint, shapley_values map<string,double>").json(
         f"{path}/result.json")
     return back.select("method", "num_of_owners", F.explode("shapley_values").alias("owner", "sv")).select(
@@ -280,7 +280,7 @@ def uniform_record_owners(spark, sf):
 def weighted_record_owners(spark, sf):
     records = _numbered(spark, sf, "part").withColumn("copies", F.col("row_id") % 3 + 1)
     weights = A.zipf_weights(spark.range(1, 51).withColumnRenamed("id", "i"), 3.0)
-    return A.weighted_places(records, weights, 3, 1, "part")
+    return A.weighted_places(records, weights, 1, "part")
 
 
 @query
@@ -541,7 +541,7 @@ def tuple_game_clauses(spark, sf):
 
 @query
 def tuple_game_terms(spark, sf):
-    return _terms(D.expand_clauses(tuple_games(spark, sf), most=8))
+    return _terms(D.expand_clauses(tuple_games(spark, sf)))
 
 
 @query
@@ -964,18 +964,18 @@ def _child_polynomials(games: DataFrame) -> DataFrame:
 def child_product_coefficients(spark, sf):
     games = trade_games(spark, sf)
     states = games.select("game_id", F.col("term").alias("members"))
-    return C.child_products(states, _child_polynomials(games), 8).select(
+    return C.child_products(states, _child_polynomials(games)).select(
         "game_id", _text("members").alias("members"), "degree", "coeff")
 
 
 @query
 def expression_coefficients(spark, sf):
     games = trade_games(spark, sf)
-    return C.expression_polynomial(C.union_states(games), _child_polynomials(games), 8)
+    return C.expression_polynomial(C.union_states(games), _child_polynomials(games))
 
 
 @query
 def interaction_coefficients(spark, sf):
     games, other = trade_games(spark, sf), other_games(spark, sf)
     children = _child_polynomials(games.select(*D.KEYS).unionByName(other))
-    return C.interaction_polynomial(C.union_states(games), C.union_states(D.minimise(other)), children, 8)
+    return C.interaction_polynomial(C.union_states(games), C.union_states(D.minimise(other)), children)

@@ -152,7 +152,7 @@ SQL["dataset_load_with_assignment"] = " UNION ALL ".join(
 SQL["dataset_load_without_assignment"] = (
     "SELECT n_name, r_name, false AS has_assignment FROM nation JOIN region ON n_regionkey = r_regionkey")
 SQL["owner_universe"] = f"WITH {ASSIGNMENT} SELECT DISTINCT owner_id FROM assignment"
-SQL["result_json_sink"] = f"""WITH {TOTAL} SELECT 'rdsv' AS method, (SELECT count(*) FROM total) AS num_of_owners, owner_id,
+SQL["result_json_sink"] = f"""WITH {TOTAL} SELECT 'iusv' AS method, (SELECT count(*) FROM total) AS num_of_owners, owner_id,
   round(sv, 4) AS sv FROM total"""
 SQL["assignment_sink"] = f"WITH {ASSIGNMENT} SELECT DISTINCT * FROM assignment"
 SQL["delimited_scan"] = ("SELECT s_suppkey, s_name, 'street' AS s_address, s_nationkey, s_acctbal, 'none' AS s_comment "

@@ -51,13 +51,13 @@ def read_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def parquet_dataset(spark: SparkSession, sf_dir: str, owners: int = OWNERS) -> Dataset:
-    """Tables with ``_row_id`` and the owner set of each row stored beside it in ``_owners``."""
+    """Tables with ``_row_id``, and the (table, row_id, owner_id) pairs of the rule as their assignment."""
     tables, pairs = {}, None
     for name, df in read_tables(spark, sf_dir).items():
         key, salt = ROW_KEYS[name]
         df = df.withColumn(ROW_ID, F.expr(f"cast({key} as bigint)"))
-        tables[name] = df.withColumn("_owners", Rule(salt, owners).owner_set(F.col(ROW_ID)))
-        owned = tables[name].select(
-            F.lit(name).alias("table"), F.col(ROW_ID).alias("row_id"), F.explode("_owners").alias("owner_id"))
+        tables[name] = df
+        owned = df.select(F.lit(name).alias("table"), F.col(ROW_ID).alias("row_id"),
+                          F.explode(Rule(salt, owners).owner_set(F.col(ROW_ID))).alias("owner_id"))
         pairs = owned if pairs is None else pairs.unionByName(owned)
     return Dataset("tpch", tables, pairs.distinct())

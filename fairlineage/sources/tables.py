@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..session import cut
 from .schemas import SOCCER_IDS, schema_of
 
 ROW_ID = "_row_id"
@@ -76,17 +78,26 @@ def read_folder(spark: SparkSession, folder: str, infer: bool = False) -> dict[s
     }
 
 
+def _with_split(df: DataFrame) -> DataFrame:
+    """Rows with the file and place in it that they come from; what is no plain file scan is written first,
+    so that a row's place is the same in every branch and every retry."""
+    if {_FILE, _BLOCK} <= set(df.columns):
+        return df
+    place = F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK)
+    try:
+        return df.select("*", *place)
+    except AnalysisException:
+        return cut(df).select("*", *place)
+
+
 def with_position(df: DataFrame, name: str = "pos") -> DataFrame:
     """0-based position of a row in the order of the scan, without a global sort.
 
     Rows number themselves inside their piece of input; only the pieces' row counts (one row per
-    file split or partition) are summed up in order and joined back. File scans made by
-    :func:`_scan_lines` carry their split, so part files count in name order.
+    file split) are summed up in order and joined back. Part files count in name order, whatever their sizes.
     """
-    split = [c for c in (_FILE, _BLOCK) if c in df.columns]
-    numbered = df.withColumn("_mid", F.monotonically_increasing_id())
-    if not split:
-        numbered, split = numbered.withColumn("_part", F.shiftright("_mid", 33)), ["_part"]
+    split = [_FILE, _BLOCK]
+    numbered = _with_split(df).withColumn("_mid", F.monotonically_increasing_id())
     counts = numbered.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     running = f"sum(_n) over (order by {', '.join(split)} rows between unbounded preceding and current row)"
     starts = counts.select(
@@ -94,7 +105,7 @@ def with_position(df: DataFrame, name: str = "pos") -> DataFrame:
         F.expr(f"{running} - _n - _first").alias("_shift"))
     same_split = [F.col(c) == F.col(f"_at{i}") for i, c in enumerate(split)]
     return numbered.join(starts, same_split).withColumn(name, F.col("_mid") + F.col("_shift")).drop(
-        "_mid", "_shift", "_part", *split, *[f"_at{i}" for i in range(len(split))])
+        "_mid", "_shift", *split, *[f"_at{i}" for i in range(len(split))])
 
 
 def _scan_lines(spark: SparkSession, path: str, line_sep: str = "\n") -> DataFrame:

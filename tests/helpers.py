@@ -67,7 +67,7 @@ def random_games(rng, count, owners=7, terms=6):
 
 def substituted_games(rng, count):
     """Games with nested modules: variables of a prime function replaced by functions."""
-    outer = ["1 2 + 2 3 + 1 3", "1 2 + 2 3 + 3 4", "1 2 4 + 1 2 5 + 2 3 4 + 2 3 5 + 4 5"]
+    outer = ["1 2 + 2 3 + 1 3", "1 2 + 2 3 + 3 4", "1 4 + 2 5 + 1 3 5 + 2 3 4"]
     inner = ["{a}", "{a} {b}", "{a} + {b}", "{a} {b} + {b} {c} + {a} {c}", "{a} {b} + {c}"]
     games = {}
     for i in range(count):

@@ -1,6 +1,8 @@
+from itertools import combinations, product
+
 from fairlineage.operators import coefficients as C
 
-from .helpers import dnf_table
+from .helpers import dnf_table, parse
 
 
 def poly(spark, coeffs, game="g"):
@@ -25,15 +27,36 @@ def test_arithmetic(spark):
     assert C.value_of(a).first()["value"] == 2.0
 
 
+def times(*polys):
+    out = {0: 1}
+    for p in polys:
+        new = {}
+        for (d, c), (e, f) in product(out.items(), p.items()):
+            new[d + e] = new.get(d + e, 0) + c * f
+        out = new
+    return out
+
+
+def put_in(term_list, polys):
+    """Inclusion-exclusion over all sets of terms, with the members' polynomials multiplied."""
+    out = {}
+    for k in range(1, len(term_list) + 1):
+        for chosen in combinations(term_list, k):
+            for d, c in times(*[polys[i] for i in set().union(*chosen)]).items():
+                out[d] = out.get(d, 0) + (c if k % 2 else -c)
+    return {d: c for d, c in out.items() if c}
+
+
 def test_expressions(spark):
-    two = children(spark, [{1: 1, 2: 1, 3: -1}, {1: 2, 3: -2, 4: 1}])
-    states = C.union_states(dnf_table(spark, {"g": "0 1"}))
-    assert got(C.expression_polynomial(states, two, 2)) == {2: 2, 3: 2, 4: -4, 5: -1, 6: 3, 7: -1}
-    three = children(spark, [{1: 1}, {1: 1}, {1: 3, 2: -3, 3: 1}])
-    states = C.union_states(dnf_table(spark, {"g": "0 1 + 0 2 + 1 2"}))
-    assert got(C.expression_polynomial(states, three, 3)) == {2: 7, 3: -12, 4: 8, 5: -2}
-    a, b = C.union_states(dnf_table(spark, {"g": "0 + 2"})), C.union_states(dnf_table(spark, {"g": "0 2"}))
-    assert got(C.interaction_polynomial(a, b, three, 3)) == {2: 3, 3: -3, 4: 1}
+    polys = [{1: 2}, {1: 1, 3: -1}, {2: 5, 3: 1}, {1: -3, 2: 4}, {4: 1}, {1: 1}, {1: 7}, {2: 2}, {1: 1, 2: 1}, {1: 3}]
+    table = children(spark, polys)
+    for text in ("0 1", "0 1 + 1 2 + 3", "2 3 4 + 0 4", "0 1 2 3 4 5 6 7 8 + 9"):
+        states = C.union_states(dnf_table(spark, {"g": text}))
+        assert got(C.expression_polynomial(states, table)) == put_in([set(t) for t in parse(text)], polys)
+    a, b = "0 + 2 3", "1 2 + 4"
+    both = [set(s) | set(t) for s, t in product(parse(a), parse(b))]
+    a, b = (C.union_states(dnf_table(spark, {"g": t})) for t in (a, b))
+    assert got(C.interaction_polynomial(a, b, table)) == put_in(both, polys)
 
 
 def test_leave_one_out(spark):

@@ -1,51 +1,64 @@
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from fairlineage.operators import modules as M
 from fairlineage.operators import synthesis as T
 
-from .golden import GAMES, NESTED
-from .helpers import dnf_table, sets_table, terms, texts
+from .golden import GAMES
+from .helpers import dnf_table, parse, sets_table, terms, texts
 
 
 def test_components(spark):
-    games = {"a": "1 3 + 2 3 + 4 5 + 6 + 7", "b": "1 3 + 2 3 + 1 4 + 2 4",
+    games = {"a": "2 9 + 5 9 + 3 4 + 8", "b": "1 6 + 1 7 + 2 6 + 2 7",
              "chain": " + ".join(f"{i} {i + 1}" for i in range(1, 40))}
     parts = {}
     for r in M.owner_components(dnf_table(spark, games)).collect():
         parts.setdefault((r["game_id"], r["part"]), set()).add(r["owner_id"])
-    assert parts == {("a", 1): {1, 2, 3}, ("a", 4): {4, 5}, ("a", 6): {6}, ("a", 7): {7}, ("b", 1): {1, 2, 3, 4},
-                     ("chain", 1): set(range(1, 41))}
+    assert parts == {("a", 2): {2, 5, 9}, ("a", 3): {3, 4}, ("a", 8): {8}, ("b", 1): {1, 2, 6, 7}, ("chain", 1): set(range(1, 41))}
 
 
-def test_module_test(spark):
-    dnf = dnf_table(spark, {"g": "1 2 4 5 + 1 2 6 + 2 3 4 5 + 2 3 6 + 4 6"})
-    assert M.module_test(dnf, sets_table(spark, {"g": [1, 2, 3]})).first()["is_module"]
-    assert not M.module_test(dnf, sets_table(spark, {"g": [1, 4]})).first()["is_module"]
+def is_module(ts, s):
+    """Terms that touch s, cut to s and outside s, combine freely."""
+    touching = [t for t in ts if t & s]
+    return all((a & s) | (b - s) in ts for a in touching for b in touching)
 
 
-def test_closure(spark):
-    f = " + ".join(f"{p} {q} 6" for p in ("1 2", "1 3", "2 3") for q in (4, 5))
-    seeds = spark.createDataFrame([("g", 0, [1]), ("g", 1, [1, 2]), ("g", 2, [1, 4])],
-                                  "game_id string, seed int, members array<bigint>")
-    got = {r["seed"]: r["members"] for r in M.closure(dnf_table(spark, {"g": f}), seeds).collect()}
-    assert got == {0: [1], 1: [1, 2, 3], 2: [1, 2, 3, 4, 5]}
+def test_modules_against_brute_force(spark):
+    games = {k: {frozenset(t) for t in parse(v)} for k, v in {
+        "m": "1 2 7 + 1 3 7 + 2 3 7 + 5 7 + 6", "n": "1 4 + 2 5 + 1 3 5 + 2 3 4", "o": "1 2 8 9 + 3 8 9 + 1 2 4"}.items()}
+    asked = {"m": [{1, 2, 3}, {1, 2}, {1, 2, 3, 5}, {7, 6}], "n": [{1, 2}, {3}, {4, 5}, {1, 2, 3, 4, 5}], "o": [{1, 2}, {8, 9}, {1, 8}, {3, 4}]}
+    dnf = dnf_table(spark, {g: " + ".join(" ".join(map(str, sorted(t))) for t in ts) for g, ts in games.items()})
+    for i in range(4):
+        got = {r["game_id"]: r["is_module"] for r in M.module_test(dnf, sets_table(spark, {g: a[i] for g, a in asked.items()})).collect()}
+        assert got == {g: is_module(games[g], frozenset(a[i])) for g, a in asked.items()}
+    rows = [(g, i, sorted(s)) for g, a in asked.items() for i, s in enumerate(a)]
+    seeds = spark.createDataFrame(rows, "game_id string, seed int, members array<bigint>")
+    for r in M.closure(dnf, seeds).collect():
+        ts, seed = games[r["game_id"]], asked[r["game_id"]][r["seed"]]
+        owners = sorted(frozenset().union(*ts) - seed)
+        larger = [frozenset(seed) | set(c) for k in range(len(owners) + 1) for c in combinations(owners, k)]
+        assert frozenset(r["members"]) == next(m for m in larger if is_module(ts, m))
 
 
 def test_trees(spark):
-    games = {"x": NESTED, "y": "1 3 + 2 3 + 1 4 + 2 4", "z": "1 + 2 + 3 + 4", "v": "5", **GAMES}
+    # two of (a, b, c), where a is 3, b is two of (6, 7, 8), c is 9 or both of 4 and 5
+    inner = {"3": ["3"], "b": ["6 7", "6 8", "7 8"], "c": ["9", "4 5"]}
+    nested = " + ".join(f"{x} {y}" for p, q in (("3", "b"), ("3", "c"), ("b", "c")) for x in inner[p] for y in inner[q])
+    games = {"x": nested, "y": "1 6 + 1 7 + 2 6 + 2 7", "z": "2 + 4 + 6", "v": "5", **GAMES}
     dnf = dnf_table(spark, games)
     d = T.decompose(dnf)
     text = {r["game_id"]: r["text"] for r in T.canonical_text(d).collect()}
-    assert text["x"] == "hybrid[4, hybrid[1, 2, 3], or[7, and[5, 6]]]"
-    assert text["y"] == "and[or[1, 2], or[3, 4]]"
-    assert text["z"] == "or[1, 2, 3, 4]" and text["v"] == "5"
+    assert text["x"] == "hybrid[3, hybrid[6, 7, 8], or[9, and[4, 5]]]"
+    assert text["y"] == "and[or[1, 2], or[6, 7]]"
+    assert text["z"] == "or[2, 4, 6]" and text["v"] == "5"
     modules, quotient, parts = T.split_once(d)
     top = {}
     for r in modules.where("game_id = 'x'").collect():
         top.setdefault(r["module"], set()).add(r["owner_id"])
         assert r["kind"] == "hybrid"
-    assert top == {1: {1, 2, 3}, 4: {4}, 5: {5, 6, 7}}
-    assert texts(quotient)["x"] == terms("1 4 + 1 5 + 4 5")
-    inner = texts(parts.where("game_id = 'x'").select(F.col("module").cast("string").alias("game_id"), "term"))
-    assert inner == {"1": terms("1 2 + 2 3 + 1 3"), "4": terms("4"), "5": terms("5 6 + 7")}
+    assert top == {3: {3}, 4: {4, 5, 9}, 6: {6, 7, 8}}
+    assert texts(quotient)["x"] == terms("3 4 + 3 6 + 4 6")
+    found = texts(parts.where("game_id = 'x'").select(F.col("module").cast("string").alias("game_id"), "term"))
+    assert found == {"3": terms("3"), "4": terms("9 + 4 5"), "6": terms("6 7 + 6 8 + 7 8")}
     assert texts(T.expand(d)) == {g: terms(t) for g, t in games.items()}

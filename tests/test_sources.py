@@ -60,7 +60,7 @@ def test_weighted_places(spark):
     n = 4000
     records = spark.range(n).select(F.col("id").alias("row_id"), (F.col("id") % 3 + 1).alias("copies"))
     weights = A.zipf_weights(spark.range(1, 6).withColumnRenamed("id", "i"), 1.0)
-    p = A.weighted_places(records, weights, 3, 0, "t")
+    p = A.weighted_places(records, weights, 0, "t")
     assert p.count() == p.distinct().count() == records.agg(F.sum("copies")).first()[0]
     first = p.join(records.where("copies = 1"), "row_id").groupBy("place").count().collect()
     share = {r["place"]: r["count"] for r in first}
