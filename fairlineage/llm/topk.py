@@ -57,11 +57,12 @@ def nearest(codes: DataFrame, queries: DataFrame, segments: int, k: int) -> Data
     open_, state = cut(queries.where("key IS NOT NULL").select(F.col("code").alias("query")).distinct().withColumn(
         "limit", F.lit(BITS * segments)), rows=F.count(F.lit(1)))
     entries = index.select("code", "keys", F.posexplode("code").alias("segment", "value"))
-    best, radius = None, 0
+    best, radius, tasks = None, 0, int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while state["rows"] and radius <= BITS:
         masks = F.filter(F.sequence(F.lit(0), F.lit((1 << BITS) - 1)), lambda x: F.bit_count(x) == radius)
         probes = (
-            open_.select("query", "limit", F.posexplode("query").alias("segment", "own"))
+            open_.repartition(tasks, "query")
+            .select("query", "limit", F.posexplode("query").alias("segment", "own"))
             .select("query", "limit", "segment", "own", F.explode(masks).alias("mask"))
             .select("query", "limit", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value")))
         apart = [F.bit_count(F.col("query")[i].bitwiseXOR(F.col("code")[i])) for i in range(segments)]
@@ -69,7 +70,8 @@ def nearest(codes: DataFrame, queries: DataFrame, segments: int, k: int) -> Data
         at = F.col("p.segment")
         first = reduce(lambda a, b: a & b, [
             F.when(at > i, d > radius).when(at < i, d >= radius).otherwise(True) for i, d in enumerate(apart)])
-        met = probes.alias("p").join(
+        # probes are many times the open queries they are made from, so neither side is one to broadcast
+        met = probes.alias("p").hint("merge").join(
             entries.alias("e"), (F.col("p.segment") == F.col("e.segment")) & (F.col("p.value") == F.col("e.value"))
             & (distance <= F.col("limit")) & first).select("query", distance.alias("distance"), F.explode("keys").alias("k"))
         met = met.select("query", F.col("k.key").alias("key"), "distance")
