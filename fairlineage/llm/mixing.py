@@ -146,8 +146,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
         starts.where("size > 0")
         .withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
         .withColumn("block_start", F.col("block") * block))
+    # both sides are made from few rows but hold one per block, so neither is one to broadcast
     pieces = (
-        parts.join(slots, ["source_no", "block"])
+        parts.hint("merge").join(slots, ["source_no", "block"])
         .select(
             "row_no", "source_no", "shard", "place", "epoch", "block",
             (F.greatest("start", "block_start") - F.col("start")).alias("from"),
