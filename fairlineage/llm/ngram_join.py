@@ -284,7 +284,7 @@ def grouped_rows(docs: DataFrame, carried: Sequence[str], words_each: int, perce
         links = block_links(table["id"].to_numpy(), table["side"].to_numpy(), sets, percent)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    links = placed.join(texts, "id").groupBy("family", "pair").applyInArrow(work, "a long, b long")
+    links = placed.hint("merge").join(texts, "id").groupBy("family", "pair").applyInArrow(work, "a long, b long")
     return rows, components(cut(links.unionByName(copies)))
 
 
