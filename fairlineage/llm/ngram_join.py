@@ -5,17 +5,16 @@ group counts are a point. Two sets that share o of their a and b tokens differ b
 coordinate differences at least, so points of similar sets lie close together, and the sum of coordinate
 minima bounds o from above. The index over these points is laid out for a shuffle:
 
-* The top level splits by the total of the coordinates (the set's size) into size classes. A set also
-  enters the class above if its partner may be there.
-* Below, a class cuts its coordinates into segments of many groups each. Similar sets differ in fewer tokens than a class has
-  segments, so some segments have equal coordinates in both: each (class, segment, its coordinates) is a box, and similar
-  points share a box. Boxes with one point are leaves without partners and go.
-* Points joined through boxes form families. A family is cut into blocks of bounded size, and pairs of
+* A set's tokens are put in one order for all sets, rare ones first. Similar sets share a token among the
+  first few (all but the overlap that similarity asks for, and one more), so points are dealt by these tokens.
+  How rare a token is comes from the counts of all documents' tokens in a fixed number of groups; any
+  order loses no pair, a good one keeps tokens that very many sets share out of the first few.
+* Points joined through such tokens form families. A family is cut into blocks of bounded size, and pairs of
   blocks whose sizes allow a link are compared: leaves of a few points with their bounding boxes first, then points by
   their summed coordinate minima, and the surviving pairs by their sets.
 
-A plain R-tree over the points does not prune here (in tens of dimensions, boxes of unlike sets overlap),
-so equal segments take the place of its inner nodes; bounds and leaves are the R-tree's.
+One R-tree over all points does not prune here (in tens of dimensions boxes of unlike sets overlap), so
+the dealing by tokens takes the place of its upper nodes; the leaves, their boxes and the bounds are the R-tree's.
 
 Sets that are equal are one point from the start, so groups of copies are never expanded into pairs. In a
 block only links that connect something new are emitted. Links are exact: no bound loses a pair.
@@ -39,11 +38,11 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut, ship_package
 from .common import components, mixed, pack, slices, small_side, unpack
 
-#: Segments beyond those that differences can touch; groups of a segment; a class's largest set over its smallest.
-SPARE, GROUPS, STEP = 3, 1 << 40, 1.25
+#: Groups in which tokens are counted to tell rare ones: the size of what is sent to all tasks (4 bytes each).
+COUNTERS = 1 << 20
 #: Most documents and most tokens of one side of a block, and points of a leaf: division of work only.
 BLOCK_ROWS, BLOCK_TOKENS, LEAF = 1024, 2_000_000, 16
-#: Rows of a slice and boxes of a bucket: division of work only.
+#: Rows of a slice and tokens of a bucket: division of work only.
 SLICE, BUCKET = 4096, 1_500_000
 
 class WordHashes(dict):
@@ -70,68 +69,67 @@ def shingle_set(text: bytes, words_each: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-def class_bounds(percent: int) -> list[int]:
-    """Smallest set size of each class; below the first, similar sets are equal."""
-    first = percent // (100 - percent)
-    bounds = [max(1, first)]
-    while bounds[-1] < 1 << 40:
-        bounds.append(max(bounds[-1] + 1, int(bounds[-1] * STEP)))
-    return bounds
+def rare_first(tokens: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The first tokens of a set, of which any similar set has one among its own first, as 64-bit numbers.
 
-
-def boxes(tokens: np.ndarray, bounds: Sequence[int], percent: int) -> np.ndarray:
-    """The boxes of a set's point, as 64-bit hashes of (class, segment, coordinates).
-
-    Of a class's segments at most ``most`` differ between similar sets, so that SPARE + 1 are equal. Segments
-    without tokens say little; they are left out unless a set has more of them than SPARE, in which case
-    some equal segment has tokens.
+    A similar set has at least percent/100 of the n tokens, so one of any n - ceil(n * percent / 100) + 1.
     """
     n = len(tokens)
-    own = int(np.searchsorted(bounds, n, side="right")) - 1
-    if own < 0:
+    if not n:
         return np.empty(0, np.int64)
-    out = []
-    for level in (own, own + 1):
-        if level > own and 100 * n < percent * bounds[level]:
-            break
-        most = (bounds[level + 1] - 1) * (100 - percent) // percent
-        segments = most + 1 + SPARE
-        spread = mixed(tokens + np.uint64(level + 1))
-        segment = ((spread >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
-        group = mixed((spread & np.uint64(GROUPS - 1)) + np.uint64(1))
-        order = np.argsort(segment, kind="stable")
-        starts = np.flatnonzero(np.diff(segment[order], prepend=-1))
-        sums = np.add.reduceat(group[order], starts)
-        there = segment[order][starts].astype(np.uint64)
-        if segments - len(there) > SPARE:
-            full = np.zeros(segments, np.uint64)
-            full[there.astype(np.int64)] = sums
-            there, sums = np.arange(segments, dtype=np.uint64), full
-        out.append(mixed(sums + mixed(there + np.uint64(level << 40))))
-    return np.concatenate(out).view(np.int64)
+    keep = n + (-n * percent // 100) + 1
+    order = np.lexsort((tokens, counts[(mixed(tokens) % np.uint64(len(counts))).astype(np.int64)]))
+    return tokens[order[:keep]].view(np.int64)
 
 
-def index_points(docs: DataFrame, carried: Sequence[str], words_each: int, percent: int, text: str) -> DataFrame:
-    """(row struct, n, print, boxes) of every row: set size, 128-bit print of the set and its boxes."""
+def token_counts(docs: DataFrame, words_each: int, text: str) -> np.ndarray:
+    """How many (document, token) pairs fall into each group of tokens, over all documents: COUNTERS numbers."""
     ship_package(docs.sparkSession)
+    width = 1 << 12
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = WordHashes(), np.zeros(COUNTERS, np.int64)
+        for part in slices(batches, 512):
+            for t in part.column(0).to_pylist():
+                group = (mixed(shingle_set(t, words_each, hashes)) % np.uint64(COUNTERS)).astype(np.int64)
+                np.add.at(counts, group, 1)
+        for at in range(0, COUNTERS, width):
+            if counts[at:at + width].any():
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([pack(counts[at:at + width])])], ["at", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(unpack(c) for c in table["counts"].to_pylist())
+        return pa.table({"at": table["at"][:1], "counts": pa.array([pack(total)])})
+
+    kinds = "at long, counts binary"
+    out = np.zeros(COUNTERS, np.uint32)
+    rows = docs.select(F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    for r in rows.mapInArrow(count, kinds).groupBy("at").applyInArrow(add, kinds).collect():
+        part = unpack(r["counts"])
+        out[r["at"]:r["at"] + len(part)] = np.minimum(part, 0xFFFFFFFF)
+    return out
+
+
+def index_points(docs: DataFrame, carried: Sequence[str], words_each: int, percent: int, text: str) -> DataFrame:
+    """(row struct, n, print, first) of every row: set size, 128-bit print of the set and its first tokens."""
+    counts = docs.sparkSession.sparkContext.broadcast(token_counts(docs, words_each, text))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"),
                        F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    bounds = class_bounds(percent)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in slices(batches, 512):
             sets = [shingle_set(t, words_each, hashes) for t in part.column(1).to_pylist()]
-            found = [boxes(s, bounds, percent) for s in sets]
+            found = [rare_first(s, counts.value, percent) for s in sets]
             ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([
                 part.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int64))),
-            ], ["row", "n", "print", "boxes"])
+            ], ["row", "n", "print", "first"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(work, f"row {kind}, n long, print binary, boxes array<long>")
+    return rows.mapInArrow(work, f"row {kind}, n long, print binary, first array<long>")
 
 
 def block_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -139,7 +137,7 @@ def block_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], perc
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(ids[i])))
     ids, sides, sets = ids[order], sides[order], [sets[i] for i in order]
     size = np.array([len(s) for s in sets], np.int64)
-    dims = int(8 * (size[-1] * (100 - percent) // percent + 1 + SPARE))
+    dims = int(8 * (size[-1] * (100 - percent) // percent + 4))
     points = np.zeros((len(sets), dims), np.uint16)
     for i, s in enumerate(sets):
         points[i] = np.minimum(np.bincount((mixed(s) % np.uint64(dims)).astype(np.int64), minlength=dims), 65535)
@@ -178,53 +176,53 @@ def block_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], perc
     return links
 
 
-def box_edges(rows: DataFrame, buckets: int) -> DataFrame:
-    """(a, b): rows that share a box, as edges to the box's smallest row. ``rows``: (row_no, boxes).
+def token_edges(rows: DataFrame, buckets: int) -> DataFrame:
+    """(a, b): rows that share a first token, as edges to the token's smallest row. ``rows``: (row_no, first).
 
-    A slice of rows first joins its own rows that share a box and sends each box once, to the bucket of its
-    hash; so a box that very many rows share costs an entry per slice. Buckets grow in number with the rows.
+    A slice of rows first joins its own rows that share a token and sends each token once, to the bucket of its
+    hash; so a token that very many rows share costs an entry per slice. Buckets grow in number with the rows.
     """
 
-    def first_of(box: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct boxes, their smallest rows, and edges of all other rows of a box to it."""
-        order = np.lexsort((row, box))
-        box, row = box[order], row[order]
-        start = np.append(True, box[1:] != box[:-1])
+    def first_of(token: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct tokens, their smallest rows, and edges of all other rows of a token to it."""
+        order = np.lexsort((row, token))
+        token, row = token[order], row[order]
+        start = np.append(True, token[1:] != token[:-1])
         least = row[np.flatnonzero(start)]
         edges = np.stack([row, least[np.cumsum(start) - 1]])
-        return box[start], least, np.unique(edges[:, edges[0] != edges[1]], axis=1)
+        return token[start], least, np.unique(edges[:, edges[0] != edges[1]], axis=1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, SLICE):
             lists = part.column(1)
-            box = lists.flatten().to_numpy().view(np.uint64)
-            if not len(box):
+            token = lists.flatten().to_numpy().view(np.uint64)
+            if not len(token):
                 continue
             row = np.repeat(part.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
-            box, least, edges = first_of(box, row)
-            of = (((box >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+            token, least, edges = first_of(token, row)
+            of = (((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(of, prepend=-1))
-            ends = [*cuts[1:], len(box)]
+            ends = [*cuts[1:], len(token)]
             n, m = len(cuts), edges.shape[1]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([of[cuts], edges[0] % buckets])),
-                pa.array([pack(np.diff(box[x:y], prepend=np.uint64(0))) for x, y in zip(cuts, ends)] + [None] * m, pa.binary()),
+                pa.array([pack(np.diff(token[x:y], prepend=np.uint64(0))) for x, y in zip(cuts, ends)] + [None] * m, pa.binary()),
                 pa.array([pack(least[x:y]) for x, y in zip(cuts, ends)] + [None] * m, pa.binary()),
                 pa.array([None] * n + edges[0].tolist(), pa.int64()), pa.array([None] * n + edges[1].tolist(), pa.int64()),
-            ], ["bucket", "boxes", "rows", "a", "b"])
+            ], ["bucket", "tokens", "rows", "a", "b"])
 
     def meet(table: pa.Table) -> pa.Table:
-        sent = table.filter(table["boxes"].is_valid())
+        sent = table.filter(table["tokens"].is_valid())
         own = table.filter(table["a"].is_valid()).select(["a", "b"])
         if not sent.num_rows:
             return own
-        box = np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in sent["boxes"].to_pylist()])
+        token = np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in sent["tokens"].to_pylist()])
         row = np.concatenate([unpack(x) for x in sent["rows"].to_pylist()]).astype(np.int64)
-        _, _, edges = first_of(box, row)
+        _, _, edges = first_of(token, row)
         return pa.concat_tables([own, pa.table({"a": edges[0], "b": edges[1]})])
 
-    kinds = "bucket long, boxes binary, rows binary, a long, b long"
-    return rows.select("row_no", "boxes").mapInArrow(send, kinds).groupBy("bucket").applyInArrow(meet, "a long, b long")
+    kinds = "bucket long, tokens binary, rows binary, a long, b long"
+    return rows.select("row_no", "first").mapInArrow(send, kinds).groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def family_blocks(members: DataFrame, percent: int) -> DataFrame:
@@ -261,14 +259,14 @@ def grouped_rows(docs: DataFrame, carried: Sequence[str], words_each: int, perce
     """All rows (row, row_no, key, n), and (row_no, label) of those linked with another row."""
     rows, seen = cut(
         index_points(docs, carried, words_each, percent, text).withColumn("row_no", F.monotonically_increasing_id()),
-        boxes=F.coalesce(F.sum(F.size("boxes")), F.lit(0)))
-    buckets = max(1, seen["boxes"] // BUCKET)
+        tokens=F.coalesce(F.sum(F.size("first")), F.lit(0)))
+    buckets = max(1, seen["tokens"] // BUCKET)
     rows = rows.withColumn("key", F.col("row")[key])
     full = rows.where("n > 0")
     firsts = full.groupBy("print").agg(F.min("row_no").alias("id"), F.max("row_no").alias("last"))
     copies = cut(full.select("print", "row_no").join(firsts.where("id < last"), "print").where("row_no <> id")
                  .select(F.col("row_no").alias("a"), F.col("id").alias("b")))
-    families = components(box_edges(full, buckets).unionByName(copies))
+    families = components(token_edges(full, buckets).unionByName(copies))
     members, seen = cut(
         families.join(copies, families["node"] == copies["a"], "left_anti")
         .join(full.select(F.col("row_no").alias("node"), "n"), "node")
