@@ -7,7 +7,7 @@ import time
 
 from fairlineage.operators import games as G
 from fairlineage.operators import shapley as V
-from fairlineage.plans.catalog import totals_of_shapes
+from fairlineage.operators.run import totals_of_shapes
 from fairlineage.session import build_session, cut
 from fairlineage.sources import derived as X
 from fairlineage.sources.samples import parquet_dataset

@@ -100,8 +100,11 @@ def merge_twins(dnf: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def meetings(dnf: DataFrame, sets: DataFrame) -> DataFrame:
-    """Every term that touches a set, split into ``s`` inside and ``t`` outside of it."""
-    return sets.join(dnf, "game_id").where(S.overlaps(F.col("term"), F.col("members"))).select(
+    """Every term that touches a set, split into ``s`` inside and ``t`` outside of it. They meet by the owners they share."""
+    asked = sets.select(*sets.columns, F.explode("members").alias("_o"))
+    touching = asked.join(D.members(dnf).withColumnRenamed("owner_id", "_o"), ["game_id", "_o"]).select(
+        *sets.columns, "term").distinct()
+    return touching.select(
         *sets.columns, "term", S.intersection(F.col("term"), F.col("members")).alias("s"),
         S.difference(F.col("term"), F.col("members")).alias("t"))
 

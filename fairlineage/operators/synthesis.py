@@ -41,15 +41,17 @@ class Decomposition:
     steps: list[Step]
 
 
-def _with_born(groups: DataFrame, steps: list[Step]) -> DataFrame:
-    if not steps:
+def _with_born(groups: DataFrame, made: DataFrame | None) -> DataFrame:
+    """Add the round that made each child; ``made(game_id, child, born)`` holds the elements made so far."""
+    if made is None:
         return groups.withColumn("born", F.lit(None).cast("int"))
-    made = None
-    for i, step in enumerate(steps):
-        reps = step.groups.where("child = rep").select("game_id", F.col("rep").alias("child"), F.lit(i).alias("_i"))
-        made = reps if made is None else made.unionByName(reps)
-    latest = made.groupBy("game_id", "child").agg(F.max("_i").alias("born"))
-    return groups.join(latest, ["game_id", "child"], "left").select("game_id", "kind", "rep", "child", "born")
+    return groups.join(made, ["game_id", "child"], "left").select("game_id", "kind", "rep", "child", "born")
+
+
+def _made(groups: DataFrame, made: DataFrame | None, round_: int) -> DataFrame:
+    """``made`` after a round: its groups' elements replace earlier ones of the same name."""
+    new = groups.where("child = rep").select("game_id", F.col("rep").alias("child"), F.lit(round_).alias("born"))
+    return cut(new if made is None else made.join(new, ["game_id", "child"], "left_anti").unionByName(new))
 
 
 def decompose(dnf: DataFrame, search_above: int = 0) -> Decomposition:
@@ -61,10 +63,11 @@ def decompose(dnf: DataFrame, search_above: int = 0) -> Decomposition:
     source, seen = cut(dnf.where(F.size("term") > 0).select(*D.KEYS), n=F.count(F.lit(1)))
     games = source.agg(F.count_distinct("game_id")).first()[0]
     size = {"rows": F.count(F.lit(1)), "widest": F.max(F.size("term"))}
-    work, steps = source, []
+    work, steps, made = source, [], None
     while seen["n"]:
-        groups, found = cut(_with_born(twins(work), steps), n=F.count(F.lit(1)))
+        groups, found = cut(_with_born(twins(work), made), n=F.count(F.lit(1)))
         if found["n"]:
+            made = _made(groups, made, len(steps))
             steps.append(Step(groups))
             work, now = cut(merge_twins(work, groups), **size)
             if now["rows"] == games and now["widest"] == 1:
@@ -81,7 +84,9 @@ def decompose(dnf: DataFrame, search_above: int = 0) -> Decomposition:
         if found["most"] > search_above:
             modules = modules.unionByName(prime_modules(cut(kernel.where(F.col("_n") > search_above).select(*D.KEYS))))
         groups, quotients, work = merge_modules(kernel.select(*D.KEYS), cut(modules))
-        steps.append(Step(cut(_with_born(groups, steps)), cut(quotients)))
+        groups = cut(_with_born(groups, made))
+        made = _made(groups, made, len(steps))
+        steps.append(Step(groups, cut(quotients)))
         games = kernel.agg(F.count_distinct("game_id")).first()[0]
         work, now = cut(work, **size)
         if now["rows"] == games and now["widest"] == 1:

@@ -15,6 +15,7 @@ from ..operators import dnf as D
 from ..operators import games as G
 from ..operators import joins as J
 from ..operators import modules as M
+from ..operators.run import run_attribution, totals_of_shapes
 from ..operators import report as R
 from ..operators import shapley as V
 from ..operators import synthesis as T
@@ -185,9 +186,8 @@ def owner_universe(spark, sf):
 
 @query
 def result_json_sink(spark, sf):
-    sv = total_sv(spark, sf)
     path = _folder(spark)
-    W.write_result(W.result_document(sv, method="iusv", csv_dir=sf, sample_size=None), sv, path)
+    run_attribution(parquet_dataset(spark, sf), "iusv", path)
     back = spark.read.schema("method string, num_of_owners bigint, shapley_values map<string,double>").json(
         f"{path}/result.json")
     return back.select("method", "num_of_owners", F.explode("shapley_values").alias("owner", "sv")).select(
@@ -848,13 +848,6 @@ def total_sv(spark: SparkSession, sf: str, method: str = "iusv") -> DataFrame:
     return totals_of_shapes(shapes, method)
 
 
-def totals_of_shapes(shapes: DataFrame, method: str, **settings) -> DataFrame:
-    values = V.attribute(G.shape_terms(shapes), method, **settings).select(
-        "game_id", F.col("owner_id").alias("place"), "sv")
-    return shapes.join(values, ["game_id", "place"]).groupBy("owner_id").agg(
-        F.sum(F.col("sv") * F.col("tuples")).alias("sv"))
-
-
 def _attribution(method: str) -> Query:
     def run(spark, sf):
         return total_sv(spark, sf, method).select("owner_id", F.round("sv", 4).alias("sv"))
@@ -867,6 +860,15 @@ for _method in ("traditional", "iusv", "rdsv"):
     _attribution(_method)
 
 
+for _ablation in ("no-horizontal", "no-vertical", "no-hybrid"):
+    def _run(spark, sf, _ablation=_ablation):
+        return run_attribution(parquet_dataset(spark, sf), "rdsv", ablation=_ablation)[0].select(
+            "owner_id", F.round("sv", 4).alias("sv"))
+
+    _run.__name__ = f"tpch_ablation_{_ablation.replace('-', '_')}"
+    query(_run)
+
+
 @query
 def tpch_attribution_uncounted(spark, sf):
     """The same without counting equal games first, the way for many owners."""

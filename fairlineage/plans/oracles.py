@@ -464,7 +464,8 @@ SQL["union_polynomial"] = f"""WITH {_MOEBIUS} SELECT game_id, bit_count(u)::BIGI
   GROUP BY game_id, bit_count(u) HAVING sum(c) <> 0"""
 SQL["inclusion_exclusion_value"] = f"""WITH {_MOEBIUS} SELECT game_id, round(sum(c::DOUBLE / bit_count(u)), 6) AS value FROM states
   GROUP BY game_id"""
-for _name in ("tpch_attribution_traditional", "tpch_attribution_iusv", "tpch_attribution_rdsv", "tpch_attribution_uncounted"):
+for _name in ("tpch_attribution_traditional", "tpch_attribution_iusv", "tpch_attribution_rdsv", "tpch_attribution_uncounted",
+              "tpch_ablation_no_horizontal", "tpch_ablation_no_vertical", "tpch_ablation_no_hybrid"):
     SQL[_name] = TOTAL_SV
 SQL["trade_attribution"] = f"""WITH {TRADE}, {_worth('trade')}, sv AS ({_SV}) SELECT owner_id, round(sum(sv), 4) AS sv
   FROM sv GROUP BY owner_id"""
