@@ -18,9 +18,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 
 def main() -> None:
     spark = build_session(
-        f"local[{CPUS}]", int(CPUS), app="bench", spark__ui__enabled="false", spark__driver__memory="8g",
-        # tables of this size are worth splitting over the cores rather than broadcasting
-        spark__sql__autoBroadcastJoinThreshold="1MB")
+        f"local[{CPUS}]", int(CPUS), app="bench", spark__ui__enabled="false", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     seconds: dict[str, float] = {}
 
@@ -47,6 +45,9 @@ def main() -> None:
         kept["shapes"], "permutation", sample_size=1000))
     timed("attribution_iusv", lambda: totals_of_shapes(kept["shapes"], "iusv"))
     timed("attribution_rdsv", lambda: totals_of_shapes(kept["shapes"], "rdsv"))
+    for ablation in ("no-horizontal", "no-vertical", "no-hybrid"):
+        timed(f"ablation_{ablation}", lambda: totals_of_shapes(kept["shapes"], "rdsv", ablation=ablation))
+
     def trade():
         kept["trade"] = cut(G.group_games(X.trade_rows(spark, SF), "c_custkey", X.TRADE_OWNERS))
         return kept["trade"]

@@ -183,10 +183,11 @@ def repair_starved(pairs: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def assign_table(records: DataFrame, table: str, table_owners: DataFrame, config: AssignmentConfig) -> DataFrame:
-    """(table, row_id, owner_id) of one table; ``records(row_id)`` are numbered from 0."""
+    """(table, row_id, owner_id) of one table. How many copies a record has follows its place in a
+    random order of all records, not its place in the file."""
     m = config.owners_of(table)
     buckets = copy_buckets(records, m, config.max_copy, config.alpha)
-    counted = with_copies(records, buckets)
+    counted = with_copies(shuffled_rows(records, config.seed, table), buckets, "pos").select("row_id", "copies")
     if config.equal_records:
         places = uniform_places(counted, m, config.seed, table)
     else:

@@ -23,7 +23,7 @@ from ..session import cut, shared_folder
 from ..sources import derived as X
 from ..sources import results as W
 from ..sources import tables as I
-from ..sources.samples import ROW_KEYS, parquet_dataset
+from ..sources.samples import ROW_KEYS, parquet_dataset, read_tables
 from .registry import plan_for
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,9 +296,14 @@ def starved_owner_repair(spark, sf):
     return A.repair_starved(pairs, owners).groupBy("owner_id").agg(F.count(F.lit(1)).alias("records"))
 
 
+def _numbered_tables(spark, sf):
+    """All eight tables with numbered rows."""
+    return {t: I.with_position(df, "row_id").select("row_id") for t, df in read_tables(spark, sf).items()}
+
+
 @query
 def assignment_driver(spark, sf):
-    tables = {t: I.with_position(_read(spark, sf, t), "row_id").select("row_id") for t in ("nation", "supplier", "part")}
+    tables = _numbered_tables(spark, sf)
     made = A.assign_dataset(tables, A.AssignmentConfig(owners=20, seed=4))
     return made.groupBy("table").agg(
         F.count(F.lit(1)).alias("pairs"), F.count_distinct("row_id").alias("records"),
@@ -307,7 +312,7 @@ def assignment_driver(spark, sf):
 
 @query
 def assignment_driver_weighted(spark, sf):
-    tables = {t: I.with_position(_read(spark, sf, t), "row_id").select("row_id") for t in ("nation", "supplier", "part")}
+    tables = _numbered_tables(spark, sf)
     made = A.assign_dataset(tables, A.AssignmentConfig(owners=20, seed=4, equal_owners=False, equal_records=False))
     return made.groupBy("table").agg(
         F.count(F.lit(1)).alias("pairs"), F.count_distinct("row_id").alias("records"),

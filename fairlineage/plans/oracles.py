@@ -519,3 +519,22 @@ states AS (SELECT w.game_id, u, sum(CASE WHEN (bit_count(u) - bit_count(s)) % 2
   FROM worth w JOIN (SELECT unnest(range(1, 256)) AS u) ON (s & u) = s GROUP BY w.game_id, u),
 r AS (SELECT game_id, c, {_CHILD} AS k FROM states, {_TIMES})
 SELECT game_id, degree, sum(c * k)::BIGINT AS coeff FROM r GROUP BY game_id, degree HAVING sum(c * k) <> 0"""
+
+
+def _assigned(owners_of: dict[str, int], others: int) -> str:
+    """Pairs, records and owners of an assignment of all tables: copies are Zipf shares, and every owner has a record."""
+    names = ("region", "nation", "supplier", "customer", "part", "orders", "lineitem")
+    counts = " UNION ALL ".join(
+        [f"SELECT '{t}' AS table_name, count(*) AS n, {owners_of.get(t, others)} AS m FROM {t}" for t in names]
+        + [f"SELECT 'partsupp', count(*), {others} FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)"])
+    return f"""WITH t AS ({counts}), w AS (SELECT *, unnest(range(1, least(m, 4) + 1)) AS i FROM t),
+s AS (SELECT *, pow(i, -3.0) / sum(pow(i, -3.0)) OVER (PARTITION BY table_name) AS weight FROM w),
+r AS (SELECT *, floor(weight * n)::BIGINT AS r FROM s),
+f AS (SELECT table_name, n, m, i, CASE WHEN i = 1 THEN r + n - sum(r) OVER (PARTITION BY table_name) ELSE r END AS r FROM r)
+SELECT table_name, sum(i * r)::BIGINT AS pairs, any_value(n)::BIGINT AS records,
+  least(any_value(m), sum(i * r))::BIGINT AS owners
+FROM f GROUP BY table_name"""
+
+
+SQL["assignment_driver"] = _assigned({"region": 5, "nation": 5}, 20)
+SQL["assignment_driver_weighted"] = _assigned({"region": 5, "nation": 5, "lineitem": 20}, 10)
