@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import ship_package
+
 
 def gauss_legendre(q: int) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and weights on [0, 1], by Newton steps on the Legendre recurrence (O(q) memory)."""
@@ -30,6 +32,7 @@ def gauss_legendre(q: int) -> tuple[np.ndarray, np.ndarray]:
 
 def nodes_for(games: DataFrame) -> DataFrame:
     """(game_id, q, t, w) for ``games(game_id, n)``: ⌈n/2⌉ nodes integrate degree n−1 exactly."""
+    ship_package(games.sparkSession)
     sized = games.withColumn("_q", F.greatest(F.ceil(F.col("n") / 2), F.lit(1)).cast("int"))
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
