@@ -5,16 +5,18 @@ group counts are a point. Two sets that share o of their a and b tokens differ b
 coordinate differences at least, so points of similar sets lie close together, and the sum of coordinate
 minima bounds o from above. The index over these points is laid out for a shuffle:
 
-* A set's tokens are put in one order for all sets, rare ones first. Similar sets share a token among the
-  first few (all but the overlap that similarity asks for, and one more), so points are dealt by these tokens.
-  How rare a token is comes from the counts of all documents' tokens in a fixed number of groups; any
-  order loses no pair, a good one keeps tokens that very many sets share out of the first few.
-* Points joined through such tokens form families. A family is cut into blocks of bounded size, and pairs of
-  blocks whose sizes allow a link are compared: leaves of a few points with their bounding boxes first, then points by
-  their summed coordinate minima, and the surviving pairs by their sets.
-
-One R-tree over all points does not prune here (in tens of dimensions boxes of unlike sets overlap), so
-the dealing by tokens takes the place of its upper nodes; the leaves, their boxes and the bounds are the R-tree's.
+* The top level splits by the total of the coordinates (the set's size) into size classes. A set also
+  enters the class above if its partner may be there.
+* Below, a class cuts its coordinates into segments. Similar sets differ in fewer tokens than a class has segments, so
+  many segments have equal coordinates in both: each (class, segment, its coordinates) is a box, and similar
+  points share one of their fuller boxes. Boxes with one point are leaves without partners and go.
+* Points that share a box with the same least point are compared: leaves of a few points with their bounding boxes
+  first, then points by their summed coordinate minima. Points that pass form families, and
+  in these the surviving pairs are verified by their sets.
+
+Both comparisons cut large groups into blocks of bounded size, of which only those whose sizes allow a link meet. One
+R-tree over all points does not prune here (in tens of dimensions boxes of unlike sets overlap), so equal segments take the
+place of its upper nodes; the leaves, their boxes and the bounds are the R-tree's.
 
 Sets that are equal are one point from the start, so groups of copies are never expanded into pairs. In a
 block only links that connect something new are emitted. Links are exact: no bound loses a pair.
@@ -28,7 +30,7 @@ carried by ``one_per_group``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +40,11 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut, ship_package
 from .common import components, mixed, pack, slices, small_side, unpack
 
-#: Groups in which tokens are counted to tell rare ones: the size of what is sent to all tasks (4 bytes each).
-COUNTERS = 1 << 20
+#: Groups of a segment; a class's largest set over its smallest.
+GROUPS, STEP = 1 << 40, 1.25
 #: Most documents and most tokens of one side of a block, and points of a leaf: division of work only.
 BLOCK_ROWS, BLOCK_TOKENS, LEAF = 1024, 2_000_000, 16
-#: Rows of a slice and tokens of a bucket: division of work only.
+#: Rows of a slice and boxes of a bucket: division of work only.
 SLICE, BUCKET = 4096, 1_500_000
 
 class WordHashes(dict):
@@ -69,81 +71,90 @@ def shingle_set(text: bytes, words_each: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-def rare_first(tokens: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The first tokens of a set, of which any similar set has one among its own first, as 64-bit numbers.
+def class_bounds(percent: int) -> list[int]:
+    """Smallest set size of each class; below the first, similar sets are equal."""
+    first = percent // (100 - percent)
+    bounds = [max(1, first)]
+    while bounds[-1] < 1 << 40:
+        bounds.append(max(bounds[-1] + 1, int(bounds[-1] * STEP)))
+    return bounds
+
 
-    A similar set has at least percent/100 of the n tokens, so one of any n - ceil(n * percent / 100) + 1.
+def boxes(tokens: np.ndarray, bounds: Sequence[int], percent: int) -> np.ndarray:
+    """The boxes of a set's point, as 64-bit hashes of (class, segment, coordinates).
+
+    Of a class's segments at most ``most`` differ between similar sets, so more than ``spare`` are equal. A set leaves out
+    its ``spare`` segments with the fewest tokens, which say least, and keeps ties; of the equal segments,
+    which have the same numbers of tokens in both, one is then kept by both.
     """
     n = len(tokens)
-    if not n:
+    own = int(np.searchsorted(bounds, n, side="right")) - 1
+    if own < 0:
         return np.empty(0, np.int64)
-    keep = n + (-n * percent // 100) + 1
-    order = np.lexsort((tokens, counts[(mixed(tokens) % np.uint64(len(counts))).astype(np.int64)]))
-    return tokens[order[:keep]].view(np.int64)
-
-
-def token_counts(docs: DataFrame, words_each: int, text: str) -> np.ndarray:
-    """How many (document, token) pairs fall into each group of tokens, over all documents: COUNTERS numbers."""
-    ship_package(docs.sparkSession)
-    width = 1 << 12
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(COUNTERS, np.int64)
-        for part in slices(batches, 512):
-            for t in part.column(0).to_pylist():
-                group = (mixed(shingle_set(t, words_each, hashes)) % np.uint64(COUNTERS)).astype(np.int64)
-                np.add.at(counts, group, 1)
-        for at in range(0, COUNTERS, width):
-            if counts[at:at + width].any():
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([pack(counts[at:at + width])])], ["at", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(unpack(c) for c in table["counts"].to_pylist())
-        return pa.table({"at": table["at"][:1], "counts": pa.array([pack(total)])})
-
-    kinds = "at long, counts binary"
-    out = np.zeros(COUNTERS, np.uint32)
-    rows = docs.select(F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    for r in rows.mapInArrow(count, kinds).groupBy("at").applyInArrow(add, kinds).collect():
-        part = unpack(r["counts"])
-        out[r["at"]:r["at"] + len(part)] = np.minimum(part, 0xFFFFFFFF)
-    return out
+    out = []
+    for level in (own, own + 1):
+        if level > own and 100 * n < percent * bounds[level]:
+            break
+        most = (bounds[level + 1] - 1) * (100 - percent) // percent
+        spare = max(3, (most + 1) // 3)
+        segments = most + 1 + spare
+        spread = mixed(tokens + np.uint64(level + 1))
+        segment = ((spread >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
+        group = mixed((spread & np.uint64(GROUPS - 1)) + np.uint64(1))
+        size = np.bincount(segment, minlength=segments)
+        sums = np.zeros(segments, np.uint64)
+        np.add.at(sums, segment, group)
+        kept = np.flatnonzero(size >= np.partition(size, spare)[spare])
+        out.append(mixed(sums[kept] + mixed(kept.astype(np.uint64) + np.uint64(level << 40))))
+    return np.concatenate(out).view(np.int64)
+
+
+def point_of(tokens: np.ndarray) -> bytes:
+    """Group counts of a set, a byte each: a power of two of groups, about four tokens in each.
+
+    No bytes stand for a point that is not known (a count beyond a byte): it passes every bound.
+    """
+    dims = 16
+    while dims * 4 < len(tokens):
+        dims *= 2
+    counts = np.bincount((mixed(tokens + np.uint64(99)) % np.uint64(dims)).astype(np.int64), minlength=dims)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
 def index_points(docs: DataFrame, carried: Sequence[str], words_each: int, percent: int, text: str) -> DataFrame:
-    """(row struct, n, print, first) of every row: set size, 128-bit print of the set and its first tokens."""
-    counts = docs.sparkSession.sparkContext.broadcast(token_counts(docs, words_each, text))
+    """(row struct, n, print, point, boxes) of every row: set size, 128-bit print of the set, its point and its boxes."""
+    ship_package(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"),
                        F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    bounds = class_bounds(percent)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in slices(batches, 512):
             sets = [shingle_set(t, words_each, hashes) for t in part.column(1).to_pylist()]
-            found = [rare_first(s, counts.value, percent) for s in sets]
+            found = [boxes(s, bounds, percent) for s in sets]
             ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([
                 part.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                pa.array([point_of(s) for s in sets], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int64))),
-            ], ["row", "n", "print", "first"])
+            ], ["row", "n", "print", "point", "boxes"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(work, f"row {kind}, n long, print binary, first array<long>")
+    return rows.mapInArrow(work, f"row {kind}, n long, print binary, point binary, boxes array<long>")
 
 
-def block_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect the points of a block; with two sides, only pairs from both."""
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(ids[i])))
-    ids, sides, sets = ids[order], sides[order], [sets[i] for i in order]
-    size = np.array([len(s) for s in sets], np.int64)
-    dims = int(8 * (size[-1] * (100 - percent) // percent + 4))
-    points = np.zeros((len(sets), dims), np.uint16)
-    for i, s in enumerate(sets):
-        points[i] = np.minimum(np.bincount((mixed(s) % np.uint64(dims)).astype(np.int64), minlength=dims), 65535)
-    leaf_box = np.maximum.reduceat(points, np.arange(0, len(sets), LEAF))
+def compared(ids: np.ndarray, sides: np.ndarray, size: np.ndarray, points: np.ndarray, percent: int,
+             verified: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Pairs of a block that pass the bounds and ``verified`` and connect something new; with two sides, only pairs from both.
+
+    Rows are in the order of ``size``. Leaves of a few points come first, by the bounding box of their points, then
+    the points of the leaves that are left, both by the sum of coordinate minima.
+    """
+    leaf_box = np.maximum.reduceat(points, np.arange(0, len(size), LEAF))
     two_sides = sides.min() != sides.max()
-    root = list(range(len(sets)))
+    root = list(range(len(size)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -152,7 +163,7 @@ def block_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], perc
         return i
 
     links = []
-    for i in range(len(sets)):
+    for i in range(len(size)):
         # the partner is as large or larger; o * (100 + percent) >= percent * (a + b) is the wanted similarity
         end = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
         if end <= i + 1:
@@ -167,62 +178,84 @@ def block_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], perc
                 if two_sides and sides[i] == sides[j]:
                     continue
                 x, y = find(i), find(j)
-                if x == y:
-                    continue
-                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * shared >= percent * (size[i] + size[j] - shared):
+                if x != y and verified(i, j):
                     root[x] = y
                     links.append((int(ids[i]), int(ids[j])))
     return links
 
 
-def token_edges(rows: DataFrame, buckets: int) -> DataFrame:
-    """(a, b): rows that share a first token, as edges to the token's smallest row. ``rows``: (row_no, first).
+def bound_links(ids: np.ndarray, sides: np.ndarray, size: np.ndarray, points: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Pairs that the bound on their points lets pass, as far as they connect something new."""
+    order = np.lexsort((ids, size))
+    known = [len(p) for p in points if p]
+    dims = min(known, default=16)
+    folded = np.zeros((len(order), dims), np.int64)
+    for row, i in enumerate(order):
+        # groups are remainders by powers of two, so halves add up to a coarser point
+        folded[row] = np.frombuffer(points[i], np.uint8).astype(np.int64).reshape(-1, dims).sum(0) if points[i] else 1 << 40
+    small = folded.astype(np.uint16) if folded.max() < 65536 else folded
+    return compared(ids[order], sides[order], size[order], small, percent, lambda i, j: True)
 
-    A slice of rows first joins its own rows that share a token and sends each token once, to the bucket of its
-    hash; so a token that very many rows share costs an entry per slice. Buckets grow in number with the rows.
-    """
 
-    def first_of(token: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct tokens, their smallest rows, and edges of all other rows of a token to it."""
-        order = np.lexsort((row, token))
-        token, row = token[order], row[order]
-        start = np.append(True, token[1:] != token[:-1])
-        least = row[np.flatnonzero(start)]
-        edges = np.stack([row, least[np.cumsum(start) - 1]])
-        return token[start], least, np.unique(edges[:, edges[0] != edges[1]], axis=1)
+def set_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between similar sets, as far as they connect something new."""
+    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(ids[i])))
+    sets = [sets[i] for i in order]
+    size = np.array([len(s) for s in sets], np.int64)
+    dims = int(8 * (size[-1] * (100 - percent) // percent + 4))
+    points = np.zeros((len(sets), dims), np.uint32)
+    for i, s in enumerate(sets):
+        points[i] = np.bincount((mixed(s) % np.uint64(dims)).astype(np.int64), minlength=dims)
+
+    def verified(i: int, j: int) -> bool:
+        shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return 100 * shared >= percent * (size[i] + size[j] - shared)
+
+    return compared(ids[order], sides[order], size, points, percent, verified)
+
+
+def box_edges(rows: DataFrame, buckets: int) -> DataFrame:
+    """(a, b): rows that share a box, as edges to the box's smallest row. ``rows``: (row_no, print, boxes).
+
+    A slice of rows sends, of rows with equal sets, the first one only; so copies cost an entry per slice.
+    Boxes are dealt by hash over buckets whose number grows with the rows.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, SLICE):
-            lists = part.column(1)
-            token = lists.flatten().to_numpy().view(np.uint64)
-            if not len(token):
+            seen: set[bytes] = set()
+            new = [not (p in seen or seen.add(p)) for p in part.column(1).to_pylist()]
+            part = part.filter(pa.array(new))
+            lists = part.column(2)
+            box = lists.flatten().to_numpy().view(np.uint64)
+            if not len(box):
                 continue
             row = np.repeat(part.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
-            token, least, edges = first_of(token, row)
-            of = (((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+            order = np.lexsort((row, box))
+            box, row = box[order], row[order]
+            of = (((box >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(of, prepend=-1))
-            ends = [*cuts[1:], len(token)]
-            n, m = len(cuts), edges.shape[1]
+            ends = [*cuts[1:], len(box)]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([of[cuts], edges[0] % buckets])),
-                pa.array([pack(np.diff(token[x:y], prepend=np.uint64(0))) for x, y in zip(cuts, ends)] + [None] * m, pa.binary()),
-                pa.array([pack(least[x:y]) for x, y in zip(cuts, ends)] + [None] * m, pa.binary()),
-                pa.array([None] * n + edges[0].tolist(), pa.int64()), pa.array([None] * n + edges[1].tolist(), pa.int64()),
-            ], ["bucket", "tokens", "rows", "a", "b"])
+                pa.array(of[cuts]), pa.array([pack(np.diff(box[x:y], prepend=np.uint64(0))) for x, y in zip(cuts, ends)], pa.binary()),
+                pa.array([pack(row[x:y]) for x, y in zip(cuts, ends)], pa.binary())], ["bucket", "boxes", "rows"])
 
     def meet(table: pa.Table) -> pa.Table:
-        sent = table.filter(table["tokens"].is_valid())
-        own = table.filter(table["a"].is_valid()).select(["a", "b"])
-        if not sent.num_rows:
-            return own
-        token = np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in sent["tokens"].to_pylist()])
-        row = np.concatenate([unpack(x) for x in sent["rows"].to_pylist()]).astype(np.int64)
-        _, _, edges = first_of(token, row)
-        return pa.concat_tables([own, pa.table({"a": edges[0], "b": edges[1]})])
+        box = np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in table["boxes"].to_pylist()])
+        row = np.concatenate([unpack(x) for x in table["rows"].to_pylist()]).astype(np.int64)
+        order = np.lexsort((row, box))
+        box, row = box[order], row[order]
+        start = np.append(True, box[1:] != box[:-1])
+        least = row[np.flatnonzero(start)][np.cumsum(start) - 1]
+        edges = np.unique(np.stack([row, least])[:, row != least], axis=1)
+        return pa.table({"a": edges[0], "b": edges[1]})
+
+    return rows.select("row_no", "print", "boxes").mapInArrow(send, "bucket long, boxes binary, rows binary").groupBy(
+        "bucket").applyInArrow(meet, "a long, b long")
+
 
-    kinds = "bucket long, tokens binary, rows binary, a long, b long"
-    return rows.select("row_no", "first").mapInArrow(send, kinds).groupBy("bucket").applyInArrow(meet, "a long, b long")
+def _pairs(links: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
 def family_blocks(members: DataFrame, percent: int) -> DataFrame:
@@ -259,30 +292,39 @@ def grouped_rows(docs: DataFrame, carried: Sequence[str], words_each: int, perce
     """All rows (row, row_no, key, n), and (row_no, label) of those linked with another row."""
     rows, seen = cut(
         index_points(docs, carried, words_each, percent, text).withColumn("row_no", F.monotonically_increasing_id()),
-        tokens=F.coalesce(F.sum(F.size("first")), F.lit(0)))
-    buckets = max(1, seen["tokens"] // BUCKET)
+        boxes=F.coalesce(F.sum(F.size("boxes")), F.lit(0)))
+    buckets = max(1, seen["boxes"] // BUCKET)
     rows = rows.withColumn("key", F.col("row")[key])
     full = rows.where("n > 0")
     firsts = full.groupBy("print").agg(F.min("row_no").alias("id"), F.max("row_no").alias("last"))
     copies = cut(full.select("print", "row_no").join(firsts.where("id < last"), "print").where("row_no <> id")
                  .select(F.col("row_no").alias("a"), F.col("id").alias("b")))
-    families = components(token_edges(full, buckets).unionByName(copies))
+    sizes = full.select(F.col("row_no").alias("id"), "n")
+    edges = cut(box_edges(full, buckets).distinct())
+    around = edges.select(F.col("a").alias("id"), F.col("b").alias("family")).unionByName(
+        edges.select(F.col("b").alias("id"), F.col("b").alias("family")).distinct()).join(
+        copies, F.col("id") == copies["a"], "left_anti").join(sizes, "id")
+
+    def pass_bound(table: pa.Table) -> pa.Table:
+        return _pairs(bound_links(table["id"].to_numpy(), table["side"].to_numpy(), table["n"].to_numpy(),
+                                  table["point"].to_pylist(), percent))
+
+    points = full.select(F.col("row_no").alias("id"), "n", "point")
+    close = family_blocks(cut(around), percent).hint("merge").join(points, "id").groupBy("family", "pair").applyInArrow(
+        pass_bound, "a long, b long")
     members, seen = cut(
-        families.join(copies, families["node"] == copies["a"], "left_anti")
-        .join(full.select(F.col("row_no").alias("node"), "n"), "node")
-        .select(F.col("node").alias("id"), F.col("label").alias("family"), "n"),
+        components(cut(close)).select(F.col("node").alias("id"), F.col("label").alias("family")).join(sizes, "id"),
         rows=F.count(F.lit(1)))
     placed = family_blocks(members, percent)
     texts = rows.select(F.col("row_no").alias("id"), F.col("row")[text].cast("binary").alias("text")).join(
         small_side(members.select("id"), seen["rows"]), "id", "left_semi")
 
-    def work(table: pa.Table) -> pa.Table:
+    def verify(table: pa.Table) -> pa.Table:
         hashes = WordHashes()
         sets = [shingle_set(t, words_each, hashes) for t in table["text"].to_pylist()]
-        links = block_links(table["id"].to_numpy(), table["side"].to_numpy(), sets, percent)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        return _pairs(set_links(table["id"].to_numpy(), table["side"].to_numpy(), sets, percent))
 
-    links = placed.hint("merge").join(texts, "id").groupBy("family", "pair").applyInArrow(work, "a long, b long")
+    links = placed.hint("merge").join(texts, "id").groupBy("family", "pair").applyInArrow(verify, "a long, b long")
     return rows, components(cut(links.unionByName(copies)))
 
 
