@@ -217,15 +217,18 @@ def set_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percen
 def box_edges(rows: DataFrame, buckets: int) -> DataFrame:
     """(a, b): rows that share a box, as edges to the box's smallest row. ``rows``: (row_no, print, boxes).
 
-    A slice of rows sends, of rows with equal sets, the first one only; so copies cost an entry per slice.
+    A slice of rows sends, of rows with equal sets, the one with the least number only; so copies cost an entry per slice.
+    Rows are not read in the order of their numbers, and the least copy of all is the one that stands for the others later.
     Boxes are dealt by hash over buckets whose number grows with the rows.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, SLICE):
-            seen: set[bytes] = set()
-            new = [not (p in seen or seen.add(p)) for p in part.column(1).to_pylist()]
-            part = part.filter(pa.array(new))
+            numbers, prints = part.column(0).to_pylist(), part.column(1).to_pylist()
+            least: dict[bytes, int] = {}
+            for number, p in zip(numbers, prints):
+                least[p] = min(number, least.get(p, number))
+            part = part.filter(pa.array([least[p] == number for number, p in zip(numbers, prints)]))
             lists = part.column(2)
             box = lists.flatten().to_numpy().view(np.uint64)
             if not len(box):

@@ -77,6 +77,31 @@ def test_large_family_in_blocks(spark, monkeypatch):
     assert run(spark, rows) == want
 
 
+def test_least_copy_stands_for_a_slice(spark):
+    rows = [(2, b"copies", [7, 8]), (0, b"copies", [7, 8]), (1, b"near", [7, 9])]
+    edges = ngram_join.box_edges(spark.createDataFrame(rows, "row_no long, print binary, boxes array<long>").coalesce(1), 1)
+    assert [tuple(r) for r in edges.collect()] == [(1, 0)]
+
+
+def test_near_copies_of_a_large_copy_group(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(12):
+        text = prose(rng, 120)
+        rows += [text] * 60 + [f"extra {text}", f"{text} extra"]
+    rows += [prose(rng, rng.randint(1, 900)) for _ in range(120)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows, 1))
+    # files reread as on two cores, so that many lie in one slice, by falling size
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+        got = sorted((tuple(r) for r in ngram_join.near_groups(docs).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert got == brute(rows, 3, 90)
+
+
 def test_similar_sets_share_a_box():
     rng = np.random.default_rng(1)
     for percent in (80, 90):
