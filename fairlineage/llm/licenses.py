@@ -28,9 +28,13 @@ SPELLINGS = (
     ("organisation", "organization"), ("authoris", "authoriz"), ("whilst", "while"), ("merchantibility", "merchantability"),
     ("https://", "http://"), ("&", " and "),
 )
-COPYRIGHT_LINE = r"(^|\n)[\x20\t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A line is a notice by what it begins with. Prose that is wrapped before 'copyright holders' or 'copyright notice' is none, nor
+#: are the list items '(c) You ...' and '(c) under ...' of known texts, unless a year follows.
+COPYRIGHT_LINE = (
+    r"(^|\n)[\x20\t]*(?:copyright[\x20\t:,]*(?:\(c\)|©|(?:19|20)[0-9]{2}|[\[<{])|copyright[^\n]*all rights reserved|©|all rights reserved"
+    r"|\(c\)[\x20\t]*(?:[^\x20\tyu\n]|y[^o\n]|u[^n\n]|[^\n]*(?:19|20)[0-9]{2}))[^\n]*")
 #: Every known text holds one of these words in its canonical form.
-MARKS = r"licen[cs]e|permission|redistribution|warranty|public domain"
+MARKS = r"licen[cs]e|permission|redistribution|warranty|public[^a-z0-9]+domain"
 
 #: A paragraph of one line is looked up as that line.
 TWO_LINES = r"\S\s*\n\s*\S"

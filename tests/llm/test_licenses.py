@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from fairlineage.llm import licenses
 
@@ -22,6 +23,26 @@ def test_variants(spark):
     assert got == sorted(want, key=str)
 
 
+def test_any_line_breaks(spark):
+    rows = []
+    for name, text in licenses.KNOWN:
+        for width in (30, 55, 60, 64, 68, 72, 76, 80, 100, 100_000):
+            body = "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+            rows.append((name, "Copyright (c) 2001-2004 Some One\n(C) Other One\n© 2005 Third One\nAll rights reserved.\n\n" + body))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.license_scan(docs).collect()}
+    assert [(n, t) for i, (n, t) in enumerate(rows) if got[i] != n] == []
+
+
+def test_copyright_lines():
+    notices = ["Copyright (c) 2001 A", "  COPYRIGHT 2001, 2002 A", "Copyright © A", "Copyright: 2001 A", "Copyright [yyyy] [name]", "(C) A B",
+               "(c) 1999 You", "© A", "All rights reserved.", "Copyright A contributors. All rights reserved."]
+    prose = ["copyright notice and this permission notice appear", "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM", "Copyright license. Subject to",
+             "(c) You must retain, in the Source form", "(c) under Patent Claims infringed", "copyright treaty adopted on 20 December 1996, or"]
+    assert [licenses.canonical_text(x) for x in notices] == [""] * len(notices)
+    assert all(licenses.canonical_text(x) == " ".join(re.findall("[a-z0-9]+", x.lower())) for x in prose)
+
+
 def test_edges(edge_docs, edge_rows, no_docs):
     rows = licenses.license_scan(edge_docs).collect()
     assert len(rows) == len(edge_rows) and {r["doc_id"] for r in rows if r["n_units"]} == {11}
