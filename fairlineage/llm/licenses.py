@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -28,10 +29,10 @@ SPELLINGS = (
     ("organisation", "organization"), ("authoris", "authoriz"), ("whilst", "while"), ("merchantibility", "merchantability"),
     ("https://", "http://"), ("&", " and "),
 )
-#: A line is a notice by what it begins with. Prose that is wrapped before 'copyright holders' or 'copyright notice' is none, nor
+#: A line is a notice by what it begins with, behind comment marks, if any. Prose that is wrapped before 'copyright holders' or 'copyright notice' is none, nor
 #: are the list items '(c) You ...' and '(c) under ...' of known texts, unless a year follows.
 COPYRIGHT_LINE = (
-    r"(^|\n)[\x20\t]*(?:copyright[\x20\t:,]*(?:\(c\)|©|(?:19|20)[0-9]{2}|[\[<{])|copyright[^\n]*all rights reserved|©|all rights reserved"
+    r"(^|\n)[\x20\t*#/;%!|<>~=+-]*(?:copyright[\x20\t:,]*(?:\(c\)|©|(?:19|20)[0-9]{2}|[\[<{])|copyright[^\n]*all rights reserved|©|all rights reserved"
     r"|\(c\)[\x20\t]*(?:[^\x20\tyu\n]|y[^o\n]|u[^n\n]|[^\n]*(?:19|20)[0-9]{2}))[^\n]*")
 #: Every known text holds one of these words in its canonical form.
 MARKS = r"licen[cs]e|permission|redistribution|warranty|public[^a-z0-9]+domain"
@@ -78,6 +79,89 @@ LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON A
 CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
 SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 
+_APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at"""
+_ASF_NOTICE = """Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE
+file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to you
+under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may
+obtain a copy of the License at"""
+_APACHE_TAIL = """http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+governing permissions and limitations under the License."""
+_MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+#: The licences of the Free Software Foundation: name, title, version.
+_GNU = (("GPL-2.0", "GNU General Public License", "2"), ("GPL-3.0", "GNU General Public License", "3"),
+        ("LGPL-2.1", "GNU Lesser General Public License", "2.1"), ("LGPL-3.0", "GNU Lesser General Public License", "3"),
+        ("AGPL-3.0", "GNU Affero General Public License", "3"))
+#: Where the Foundation was and is.
+_ADDRESSES = ("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA",
+              "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA",
+              "675 Mass Ave, Cambridge, MA 02139, USA")
+_ADDRESS = re.compile(r"51 Franklin Street, Fifth Floor,\s+Boston, MA\s+02110-1301\s+USA")
+_CC = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives",
+       "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+
+
+def _whole_texts() -> Iterator[tuple[str, str]]:
+    """The texts in the folder ``license_texts``, with and without what follows their terms, and with every address."""
+    for file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = file.read_text()
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        for part in {text, terms, terms + end}:
+            yield file.stem, part
+            marked = _ADDRESS.sub("\0", part)
+            if "\0" in marked:
+                for address in _ADDRESSES:
+                    yield file.stem, marked.replace("\0", address)
+                # as published since the Foundation has no office: a link in the head, and in the notice
+                linked = marked.replace("\0", "<https://fsf.org/>", 1)
+                yield file.stem, re.sub(r"write to the Free\s+Software\s+Foundation, Inc.,\s+\0", "see <https://www.gnu.org/licenses/>", linked)
+
+
+
+def _gnu_notices() -> Iterator[tuple[str, str]]:
+    """The paragraph that grants, alone and with the two that follow it."""
+    for name, title, version in _GNU:
+        for what in ("program", "library", "software", "file"):
+            may = f"This {what} is free software: you can redistribute it and/or modify it under the terms of the {title}"
+            by = "as published by the Free Software Foundation"
+            for grant in (f"{may} {by}, either version {version} of the License, or (at your option) any later version.",
+                          f"{may} {by}, version {version} of the License.", f"{may} {by}, version {version}.",
+                          f"{may} version {version} {by}.", f"{may}, version {version}, {by}.", f"{may}, version {version}."):
+                yield name, grant
+                for ends in (" If not, see <http://www.gnu.org/licenses/>.",
+                             *(f" if not, write to the Free Software Foundation, Inc., {a}" for a in _ADDRESSES)):
+                    yield name, (
+                        f"{grant}\n\nThis {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+                        f"implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {title} for more details.\n\n"
+                        f"You should have received a copy of the {title} along with this {what};{ends}")
+
+
+def _cc_notices() -> Iterator[tuple[str, str]]:
+    for code, title in _CC.items():
+        name = f"CC-{code.upper()}-4.0"
+        link = f"http://creativecommons.org/licenses/{code}/4.0/"
+        for article in ("the", "a"):
+            line = f"This work is licensed under {article} Creative Commons {title} 4.0 International License."
+            visit = f"{line} To view a copy of this license, visit {link}"
+            for text in (line, visit, visit + " or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."):
+                yield name, text
+        yield name, f"Licensed under CC {code.upper()} 4.0."
+        yield name, f"This work is licensed under CC {code.upper()} 4.0."
+
+
+def _identifiers() -> Iterator[tuple[str, str]]:
+    names = ["MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "CC0-1.0", *(f"CC-{c.upper()}-4.0" for c in _CC)]
+    for name in names:
+        yield name, f"SPDX-License-Identifier: {name}"
+    for name, _, _ in _GNU:
+        for ends in ("", "+", "-only", "-or-later"):
+            yield name, f"SPDX-License-Identifier: {name}{ends}"
+
+
 #: Known texts, (licence, text). Titles are optional, so texts with and without them are listed.
 KNOWN = (
     ("MIT", _MIT_BODY), ("MIT", "MIT License\n\n" + _MIT_BODY), ("MIT", "The MIT License (MIT)\n\n" + _MIT_BODY),
@@ -99,9 +183,11 @@ KNOWN = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-4.0", "This work is licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-SA-4.0", "This work is licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Released into the public domain."), ("CC0-1.0", "This work is in the public domain."),
+    *((name, notice + "\n" + end) for name, notice in (("Apache-2.0", _APACHE_NOTICE), ("Apache-2.0", _ASF_NOTICE))
+      for end in ("", _APACHE_TAIL.split("\n")[0], _APACHE_TAIL)),
+    ("MPL-2.0", _MPL_NOTICE), *_whole_texts(), *_gnu_notices(), *_cc_notices(), *_identifiers(),
 )
 
-
 def canonical(text: Column) -> Column:
     """Canonical form of a text, as a column."""
     out = F.regexp_replace(F.translate(text, _CAPITALS, _SMALL), COPYRIGHT_LINE, "$1")
