@@ -7,7 +7,7 @@ that domain: two unequal halves are in turn shifted by a keyed hash of the other
 format of its value and is valid again, different values get different pseudonyms, and equal values get equal
 ones in all documents (a card with and without blanks, too), which keeps them linked.
 
-Kinds: ``card`` (13 to 19 digits; blanks or hyphens between), ``phone`` (ten digits with an area code),
+Kinds: ``card`` (13 to 19 digits; blanks or hyphens between; also beside other numbers, where usual groupings go first), ``phone`` (ten digits with an area code),
 ``ip`` (four octets), ``ssn`` (3-2-4 digits), ``iban``, ``email`` (the part before the @; its domain stays) and
 ``date`` (1900 to 2099, year first or last). Row by row, no shuffle, only DataFrame functions.
 
@@ -32,11 +32,17 @@ PATTERNS = {
     "card": _FREE + r"[0-9](?:[-\x20]?[0-9]){12,18}" + _END,
 }
 KINDS = tuple(PATTERNS)
+#: Shapes of cards in order: usual groupings and undivided numbers, and any other grouping. A card may stand beside other numbers,
+#: so every start and end between two groups is tried.
+USUAL = (r"[0-9]{4}(?:[-\x20][0-9]{4}){3}", r"[0-9]{4}[-\x20][0-9]{6}[-\x20][0-9]{4,5}", r"[0-9]{13,19}",
+         r"[0-9]{4}(?:[-\x20][0-9]{4}){3}[-\x20][0-9]{3}")
+UNUSUAL = tuple(r"[0-9](?:[-\x20]?[0-9]){%d}" % (n - 1) for n in (16, 15, 19, 14, 18, 13, 17))
 #: All kinds in one pattern; a group per kind, whose back references are counted through.
 _GROUPS = {kind: 1 + i + (2 if i > KINDS.index("date") else 0) for i, kind in enumerate(KINDS)}
 ANY = "|".join(
     "(" + p.replace(r"\1", f"\\{_GROUPS['date'] + 1}").replace(r"\2", f"\\{_GROUPS['date'] + 2}") + ")"
     for p in PATTERNS.values())
+OTHERS = ANY[:ANY.rindex("|(" + PATTERNS["card"])]
 
 
 def _shift(key: str, kind: str, tag: Column, half: Column) -> Column:
@@ -111,10 +117,23 @@ def _remainder(text: Column) -> Column:
         lambda a, c: F.when(c.between("0", "9"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
 
 
+def _is_card(value: Column) -> Column:
+    digits = _digits(value)
+    return (_luhn(digits) % 10 == 0) & (F.regexp_replace(digits, "0", "") != "")
+
+
+def _cards(text: Column, shapes: tuple[str, ...]) -> Column:
+    """A pattern that finds the valid cards of these shapes in this text, and nothing if it has none."""
+    # looked ahead for, so that an invalid number hides none that begins within it
+    seen = F.concat(*[F.regexp_extract_all(text, F.lit(f"{_FREE}(?=({s}){_END})"), F.lit(1)) for s in shapes])
+    valid = F.array_distinct(F.filter(seen, _is_card))
+    return F.when(F.size(valid) > 0, F.concat(F.lit(_FREE + "(?:"), F.array_join(valid, "|"), F.lit(")" + _END))).otherwise("(?!)")
+
+
 def _card(value: Column, key: str) -> tuple[Column, Column]:
     digits = _digits(value)
     size = F.char_length(digits)
-    valid = (_luhn(digits) % 10 == 0) & (F.regexp_replace(digits, "0", "") != "")
+    valid = _is_card(value)
     # the first digit says whose card it is and stays, the last one follows from the others
     body = F.concat(F.substring(digits, 1, 1), feistel_text(F.substring(digits, F.lit(2), size - 2), key, "card"))
     check = F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")
@@ -192,9 +211,10 @@ MAKERS = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "phone": _
 def findings(text: Column, key: str) -> Column:
     """Array of (between, kind, value, pseudonym) of a text, ending with the text after the last candidate.
 
-    ``kind`` is null, and ``pseudonym`` the value itself, where a candidate is not valid.
+    ``kind`` is null, and ``pseudonym`` the value itself, where a candidate is not valid. Cards of unusual groupings are
+    sought in what is left between all other findings.
     """
-    any_ = F.lit(ANY)
+    any_ = F.concat(F.lit(OTHERS + "|("), _cards(text, USUAL), F.lit(")"))
     values = F.regexp_extract_all(text, any_, F.lit(0))
     groups = {k: F.regexp_extract_all(text, any_, F.lit(_GROUPS[k])) for k in KINDS}
     named = F.transform(values, lambda v, i: F.struct(v.alias("value"), F.coalesce(
@@ -209,10 +229,20 @@ def findings(text: Column, key: str) -> Column:
             new = F.when((m["kind"] == name) & valid, made).otherwise(new)
         return F.struct(kind.alias("kind"), value.alias("value"), new.alias("pseudonym"))
 
-    return F.zip_with(
-        F.split(text, ANY, -1), F.transform(named, treated),
-        lambda part, m: F.struct(part.alias("between"), m["kind"].alias("kind"), m["value"].alias("value"),
-                                 m["pseudonym"].alias("pseudonym")))
+    def entry(between: Column, kind: Column, value: Column, new: Column) -> Column:
+        return F.struct(between.alias("between"), kind.alias("kind"), value.alias("value"), new.alias("pseudonym"))
+
+    def with_unusual(e: Column) -> Column:
+        between = e["between"]
+        cards = _cards(between, UNUSUAL)
+        parts, inside = F.split(between, cards, -1), F.regexp_extract_all(between, cards, F.lit(0))
+        found = F.zip_with(F.slice(parts, 1, F.size(inside)), inside, lambda part, v: entry(part, F.lit("card"), v, _card(v, key)[1]))
+        return F.when(between.rlike(PATTERNS["card"]), F.concat(
+            found, F.array(entry(F.element_at(parts, -1), e["kind"], e["value"], e["pseudonym"])))).otherwise(F.array(e))
+
+    usual = F.zip_with(F.split(text, any_, -1), F.transform(named, treated),
+                       lambda part, m: entry(part, m["kind"], m["value"], m["pseudonym"]))
+    return F.flatten(F.transform(usual, with_unusual))
 
 
 def _found(docs: DataFrame, carried: list[str], key: str, text: str) -> DataFrame:

@@ -48,6 +48,29 @@ def test_values_stay_valid_and_linked(spark):
     assert [got[i]["n_found"] for i in range(8)] == [1, 1, 2, 1, 1, 1, 4, 2]
 
 
+def test_cards_beside_numbers(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"{a}{c}{b}" for c in (card, card.replace(" ", ""), card.replace(" ", "-"), "41111111 11111111", "3782 822463 10005")
+             for a, b in (("", " 12/25"), ("", " 123"), ("room 7 ", ""), ("12345 ", ""), ("1234 ", " 99"), ("1 2 3 ", " 4 5 6"),
+                          ("", " 12/25/2024"), ("830-555-5433 ", " 7"))]
+    texts += [f"{card} 5500 0000 0000 0004", f"7 123-45-6789 {card} 12", "4111 1111 1111 1112 12/25", "4111111111111111"]
+    got = treat(spark, texts)
+    for i, t in enumerate(texts[:40]):
+        c = re.search(r"4111[ -]?1111[ -]?1111[ -]?1111|3782 822463 10005", t)[0]
+        a, b = t.split(c)
+        new = got[i]["text"]
+        assert got[i]["n_card"] == 1 and c not in new and len(new) == len(t), (t, new)
+        if "830" not in a and "2024" not in b:
+            assert new.startswith(a) and new.endswith(b), (t, new)
+            new = new[len(a):len(new) - len(b)]
+            assert luhn(re.sub("[^0-9]", "", new)) and re.sub("[0-9]", "", new) == re.sub("[0-9]", "", c)
+            if c[0] == "4":
+                assert re.sub("[^0-9]", "", new) == got[43]["text"]
+        else:
+            assert got[i]["n_found"] == 2
+    assert [got[i]["n_card"] for i in range(40, 44)] == [2, 1, 0, 1] and got[41]["n_ssn"] == 1 and got[42]["text"] == texts[42]
+
+
 def test_key_decides(spark):
     text = ["mail ann.b52@x1.example.com"]
     assert treat(spark, text, "a")[0]["text"] != treat(spark, text, "b")[0]["text"]
