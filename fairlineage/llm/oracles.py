@@ -68,3 +68,50 @@ pairs AS (
     FROM codes q JOIN codes r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_vec_id ORDER BY distance, vec_id)::INTEGER AS rank FROM pairs)
 SELECT query_vec_id, rank, vec_id, distance FROM ranked WHERE rank <= 10"""
+
+
+SQL["op11_block_join"] = """
+WITH good AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+sums AS (SELECT vec_id, v, list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b) AS s FROM good),
+pairs AS (
+    SELECT q.vec_id AS query_id, r.vec_id, greatest(-1, least(1, list_reduce(list_transform(list_zip(q.v, r.v), lambda z: z[1] * z[2]),
+        lambda a, b: a + b) / sqrt(q.s * r.s))) AS score
+    FROM sums q JOIN sums r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id AND len(q.v) = len(r.v)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
+def _clusters(k: int = 16, rounds: int = 3, dims: int = 64) -> str:
+    """Assignments and exact floors, round by round; a vector is a list of integers."""
+    steps = [f"""
+kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS no, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+at0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1)::INTEGER AS cluster, x AS c FROM kept
+    ORDER BY sha256('1:' || vec_id) LIMIT {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+own{r} AS MATERIALIZED (
+    SELECT no, min({{'d': d, 'j': cluster}}) AS best FROM (
+        SELECT no, cluster, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept, at{r})
+    GROUP BY no)""")
+        if r < rounds:
+            steps.append(f"""
+at{r + 1} AS MATERIALIZED (
+    SELECT cluster, CASE WHEN count(f) = 0 THEN any_value(c) ELSE list(f ORDER BY i) END AS c FROM (
+        SELECT a.cluster, any_value(c) AS c, i, floor(sum(x[i]) / count(x[i]))::BIGINT AS f
+        FROM at{r} a CROSS JOIN range(1, {dims + 1}) AS t(i)
+        LEFT JOIN (SELECT best.j AS cluster, x FROM own{r} JOIN kept USING (no)) USING (cluster) GROUP BY a.cluster, i)
+    GROUP BY cluster)""")
+    return f"""
+WITH {",".join(steps)},
+sums AS (SELECT best.j AS cluster, sum(best.d)::BIGINT AS cluster_inertia FROM own{rounds} GROUP BY best.j)
+SELECT vec_id, cluster, best.d AS distance, cluster_inertia, (SELECT sum(cluster_inertia) FROM sums)::BIGINT AS inertia,
+    sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM own{rounds} JOIN kept USING (no) JOIN sums ON best.j = cluster JOIN at{rounds} USING (cluster)"""
+
+
+SQL["op12_shallot"] = _clusters()

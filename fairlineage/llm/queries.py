@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import working_folder
-from . import bpe, html_crf, licenses, lm, mixing, ngram_join, pii, quality, secrets, topk
+from . import (block_join, bpe, html_crf, licenses, lm, mixing, ngram_join, pii, quality, secrets, shallot, topk,
+               whitening)
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +76,18 @@ def op8_lm(spark: SparkSession, sf: str) -> DataFrame:
 def op3_html_crf(spark: SparkSession, sf: str) -> DataFrame:
     pages = read(spark, sf, "pages")
     return html_crf.main_text(pages, html_crf.fit(pages)).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op11_block_join(spark: SparkSession, sf: str) -> DataFrame:
+    return block_join.nearest_by_cosine(read(spark, sf, "embeddings"))
+
+
+@query
+def op12_shallot(spark: SparkSession, sf: str) -> DataFrame:
+    return shallot.clustered(read(spark, sf, "embeddings"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf, "embeddings"))

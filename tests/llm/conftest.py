@@ -41,3 +41,18 @@ def no_docs(edge_docs):
 @pytest.fixture(scope="session")
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="session")
+def edge_vectors(spark):
+    """Vectors with nulls, empties, zeros, odd lengths, huge numbers, repeated and tied rows, and clashing column names."""
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(64)]) for i in range(1, 40)]
+    rows += [(50 * i, list(rows[i][1])) for i in range(1, 9)] + [rows[3], rows[3], (100, rows[5][1]), (None, rows[6][1])]
+    rows += [(None, None), (150, None), (200, []), (250, [0.0] * 64), (251, [0.5, None]), (252, [float("nan")] * 64), (300, [float("inf")] * 64),
+             (350, [1.0, 2.0]), (351, [2.0, 4.0]), (352, [-1.0, -2.0]), (353, [2.0, 4.0]), (400, [0.1] * 63 + [None])]
+    rows += [(450, [1e30] + [0.0] * 63), (451, [3e38] * 64), (452, [-3e38, 1e-38] * 32)]
+    extra = "row key n label x item dims vector rows rank score no cluster mark numbers second kind row_no deviation".split()
+    schema = "vec_id long, embedding array<float>, " + ", ".join(f"`{c}` string" for c in extra)
+    frame = spark.createDataFrame([(*r, *["x"] * len(extra)) for r in rows], schema).repartition(4)
+    return frame, [(r["vec_id"], r["embedding"]) for r in frame.select("vec_id", "embedding").collect()]
