@@ -10,7 +10,9 @@ minima bounds o from above. The index over these points is laid out for a shuffl
 * Below, a class cuts its coordinates into segments. Similar sets differ in fewer tokens than a class has segments, so
   many segments have equal coordinates in both: each (class, segment, its coordinates) is a box, and similar
   points share one of their fuller boxes. Boxes with one point are leaves without partners and go.
-* Points that share a box with the same least point are compared: leaves of a few points with their bounding boxes
+* Points that share a box meet there by their sizes and by the parities of their coordinates: two sets differ in at least as many
+  tokens as their parities differ in groups. Only pairs that pass both, and connect something new, leave the box.
+* Points joined so are compared: leaves of a few points with their bounding boxes
   first, then points by their summed coordinate minima. Points that pass form families, and
   in these the surviving pairs are verified by their sets.
 
@@ -44,8 +46,11 @@ from .common import components, mixed, pack, slices, small_side, unpack
 GROUPS, STEP = 1 << 40, 1.25
 #: Most documents and most tokens of one side of a block, and points of a leaf: division of work only.
 BLOCK_ROWS, BLOCK_TOKENS, LEAF = 1024, 2_000_000, 16
-#: Rows of a slice and boxes of a bucket: division of work only.
-SLICE, BUCKET = 4096, 1_500_000
+#: Rows of a slice, boxes of a bucket, and points of a box that are compared where they meet, a fuller box being left to blocks:
+#: division of work only.
+SLICE, BUCKET, FULL = 4096, 1_000_000, 2048
+#: Bytes of parities, least and most; salts of a group of equal sets.
+PARITIES, SALTS = (16, 128), 64
 
 class WordHashes(dict):
     """Word → 64-bit hash; starts anew when it has grown large."""
@@ -80,8 +85,8 @@ def class_bounds(percent: int) -> list[int]:
     return bounds
 
 
-def boxes(tokens: np.ndarray, bounds: Sequence[int], percent: int) -> np.ndarray:
-    """The boxes of a set's point, as 64-bit hashes of (class, segment, coordinates).
+def boxes(tokens: np.ndarray, bounds: Sequence[int], percent: int) -> tuple[int, list[np.ndarray]]:
+    """The set's class, and the boxes of its point there and in the class above, as 64-bit hashes of (class, segment, coordinates).
 
     Of a class's segments at most ``most`` differ between similar sets, so more than ``spare`` are equal. A set leaves out
     its ``spare`` segments with the fewest tokens, which say least, and keeps ties; of the equal segments,
@@ -89,10 +94,10 @@ def boxes(tokens: np.ndarray, bounds: Sequence[int], percent: int) -> np.ndarray
     """
     n = len(tokens)
     own = int(np.searchsorted(bounds, n, side="right")) - 1
+    out: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64)]
     if own < 0:
-        return np.empty(0, np.int64)
-    out = []
-    for level in (own, own + 1):
+        return own, out
+    for above, level in enumerate((own, own + 1)):
         if level > own and 100 * n < percent * bounds[level]:
             break
         most = (bounds[level + 1] - 1) * (100 - percent) // percent
@@ -105,8 +110,22 @@ def boxes(tokens: np.ndarray, bounds: Sequence[int], percent: int) -> np.ndarray
         sums = np.zeros(segments, np.uint64)
         np.add.at(sums, segment, group)
         kept = np.flatnonzero(size >= np.partition(size, spare)[spare])
-        out.append(mixed(sums[kept] + mixed(kept.astype(np.uint64) + np.uint64(level << 40))))
-    return np.concatenate(out).view(np.int64)
+        out[above] = mixed(sums[kept] + mixed(kept.astype(np.uint64) + np.uint64(level << 40))).view(np.int64)
+    return own, out
+
+
+def parity_bytes(level: int, bounds: Sequence[int]) -> int:
+    """Bytes of a class's parities: a power of two, about a group for every two tokens, within bounds."""
+    wide = PARITIES[0]
+    while wide < PARITIES[1] and wide * 16 < bounds[level + 1]:
+        wide *= 2
+    return wide
+
+
+def parities(tokens: np.ndarray, wide: int) -> bytes:
+    """The group counts of a set modulo 2, a bit each. Halves folded onto each other are the parities at half the width."""
+    bits = np.bincount((mixed(tokens + np.uint64(7)) % np.uint64(8 * wide)).astype(np.int64), minlength=8 * wide) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
 
 def point_of(tokens: np.ndarray) -> bytes:
@@ -122,27 +141,35 @@ def point_of(tokens: np.ndarray) -> bytes:
 
 
 def index_points(docs: DataFrame, carried: Sequence[str], words_each: int, percent: int, text: str) -> DataFrame:
-    """(row struct, n, print, point, boxes) of every row: set size, 128-bit print of the set, its point and its boxes."""
+    """(row struct, n, print, point, level, boxes, above, parities) of every row: set size, 128-bit print of the set, its point, its
+    class and boxes there and in the class above, and its parities at that class's width."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"),
                        F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     bounds = class_bounds(percent)
 
+    def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in slices(batches, 512):
             sets = [shingle_set(t, words_each, hashes) for t in part.column(1).to_pylist()]
             found = [boxes(s, bounds, percent) for s in sets]
-            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([
                 part.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([point_of(s) for s in sets], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int64))),
-            ], ["row", "n", "print", "point", "boxes"])
+                pa.array([level for level, _ in found], pa.int32()),
+                lists([own for _, (own, _) in found]), lists([above for _, (_, above) in found]),
+                pa.array([parities(s, parity_bytes(level + 1, bounds)) if level >= 0 else b"" for s, (level, _) in zip(sets, found)],
+                         pa.binary()),
+            ], ["row", "n", "print", "point", "level", "boxes", "above", "parities"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(work, f"row {kind}, n long, print binary, point binary, boxes array<long>")
+    return rows.mapInArrow(work, f"row {kind}, n long, print binary, point binary, level int, boxes array<long>, above array<long>, "
+                                 "parities binary")
 
 
 def compared(ids: np.ndarray, sides: np.ndarray, size: np.ndarray, points: np.ndarray, percent: int,
@@ -214,47 +241,132 @@ def set_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percen
     return compared(ids[order], sides[order], size, points, percent, verified)
 
 
-def box_edges(rows: DataFrame, buckets: int) -> DataFrame:
-    """(a, b): rows that share a box, as edges to the box's smallest row. ``rows``: (row_no, print, boxes).
+def met_pairs(box: np.ndarray, at: np.ndarray, size: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """The least point joined with each point, by pairs that share a box and pass the bounds on size and parities.
+
+    ``box`` rises; ``at`` is the point of an entry, ``size`` and ``bits`` (words of parities) are by point. Points of a box that is too
+    full to compare here are all joined.
+    """
+    root = np.arange(len(size))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
 
-    A slice of rows sends, of rows with equal sets, the one with the least number only; so copies cost an entry per slice.
-    Rows are not read in the order of their numbers, and the least copy of all is the one that stands for the others later.
-    Boxes are dealt by hash over buckets whose number grows with the rows.
+    def join(pairs: np.ndarray) -> None:
+        for x, y in pairs.tolist():
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+        while (root != root[root]).any():
+            root[:] = root[root]
+
+    starts = np.flatnonzero(np.append(True, box[1:] != box[:-1])) if len(box) else np.empty(0, np.int64)
+    count = np.diff(np.append(starts, len(box)))
+    full = np.repeat(count > FULL, count)
+    first = np.repeat(starts, count)
+    join(np.unique(np.stack([at[first[full]], at[full]], axis=1), axis=0))
+    left = np.flatnonzero(~full)
+    end = np.repeat(starts + count, count)
+    step = 1
+    while len(left):
+        left = left[left + step < end[left]]
+        x, y = at[left], at[left + step]
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+        small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+        near = 100 * small >= percent * large
+        x, y, both = x[near], y[near], (small + large)[near]
+        # similar sets share percent * both / (100 + percent) tokens at least
+        most = both - 2 * -(-percent * both // (100 + percent))
+        passed = []
+        for part in range(0, len(x), 1 << 18):
+            cut_ = slice(part, part + (1 << 18))
+            passed.append(np.bitwise_count(bits[x[cut_]] ^ bits[y[cut_]]).sum(1, dtype=np.int64) <= most[cut_])
+        if passed:
+            ok = np.concatenate(passed)
+            if ok.any():
+                join(np.unique(np.stack([x[ok], y[ok]], axis=1), axis=0))
+        step += 1
+    return root
+
+
+def box_edges(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): rows that share a box and pass its bounds, as edges to the least row that they are so joined with.
+
+    ``rows``: (row_no, n, print, level, boxes, above, parities). A slice of rows sends, of rows with equal sets, the one with the least
+    number only; so copies cost an entry per slice. Rows are not read in the order of their numbers, and the least copy of all
+    is the one that stands for the others later. Boxes are dealt by class, and by hash where a class has more than a bucket holds, so that
+    two rows meet in few buckets; a row's size and parities go once to each bucket that it has a box in.
     """
+    bounds = class_bounds(percent)
+    own = rows.where("level >= 0").groupBy("level").agg(F.sum(F.size("boxes")).alias("own"), F.sum(F.size("above")).alias("above"))
+    boxes_of: dict[int, int] = {}
+    for r in own.collect():
+        for level, count in ((r["level"], r["own"]), (r["level"] + 1, r["above"])):
+            boxes_of[level] = boxes_of.get(level, 0) + count
+    buckets = {level: max(1, -(-count // BUCKET)) for level, count in boxes_of.items()}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, SLICE):
-            numbers, prints = part.column(0).to_pylist(), part.column(1).to_pylist()
+            numbers, prints = part.column(0).to_pylist(), part.column(2).to_pylist()
             least: dict[bytes, int] = {}
             for number, p in zip(numbers, prints):
                 least[p] = min(number, least.get(p, number))
             part = part.filter(pa.array([least[p] == number for number, p in zip(numbers, prints)]))
-            lists = part.column(2)
-            box = lists.flatten().to_numpy().view(np.uint64)
-            if not len(box):
-                continue
-            row = np.repeat(part.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
-            order = np.lexsort((row, box))
-            box, row = box[order], row[order]
-            of = (((box >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(of, prepend=-1))
-            ends = [*cuts[1:], len(box)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(of[cuts]), pa.array([pack(np.diff(box[x:y], prepend=np.uint64(0))) for x, y in zip(cuts, ends)], pa.binary()),
-                pa.array([pack(row[x:y]) for x, y in zip(cuts, ends)], pa.binary())], ["bucket", "boxes", "rows"])
+            number, size, level = (np.asarray(part.column(i)) for i in (0, 1, 3))
+            marks = part.column(6).to_pylist()
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            for above in (0, 1):
+                lists = part.column(4 + above)
+                box = np.asarray(lists.flatten()).view(np.uint64)
+                row = np.repeat(np.arange(len(number)), np.diff(np.asarray(lists.offsets)))
+                at = level[row] + above
+                many = np.array([buckets.get(x, 1) for x in range(int(at.max(initial=0)) + 1)], np.uint64)[at]
+                sub = (((box >> np.uint64(32)) * many) >> np.uint64(32)).astype(np.int64)
+                order = np.lexsort((row, box, sub, at))
+                box, row, at, sub = box[order], row[order], at[order], sub[order]
+                cuts = np.flatnonzero(np.append(True, (np.diff(at) != 0) | (np.diff(sub) != 0))) if len(box) else []
+                for x, y in zip(cuts, [*cuts[1:], len(box)]):
+                    here, index = np.unique(row[x:y], return_inverse=True)
+                    wide = parity_bytes(int(at[x]), bounds)
+                    bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(marks[i], np.uint8).reshape(-1, wide), axis=0) for i in here])
+                    for column, value in zip(out, (int(at[x]), int(sub[x]), pack(np.diff(box[x:y], prepend=np.uint64(0))), pack(index),
+                                                   number[here].tobytes(), pack(size[here]), bits.tobytes())):
+                        column.append(value)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])], names)
 
     def meet(table: pa.Table) -> pa.Table:
-        box = np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in table["boxes"].to_pylist()])
-        row = np.concatenate([unpack(x) for x in table["rows"].to_pylist()]).astype(np.int64)
-        order = np.lexsort((row, box))
-        box, row = box[order], row[order]
-        start = np.append(True, box[1:] != box[:-1])
-        least = row[np.flatnonzero(start)][np.cumsum(start) - 1]
-        edges = np.unique(np.stack([row, least])[:, row != least], axis=1)
-        return pa.table({"a": edges[0], "b": edges[1]})
-
-    return rows.select("row_no", "print", "boxes").mapInArrow(send, "bucket long, boxes binary, rows binary").groupBy(
-        "bucket").applyInArrow(meet, "a long, b long")
+        columns = {name: table[name].to_pylist() for name in names[2:]}
+        box = np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in columns.pop("boxes")])
+        entries = [unpack(x).astype(np.int64) for x in columns.pop("entries")]
+        number = [np.frombuffer(x, np.int64) for x in columns["rows"]]
+        shift = np.cumsum([0, *map(len, number)])
+        at = np.concatenate([e + s for e, s in zip(entries, shift)])
+        number = np.concatenate(number)
+        size = np.concatenate([unpack(x) for x in columns["sizes"]]).astype(np.int64)
+        bits = np.frombuffer(b"".join(columns["parities"]), np.uint64).reshape(len(number), -1)
+        by_number = np.argsort(number, kind="stable")
+        place = np.empty_like(by_number)
+        place[by_number] = np.arange(len(number))
+        order = np.argsort(box)
+        box, at = box[order], place[at][order]
+        # boxes with one point go
+        same = np.append(False, box[1:] == box[:-1])
+        shared = same | np.append(same[1:], False)
+        box, at = box[shared], at[shared]
+        root = met_pairs(box, at, size[by_number], bits[by_number], percent)
+        number = number[by_number]
+        moved = root != np.arange(len(root))
+        return pa.table({"a": number[moved], "b": number[root[moved]]})
+
+    names = ["level", "bucket", "boxes", "entries", "rows", "sizes", "parities"]
+    sent = rows.select("row_no", "n", "print", "level", "boxes", "above", "parities").where("level >= 0").mapInArrow(
+        send, "level int, bucket long, boxes binary, entries binary, rows binary, sizes binary, parities binary")
+    return sent.groupBy("level", "bucket").applyInArrow(meet, "a long, b long")
 
 
 def _pairs(links: list[tuple[int, int]]) -> pa.Table:
@@ -293,17 +405,17 @@ def family_blocks(members: DataFrame, percent: int) -> DataFrame:
 def grouped_rows(docs: DataFrame, carried: Sequence[str], words_each: int, percent: int, key: str,
                  text: str) -> tuple[DataFrame, DataFrame]:
     """All rows (row, row_no, key, n), and (row_no, label) of those linked with another row."""
-    rows, seen = cut(
-        index_points(docs, carried, words_each, percent, text).withColumn("row_no", F.monotonically_increasing_id()),
-        boxes=F.coalesce(F.sum(F.size("boxes")), F.lit(0)))
-    buckets = max(1, seen["boxes"] // BUCKET)
+    rows = cut(index_points(docs, carried, words_each, percent, text).withColumn("row_no", F.monotonically_increasing_id()))
     rows = rows.withColumn("key", F.col("row")[key])
     full = rows.where("n > 0")
-    firsts = full.groupBy("print").agg(F.min("row_no").alias("id"), F.max("row_no").alias("last"))
-    copies = cut(full.select("print", "row_no").join(firsts.where("id < last"), "print").where("row_no <> id")
+    # one print may be that of a large part of all rows: its rows are spread by salts, its first row is there once a salt
+    firsts = full.groupBy("print").agg(F.min("row_no").alias("id"), F.max("row_no").alias("last")).where("id < last").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = full.select("print", "row_no", F.pmod(F.xxhash64("row_no"), F.lit(SALTS)).cast("int").alias("salt"))
+    copies = cut(salted.join(firsts, ["print", "salt"]).where("row_no <> id")
                  .select(F.col("row_no").alias("a"), F.col("id").alias("b")))
     sizes = full.select(F.col("row_no").alias("id"), "n")
-    edges = cut(box_edges(full, buckets).distinct())
+    edges = cut(box_edges(full, percent).distinct())
     around = edges.select(F.col("a").alias("id"), F.col("b").alias("family")).unionByName(
         edges.select(F.col("b").alias("id"), F.col("b").alias("family")).distinct()).join(
         copies, F.col("id") == copies["a"], "left_anti").join(sizes, "id")

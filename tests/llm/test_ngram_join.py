@@ -73,14 +73,16 @@ def test_large_family_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 7)
     monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 500)
     monkeypatch.setattr(ngram_join, "BUCKET", 100)
+    monkeypatch.setattr(ngram_join, "FULL", 5)
     monkeypatch.setattr(ngram_join, "small_side", lambda side, rows: side)
     assert run(spark, rows) == want
 
 
 def test_least_copy_stands_for_a_slice(spark):
-    rows = [(2, b"copies", [7, 8]), (0, b"copies", [7, 8]), (1, b"near", [7, 9])]
-    edges = ngram_join.box_edges(spark.createDataFrame(rows, "row_no long, print binary, boxes array<long>").coalesce(1), 1)
-    assert [tuple(r) for r in edges.collect()] == [(1, 0)]
+    bits = bytes(16)
+    rows = [(2, 9, b"copies", 0, [7, 8], [], bits), (0, 9, b"copies", 0, [7, 8], [], bits), (1, 9, b"near", 0, [7, 9], [], bits)]
+    frame = spark.createDataFrame(rows, "row_no long, n long, print binary, level int, boxes array<long>, above array<long>, parities binary")
+    assert [tuple(r) for r in ngram_join.box_edges(frame.coalesce(1), 80).collect()] == [(1, 0)]
 
 
 def test_near_copies_of_a_large_copy_group(spark):
@@ -114,7 +116,29 @@ def test_similar_sets_share_a_box():
             b = np.unique(np.concatenate([a[gone:], pool[n:n + more]]))
             both = len(np.intersect1d(a, b))
             if 100 * both >= percent * (len(a) + len(b) - both) and len(a) != both:
-                assert set(ngram_join.boxes(a, bounds, percent)) & set(ngram_join.boxes(b, bounds, percent))
+                (x, own), (y, other) = ngram_join.boxes(a, bounds, percent), ngram_join.boxes(b, bounds, percent)
+                shared = set(np.concatenate(own)) & set(np.concatenate(other))
+                assert shared and abs(x - y) <= 1
+                for wide in (16, 128):
+                    bits = np.stack([np.frombuffer(ngram_join.parities(s, wide), np.uint64) for s in (a, b)])
+                    root = ngram_join.met_pairs(np.array([5, 5], np.uint64), np.array([0, 1]), np.array([len(a), len(b)]), bits, percent)
+                    assert root.tolist() == [0, 0]
+
+
+def test_unlike_sets_do_not_meet(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(1, 1 << 62, 200, dtype=np.uint64)) for _ in range(30)]
+    sets.append(np.unique(np.append(sets[3][5:], sets[4][:3])))
+    bits = np.stack([np.frombuffer(ngram_join.parities(s, 32), np.uint64) for s in sets])
+    size = np.array([len(s) for s in sets])
+    box, at = np.zeros(len(sets), np.uint64), np.arange(len(sets))
+    want = np.arange(31)
+    want[30] = 3
+    assert ngram_join.met_pairs(box, at, size, bits, 80).tolist() == want.tolist()
+    folded = np.stack([np.bitwise_xor(bits[:, 0:2], bits[:, 2:4])])[0]
+    assert (folded == np.stack([np.frombuffer(ngram_join.parities(s, 16), np.uint64) for s in sets])).all()
+    monkeypatch.setattr(ngram_join, "FULL", 10)
+    assert not ngram_join.met_pairs(box, at, size, bits, 80).any()
 
 
 def test_components(spark):
