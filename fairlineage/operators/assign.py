@@ -153,33 +153,41 @@ def weighted_places(records: DataFrame, weights: DataFrame, seed: int, table: st
     return now.select("row_id", F.explode("taken.place").alias("place"))
 
 
-def shuffled_rows(records: DataFrame, seed: int, table: str, key: str = "row_id") -> DataFrame:
-    """(pos, row_id): a random order of all records, by a distributed sort on the draw."""
-    ordered = cut(records.select(key, draw(seed, f"shuffle-{table}", F.col(key)).alias("_d")).orderBy("_d", key))
-    at = ordered.select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"), key)
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Add ``pos``, the place of a row in the given order, from 0: a distributed sort, then counts of the sorted files before a row's own."""
+    ordered = cut(rows.orderBy(*order))
+    at = ordered.select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_at"), *rows.columns)
     starts = at.groupBy("_f").agg(F.count(F.lit(1)).alias("_n")).select("_f", F.expr(
         "sum(_n) over (order by _f rows between unbounded preceding and current row) - _n").alias("_start"))
-    return at.join(starts, "_f").select((F.col("_start") + F.col("_r")).alias("pos"), key)
+    return at.join(starts, "_f").select((F.col("_start") + F.col("_at")).alias("pos"), *rows.columns)
+
+
+def shuffled_rows(records: DataFrame, seed: int, table: str, key: str = "row_id") -> DataFrame:
+    """(pos, row_id): a random order of all records, by a distributed sort on the draw."""
+    drawn = records.select(key, draw(seed, f"shuffle-{table}", F.col(key)).alias("_d"))
+    return numbered(drawn, "_d", key).select("pos", key)
 
 
 def repair_starved(pairs: DataFrame, owners: DataFrame) -> DataFrame:
     """(row_id, owner_id): give every owner of ``owners(owner_id)`` at least one record.
 
-    Owners without records take one from owners who hold two or more, rank by rank, round by round;
-    the number of pairs stays the same. Ranks are over owners, not records.
+    An owner of n records can give n − 1: first every donor its smallest record, then every donor its next, by owner; in that
+    order the gifts go to the owners without records, by owner. Both sides are numbered by distributed sorts and met by number, and all moves are
+    applied at once: pairs are counted, offered and rewritten once, whatever the number of owners. Owners that are left
+    without a gift stay as they are; the number of pairs stays the same.
     """
     pairs = pairs.select("row_id", "owner_id")
-    while True:
-        held = pairs.groupBy("owner_id").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id"))
-        ranked = "row_number() over (order by owner_id)"
-        starved = owners.join(held, "owner_id", "left_anti").select(
-            F.col("owner_id").alias("new_owner"), F.expr(ranked).alias("_rank"))
-        donors = held.where("n >= 2").select("owner_id", "row_id", F.expr(ranked).alias("_rank"))
-        moves, seen = cut(starved.join(donors, "_rank").drop("_rank"), n=F.count(F.lit(1)))
-        if not seen["n"]:
-            return pairs
-        pairs = cut(pairs.join(moves, ["row_id", "owner_id"], "left").select(
-            "row_id", F.coalesce("new_owner", "owner_id").alias("owner_id")))
+    held = pairs.groupBy("owner_id").agg(F.count(F.lit(1)).alias("n"))
+    starved, seen = cut(owners.select("owner_id").distinct().join(held, "owner_id", "left_anti"), n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return pairs
+    # no donor gives more records than there are owners to get one; the rank is cut to that before the shuffle
+    rank = F.expr("row_number() over (partition by owner_id order by row_id)")
+    offers = pairs.withColumn("_r", rank).where(F.col("_r") <= seen["n"]).join(held, "owner_id").where(F.col("_r") < F.col("n"))
+    first = offers.select("owner_id", "row_id", "_r").orderBy("_r", "owner_id").limit(seen["n"])
+    gifts = numbered(first, "_r", "owner_id").select("pos", "owner_id", "row_id")
+    moves = numbered(starved.withColumnRenamed("owner_id", "new_owner"), "new_owner").join(gifts, "pos").drop("pos")
+    return pairs.join(moves, ["row_id", "owner_id"], "left").select("row_id", F.coalesce("new_owner", "owner_id").alias("owner_id"))
 
 
 def assign_table(records: DataFrame, table: str, table_owners: DataFrame, config: AssignmentConfig) -> DataFrame:

@@ -2,6 +2,8 @@
 
 ``poly(…keys, degree, coeff)`` is Σ coeff·t^degree. The value of a polynomial, Σ coeff/degree, is
 the integral of Σ coeff·t^(degree-1) over [0, 1], which is how a polynomial becomes a Shapley value.
+Coefficients of polynomials are whole numbers of up to 38 digits, ``decimal(38,0)``; one that does not fit is an error, never a
+wrong number.
 """
 
 from __future__ import annotations
@@ -12,15 +14,36 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import sets as S
-from ..session import cut
+from ..session import cut, delete_tables, recorded_tables
 
-BLOCK = 4  # terms multiplied in per round of union_states: at most 2^4 unions of one block
+WHOLE = "decimal(38,0)"
+BLOCK, MOST = 4, 8    # terms of a block of union_states, wanted and at most: at most 2^8 unions of one block
+PARTS, SMALL = 16, 12  # parts that the states of one game are dealt over; a game of few terms has few states and one part
+
+
+def _whole(c: Column) -> Column:
+    return c.cast(WHOLE)
+
+
+def _fits(number: Column, of: Column) -> Column:
+    """``number`` made from the non-null ``of``; null, which is what an overflow leaves where it is no error itself, is an error."""
+    return F.when(number.isNull() & of.isNotNull(), F.raise_error(F.lit("a coefficient has more than 38 digits")).cast(WHOLE)).otherwise(number)
+
+
+def _total(c: Column) -> Column:
+    """Exact sum of whole numbers."""
+    return _fits(_whole(F.sum(_whole(c))), F.max(c))
+
+
+def _times(a: Column, b: Column) -> Column:
+    """Exact product of whole numbers."""
+    return _fits(_whole(_whole(a) * _whole(b)), a + b)
 
 
 def add(*polys: DataFrame, keys: Sequence[str] = ("game_id",)) -> DataFrame:
     """Sum by degree; zero coefficients vanish."""
-    rows = reduce(DataFrame.unionByName, polys)
-    return rows.groupBy(*keys, "degree").agg(F.sum("coeff").alias("coeff")).where("coeff <> 0")
+    rows = reduce(DataFrame.unionByName, [p.withColumn("coeff", _whole(F.col("coeff"))) for p in polys])
+    return rows.groupBy(*keys, "degree").agg(_total(F.col("coeff")).alias("coeff")).where("coeff <> 0")
 
 
 def scale(poly: DataFrame, sign: int | Column) -> DataFrame:
@@ -37,7 +60,7 @@ def multiply(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("game_id",),
     unless asked for."""
     other = b.select(*keys, F.col("degree").alias("_d"), F.col("coeff").alias("_c"))
     product = a.join(other, list(keys)).groupBy(*keys, (F.col("degree") + F.col("_d")).alias("degree")).agg(
-        F.sum(F.col("coeff") * F.col("_c")).alias("coeff")).where("coeff <> 0")
+        _total(_times(F.col("coeff"), F.col("_c"))).alias("coeff")).where("coeff <> 0")
     return product.where("degree <> 0") if drop_constant else product
 
 
@@ -53,7 +76,7 @@ def horizontal(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("game_id",)) -
 
 def value_of(poly: DataFrame, keys: Sequence[str] = ("game_id",), name: str = "value") -> DataFrame:
     """Σ coeff/degree."""
-    return poly.groupBy(*keys).agg(F.sum(F.col("coeff") / F.col("degree")).alias(name))
+    return poly.groupBy(*keys).agg(F.sum(F.col("coeff").cast("double") / F.col("degree")).alias(name))
 
 
 def leave_one_out(rows: DataFrame, keys: Sequence[str], value: str, name: str = "others") -> DataFrame:
@@ -72,45 +95,78 @@ def leave_one_out(rows: DataFrame, keys: Sequence[str], value: str, name: str =
 # --- inclusion–exclusion ----------------------------------------------------------------------
 
 
-def union_states(dnf: DataFrame) -> DataFrame:
+def _blocks(dnf: DataFrame) -> DataFrame:
+    """(game_id, owners, parts, last, _b, _terms): the terms of every game in numbered blocks.
+
+    Terms are dealt by hash over as many buckets as blocks are wanted; a bucket that got more than ``MOST`` is cut.
+    So no game's terms are numbered in one place. Rounds are as many as the fullest buckets ask for.
+    """
+    size = dnf.groupBy("game_id").agg(F.count(F.lit(1)).alias("_n")).join(
+        dnf.select("game_id", F.explode("term").alias("o")).groupBy("game_id").agg(F.count_distinct("o").alias("owners")), "game_id")
+    buckets = F.ceil(F.col("_n") / BLOCK).cast("bigint")
+    dealt = dnf.join(size, "game_id").withColumn("_of", buckets).withColumn("_k", F.pmod(F.xxhash64("term"), F.col("_of")))
+    ranked = dealt.withColumn("_r", F.expr("row_number() over (partition by game_id, _k order by term) - 1"))
+    parts = F.when(F.col("_n") <= SMALL, 1).otherwise(PARTS).alias("parts")
+    blocks = ranked.groupBy("game_id", "owners", parts, (F.expr(f"_r div {MOST}") * F.col("_of") + F.col("_k")).alias("_b")).agg(
+        F.sort_array(F.collect_list("term")).alias("_terms"))
+    last = blocks.groupBy("game_id").agg(F.max("_b").alias("last"))
+    return blocks.join(last, "game_id")
+
+
+def _part(members: Column, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(members), parts).cast("int")
+
+
+def _over_parts(df: DataFrame, parts: Column) -> DataFrame:
+    """Every row once for each part."""
+    return df.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+
+
+def union_states(dnf: DataFrame, sizes: list[int] | None = None) -> DataFrame:
     """(game_id, members, coeff): the function as Σ coeff·[all members], i.e. inclusion–exclusion
     over all sets of terms with equal unions merged and cancelled.
 
     1 − f is the product of (1 − term). Terms are multiplied in by blocks; a round is one join and
-    one sum by union, for all games at once. The number of states can double with every term, as
-    in any inclusion–exclusion, so split games before they come here.
+    one sum by union, for all games at once. States are dealt over parts by a hash of their members, and each part has
+    the block's few factors, so the states of one large game are spread over tasks. A state that holds every owner of its game is dropped as
+    soon as terms are left: (1 − term) takes it from itself. The number of states can double with every term, as
+    in any inclusion–exclusion, so split games before they come here. ``sizes`` gets the number of states after every round.
     """
-    ranked = dnf.select("game_id", "term", F.expr(
-        "row_number() over (partition by game_id order by term) - 1").alias("_r"))
-    blocks = ranked.groupBy("game_id", F.expr(f"_r div {BLOCK}").alias("_b")).agg(
-        F.sort_array(F.collect_list("term")).alias("_terms"))
     chosen = "filter(_terms, (t, i) -> (_m >> i) & 1 = 1)"
     factors = (
-        blocks.withColumn("_m", F.explode(F.expr("sequence(0, (1 << size(_terms)) - 1)")))
-        .select("game_id", "_b",
+        _blocks(dnf).withColumn("_m", F.explode(F.expr("sequence(0, (1 << size(_terms)) - 1)")))
+        .select("game_id", "owners", "parts", "last", "_b",
                 F.expr(f"cast(sort_array(array_distinct(flatten({chosen}))) as array<bigint>)").alias("_u"),
                 F.expr("cast(if(bit_count(_m) % 2 = 0, 1, -1) as bigint)").alias("_c"))
-        .groupBy("game_id", "_b", "_u").agg(F.sum("_c").alias("_c")).where("_c <> 0"))
+        .groupBy("game_id", "owners", "parts", "last", "_b", "_u").agg(F.sum("_c").alias("_c")).where("_c <> 0"))
     factors, seen = cut(factors, last=F.max("_b"))
     rounds = (seen["last"] if seen["last"] is not None else -1) + 1
-    states = factors.where("_b = 0").select("game_id", F.col("_u").alias("members"), F.col("_c").alias("coeff"))
-    for b in range(1, rounds):
-        factor = factors.where(F.col("_b") == b).drop("_b")
-        going = states.join(factor, "game_id", "left").select(
-            "game_id",
-            F.when(F.col("_u").isNull(), F.col("members")).otherwise(S.union(F.col("members"), F.col("_u")))
-            .alias("members"),
-            (F.col("coeff") * F.coalesce("_c", F.lit(1).cast("bigint"))).alias("coeff"))
-        states = going.groupBy("game_id", "members").agg(F.sum("coeff").alias("coeff")).where("coeff <> 0")
-        if b % 3 == 0 and b + 1 < rounds:
-            states = cut(states)
+    start = factors.groupBy("game_id", "owners", "parts", "last").agg(F.count(F.lit(1))).select(
+        "game_id", "owners", "parts", "last", F.array().cast("array<bigint>").alias("members"), F.lit(1).cast("bigint").alias("coeff"))
+    states = start
+    with recorded_tables() as made:
+        for b in range(rounds):
+            factor = _over_parts(factors.where(F.col("_b") == b), F.col("parts")).select("game_id", "_part", "_u", "_c")
+            going = states.withColumn("_part", _part(F.col("members"), F.col("parts"))).join(factor, ["game_id", "_part"], "left").select(
+                "game_id", "owners", "parts", "last",
+                F.when(F.col("_u").isNull(), F.col("members")).otherwise(S.union(F.col("members"), F.col("_u")))
+                .alias("members"),
+                (F.col("coeff") * F.coalesce("_c", F.lit(1).cast("bigint"))).alias("coeff"))
+            states = going.groupBy("game_id", "owners", "parts", "last", "members").agg(F.sum("coeff").alias("coeff")).where(
+                (F.col("coeff") != 0) & ((F.size("members") < F.col("owners")) | (F.col("last") <= b)))
+            if sizes is not None or (b % 3 == 2 and b + 1 < rounds):
+                before = made[:]
+                states, seen = cut(states, n=F.count(F.lit(1)))
+                delete_tables(dnf.sparkSession, before)
+                if sizes is not None:
+                    sizes.append(seen["n"])
     return states.where(F.size("members") > 0).select("game_id", "members", (-F.col("coeff")).alias("coeff"))
 
 
 def union_polynomial(states: DataFrame) -> DataFrame:
     """(game_id, degree, coeff) of a function with one variable per owner."""
     return states.groupBy("game_id", F.size("members").cast("bigint").alias("degree")).agg(
-        F.sum("coeff").alias("coeff")).where("coeff <> 0")
+        _total(F.col("coeff")).alias("coeff")).where("coeff <> 0")
 
 
 def child_products(states: DataFrame, children: DataFrame) -> DataFrame:
@@ -120,14 +176,14 @@ def child_products(states: DataFrame, children: DataFrame) -> DataFrame:
     child = children.select("game_id", F.col("child_id").alias("_child"), F.col("degree").alias("_d"),
                             F.col("coeff").alias("_c"))
     grown = states.withColumns(
-        {"degree": F.lit(0).cast("bigint"), "coeff": F.lit(1).cast("bigint")})
+        {"degree": F.lit(0).cast("bigint"), "coeff": _whole(F.lit(1))})
     for i in range(seen["most"] or 0):
         with_child = grown.withColumn("_child", F.get("members", F.lit(i)))
         grown = (
             with_child.join(child, ["game_id", "_child"], "left")
             .where(F.col("_child").isNull() | F.col("_c").isNotNull())
             .groupBy("game_id", "members", (F.col("degree") + F.coalesce("_d", F.lit(0))).alias("degree"))
-            .agg(F.sum(F.col("coeff") * F.coalesce("_c", F.lit(1))).alias("coeff")))
+            .agg(_total(_times(F.col("coeff"), F.coalesce("_c", F.lit(1)))).alias("coeff")))
     return grown.where("coeff <> 0")
 
 
@@ -135,12 +191,17 @@ def expression_polynomial(states: DataFrame, children: DataFrame) -> DataFrame:
     """(game_id, degree, coeff): the function with the children's polynomials put in."""
     weight = states.select("game_id", "members", F.col("coeff").alias("_w"))
     return child_products(states, children).join(weight, ["game_id", "members"]).groupBy(
-        "game_id", "degree").agg(F.sum(F.col("coeff") * F.col("_w")).alias("coeff")).where("coeff <> 0")
+        "game_id", "degree").agg(_total(_times(F.col("coeff"), F.col("_w"))).alias("coeff")).where("coeff <> 0")
+
+
+def interaction_states(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The union states of the AND of two functions. The states of ``a`` are dealt over parts, each of which has those of ``b``."""
+    other = _over_parts(b.select("game_id", F.col("members").alias("_m"), F.col("coeff").alias("_c")), F.lit(PARTS))
+    mine = a.withColumn("_part", _part(F.col("members"), F.lit(PARTS)))
+    return mine.join(other, ["game_id", "_part"]).groupBy("game_id", S.union(F.col("members"), F.col("_m")).alias("members")).agg(
+        _total(_times(F.col("coeff"), F.col("_c"))).alias("coeff")).where("coeff <> 0")
 
 
 def interaction_polynomial(a: DataFrame, b: DataFrame, children: DataFrame) -> DataFrame:
     """The polynomial of the AND of two functions, given the union states of both."""
-    other = b.select("game_id", F.col("members").alias("_m"), F.col("coeff").alias("_c"))
-    both = a.join(other, "game_id").groupBy("game_id", S.union(F.col("members"), F.col("_m")).alias("members")).agg(
-        F.sum(F.col("coeff") * F.col("_c")).alias("coeff")).where("coeff <> 0")
-    return expression_polynomial(both, children)
+    return expression_polynomial(interaction_states(a, b), children)

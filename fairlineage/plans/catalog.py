@@ -293,7 +293,7 @@ def starved_owner_repair(spark, sf):
     pairs = _read(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("row_id"), (F.col("s_suppkey") % 3).alias("owner_id"))
     owners = _read(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("owner_id"))
-    return A.repair_starved(pairs, owners).groupBy("owner_id").agg(F.count(F.lit(1)).alias("records"))
+    return A.repair_starved(pairs, owners)
 
 
 def _numbered_tables(spark, sf):
@@ -891,52 +891,49 @@ def trade_attribution(spark, sf):
 
 
 def _polynomials(spark, sf):
-    """Two small polynomials per customer."""
-    key = F.col("c_custkey")
-    rows = _read(spark, sf, "customer")
+    """The polynomials of both functions of every customer."""
+    return tuple(C.union_polynomial(C.union_states(games)) for games in (trade_games(spark, sf), D.minimise(other_games(spark, sf))))
 
-    def made(shift):
-        return rows.select(key.alias("game_id"), F.explode(F.array(*[F.struct(
-            F.lit(d).cast("bigint").alias("degree"), ((key * (d + shift)) % 7 - 3).alias("coeff"))
-            for d in (0, 1, 2, 4)])).alias("p")).select("game_id", "p.*").where("coeff <> 0")
 
-    return made(1), made(2)
+def _counts(poly: DataFrame) -> DataFrame:
+    return poly.withColumn("coeff", F.col("coeff").cast("bigint"))
 
 
 @query
 def coefficients_add(spark, sf):
-    return C.add(*_polynomials(spark, sf))
+    return _counts(C.add(*_polynomials(spark, sf)))
 
 
 @query
 def coefficients_subtract(spark, sf):
-    return C.subtract(*_polynomials(spark, sf))
+    return _counts(C.subtract(*_polynomials(spark, sf)))
 
 
 @query
 def coefficients_negate(spark, sf):
-    return C.scale(_polynomials(spark, sf)[0], -1)
+    return _counts(C.scale(_polynomials(spark, sf)[0], -1))
 
 
 @query
 def coefficients_multiply(spark, sf):
-    return C.multiply(*_polynomials(spark, sf))
+    return _counts(C.multiply(*_polynomials(spark, sf)))
 
 
 @query
 def coefficients_vertical(spark, sf):
-    return C.vertical(*[p.where("degree > 0") for p in _polynomials(spark, sf)])
+    a, b = _polynomials(spark, sf)
+    return _counts(C.vertical(C.vertical(a, b), b))
 
 
 @query
 def coefficients_horizontal(spark, sf):
-    return C.horizontal(*[p.where("degree > 0") for p in _polynomials(spark, sf)])
+    return _counts(C.horizontal(*_polynomials(spark, sf)))
 
 
 @query
 def coefficients_value(spark, sf):
     a, _ = _polynomials(spark, sf)
-    return C.value_of(a.where("degree > 0")).select("game_id", F.round("value", 6).alias("value"))
+    return C.value_of(a).select("game_id", F.round("value", 6).alias("value"))
 
 
 @query
@@ -955,7 +952,7 @@ def union_states(spark, sf):
 
 @query
 def union_polynomial(spark, sf):
-    return C.union_polynomial(C.union_states(trade_games(spark, sf)))
+    return _counts(C.union_polynomial(C.union_states(trade_games(spark, sf))))
 
 
 def _child_polynomials(games: DataFrame) -> DataFrame:
@@ -972,17 +969,23 @@ def child_product_coefficients(spark, sf):
     games = trade_games(spark, sf)
     states = games.select("game_id", F.col("term").alias("members"))
     return C.child_products(states, _child_polynomials(games)).select(
-        "game_id", _text("members").alias("members"), "degree", "coeff")
+        "game_id", _text("members").alias("members"), "degree", F.col("coeff").cast("bigint").alias("coeff"))
 
 
 @query
 def expression_coefficients(spark, sf):
     games = trade_games(spark, sf)
-    return C.expression_polynomial(C.union_states(games), _child_polynomials(games))
+    return _counts(C.expression_polynomial(C.union_states(games), _child_polynomials(games)))
 
 
 @query
 def interaction_coefficients(spark, sf):
     games, other = trade_games(spark, sf), other_games(spark, sf)
     children = _child_polynomials(games.select(*D.KEYS).unionByName(other))
-    return C.interaction_polynomial(C.union_states(games), C.union_states(D.minimise(other)), children)
+    return _counts(C.interaction_polynomial(C.union_states(games), C.union_states(D.minimise(other)), children))
+
+
+@query
+def interaction_union_states(spark, sf):
+    states = C.interaction_states(C.union_states(trade_games(spark, sf)), C.union_states(D.minimise(other_games(spark, sf))))
+    return states.select("game_id", _text("members").alias("members"), F.col("coeff").cast("bigint").alias("coeff"))

@@ -205,6 +205,36 @@ def _floyd() -> str:
 
 
 SQL["uniform_record_owners"] = _floyd()
+
+
+def _weighted() -> str:
+    """Up to three draws, each a point on the line of places with those taken cut out."""
+    u = lambda j: _hash_draw(f"concat_ws('|', '1', 'weight-part', row_id, {j})")
+    at = "JOIN line l{j} ON x{j} >= l{j}.lo AND x{j} < l{j}.top"
+    skip = "(CASE WHEN {x} >= {p}.lo THEN ({x} - {p}.lo) + {p}.hi ELSE {x} END)"
+    low, high = "least({'lo': a.lo, 'hi': a.hi}, {'lo': b.lo, 'hi': b.hi})", "greatest({'lo': a.lo, 'hi': a.hi}, {'lo': b.lo, 'hi': b.hi})"
+    return f"""WITH raw AS (SELECT unnest(range(1, 51)) AS i), w AS (SELECT i, pow(i, -3.0) / (SELECT sum(pow(i, -3.0)) FROM raw) AS weight FROM raw),
+cum AS (SELECT i, weight, sum(weight) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS hi FROM w),
+line AS (SELECT i, hi - weight AS lo, hi, CASE WHEN i = 50 THEN 2.0 ELSE hi END AS top FROM cum),
+records AS (SELECT p_partkey AS row_id, p_partkey % 3 + 1 AS copies FROM part),
+one AS (SELECT row_id, copies, {{'lo': l1.lo, 'hi': l1.hi}} AS a, l1.i AS p1 FROM (SELECT *, {u(1)} AS x1 FROM records) {at.format(j=1)}),
+two AS (SELECT row_id, copies, a, p1, {{'lo': l2.lo, 'hi': l2.hi}} AS b, l2.i AS p2 FROM (
+  SELECT *, {skip.format(x='y', p='a')} AS x2 FROM (SELECT *, {u(2)} * (1 - (a.hi - a.lo)) AS y FROM one WHERE copies >= 2)) {at.format(j=2)}),
+three AS (SELECT row_id, l3.i AS p3 FROM (
+  SELECT *, {skip.format(x='z', p='q')} AS x3 FROM (SELECT *, {skip.format(x='y', p='p')} AS z FROM (
+    SELECT *, {low} AS p, {high} AS q, {u(3)} * (1 - (((a.hi - a.lo) + b.hi) - b.lo)) AS y FROM two WHERE copies >= 3))) {at.format(j=3)})
+SELECT row_id, p1 AS place FROM one UNION ALL SELECT row_id, p2 FROM two UNION ALL SELECT row_id, p3 FROM three"""
+
+
+SQL["weighted_record_owners"] = _weighted()
+SQL["starved_owner_repair"] = """WITH pairs AS (SELECT s_suppkey AS row_id, s_suppkey % 3 AS owner_id FROM supplier),
+starved AS (SELECT n_nationkey::BIGINT AS new_owner, row_number() OVER (ORDER BY n_nationkey) AS pos FROM nation
+  WHERE n_nationkey NOT IN (SELECT owner_id FROM pairs)),
+offers AS (SELECT owner_id, row_id, row_number() OVER (ORDER BY r, owner_id) AS pos FROM (
+  SELECT owner_id, row_id, row_number() OVER (PARTITION BY owner_id ORDER BY row_id) AS r, count(*) OVER (PARTITION BY owner_id) AS n
+  FROM pairs) WHERE r < n)
+SELECT p.row_id, coalesce(new_owner, p.owner_id) AS owner_id FROM pairs p LEFT JOIN (
+  SELECT row_id, owner_id, new_owner FROM offers JOIN starved USING (pos)) m ON m.row_id = p.row_id AND m.owner_id = p.owner_id"""
 SQL["row_id_shuffle"] = f"""SELECT row_number() OVER (ORDER BY {_hash_draw("concat_ws('|', '1', 'shuffle-part', p_partkey)")},
   p_partkey) - 1 AS pos, p_partkey AS row_id FROM part"""
 SQL["owner_record_counts"] = f"""WITH {ASSIGNMENT} SELECT table_name, owner_id, count(DISTINCT row_id) AS records
@@ -473,9 +503,13 @@ SQL["trade_attribution"] = f"""WITH {TRADE}, {_worth('trade')}, sv AS ({_SV}) SE
 # --- coefficients
 
 
-def _poly(name: str, shift: int, extra: str = "") -> str:
-    return (f"{name} AS (SELECT c_custkey AS game_id, d AS degree, c_custkey * (d + {shift}) % 7 - 3 AS coeff FROM customer, "
-            f"(SELECT unnest([0, 1, 2, 4])::BIGINT AS d) WHERE c_custkey * (d + {shift}) % 7 <> 3 {extra})")
+def _poly(name: str, dnf: str) -> str:
+    """Coefficients by degree, by Möbius inversion of the worths of all 256 coalitions."""
+    return f"""{name}_worth AS (SELECT game_id, s, max(CASE WHEN (m & s) = m THEN 1 ELSE 0 END) AS v
+  FROM {dnf}, (SELECT unnest(range(256)) AS s) GROUP BY game_id, s),
+{name} AS (SELECT game_id, bit_count(u)::BIGINT AS degree, sum(CASE WHEN (bit_count(u) - bit_count(s)) % 2 = 0 THEN v ELSE -v END)::BIGINT AS coeff
+  FROM {name}_worth JOIN (SELECT unnest(range(1, 256)) AS u) ON (s & u) = s GROUP BY game_id, bit_count(u)
+  HAVING sum(CASE WHEN (bit_count(u) - bit_count(s)) % 2 = 0 THEN v ELSE -v END) <> 0)"""
 
 
 def _by_degree(rows: str, polys: str, where: str = "") -> str:
@@ -483,8 +517,7 @@ def _by_degree(rows: str, polys: str, where: str = "") -> str:
             "GROUP BY game_id, degree HAVING sum(coeff) <> 0")
 
 
-_AB = f"{_poly('a', 1)}, {_poly('b', 2)}"
-_AB1 = f"{_poly('a', 1, 'AND d > 0')}, {_poly('b', 2, 'AND d > 0')}"
+_AB = f"{TRADE}, {OTHER}, {_poly('a', 'trade')}, {_poly('b', 'other')}"
 _ALL = "SELECT game_id, degree, coeff FROM"
 _PRODUCT = ("SELECT a.game_id, a.degree + b.degree AS degree, {sign} a.coeff * b.coeff AS coeff FROM a JOIN b "
             "ON a.game_id = b.game_id")
@@ -492,10 +525,12 @@ SQL["coefficients_add"] = _by_degree(f"{_ALL} a UNION ALL {_ALL} b", _AB)
 SQL["coefficients_subtract"] = _by_degree(f"{_ALL} a UNION ALL SELECT game_id, degree, -coeff FROM b", _AB)
 SQL["coefficients_negate"] = f"WITH {_AB} SELECT game_id, degree, -coeff AS coeff FROM a"
 SQL["coefficients_multiply"] = _by_degree(_PRODUCT.format(sign=""), _AB, "WHERE degree <> 0")
-SQL["coefficients_vertical"] = _by_degree(_PRODUCT.format(sign=""), _AB1)
+SQL["coefficients_vertical"] = _by_degree(
+    "SELECT a.game_id, a.degree + b.degree + c.degree AS degree, a.coeff * b.coeff * c.coeff AS coeff FROM a JOIN b "
+    "ON a.game_id = b.game_id JOIN b c ON a.game_id = c.game_id", _AB)
 SQL["coefficients_horizontal"] = _by_degree(
-    f"{_ALL} a UNION ALL {_ALL} b UNION ALL {_PRODUCT.format(sign='-')}", _AB1)
-SQL["coefficients_value"] = (f"WITH {_AB1} SELECT game_id, round(sum(coeff::DOUBLE / degree), 6) AS value FROM a GROUP BY game_id")
+    f"{_ALL} a UNION ALL {_ALL} b UNION ALL {_PRODUCT.format(sign='-')}", _AB)
+SQL["coefficients_value"] = (f"WITH {_AB} SELECT game_id, round(sum(coeff::DOUBLE / degree), 6) AS value FROM a GROUP BY game_id")
 SQL["leave_one_out_products"] = """WITH r AS (SELECT DISTINCT l_orderkey AS game_id, l_linenumber, l_partkey, l_suppkey,
   (l_partkey + l_suppkey) % 4 AS f FROM lineitem)
 SELECT x.game_id, x.l_linenumber, x.l_partkey, x.l_suppkey, round(coalesce(product(y.f), 1.0), 4) AS others FROM r x LEFT JOIN r y
@@ -511,13 +546,14 @@ SQL["child_product_coefficients"] = f"""WITH {TRADE}, t AS (SELECT game_id, m AS
 SELECT game_id, {_text('u')} AS members, {_CHILD} AS coeff FROM t, {_TIMES}"""
 SQL["expression_coefficients"] = f"""WITH {_MOEBIUS}, r AS (SELECT game_id, c, {_CHILD} AS k FROM states, {_TIMES})
 SELECT game_id, degree, sum(c * k)::BIGINT AS coeff FROM r GROUP BY game_id, degree HAVING sum(c * k) <> 0"""
-SQL["interaction_coefficients"] = f"""WITH {TRADE}, {OTHER}, coalitions AS (SELECT unnest(range(256)) AS s),
+_BOTH = f"""{TRADE}, {OTHER}, coalitions AS (SELECT unnest(range(256)) AS s),
 wa AS (SELECT game_id, s, bool_or((m & s) = m) AS v FROM trade, coalitions GROUP BY game_id, s),
 wb AS (SELECT game_id, s, bool_or((m & s) = m) AS v FROM other, coalitions GROUP BY game_id, s),
 worth AS (SELECT game_id, s, CASE WHEN wa.v AND wb.v THEN 1 ELSE 0 END AS v FROM wa JOIN wb USING (game_id, s)),
 states AS (SELECT w.game_id, u, sum(CASE WHEN (bit_count(u) - bit_count(s)) % 2 = 0 THEN v ELSE -v END)::BIGINT AS c
-  FROM worth w JOIN (SELECT unnest(range(1, 256)) AS u) ON (s & u) = s GROUP BY w.game_id, u),
-r AS (SELECT game_id, c, {_CHILD} AS k FROM states, {_TIMES})
+  FROM worth w JOIN (SELECT unnest(range(1, 256)) AS u) ON (s & u) = s GROUP BY w.game_id, u)"""
+SQL["interaction_union_states"] = f"WITH {_BOTH} SELECT game_id, {_text('u')} AS members, c AS coeff FROM states WHERE c <> 0"
+SQL["interaction_coefficients"] = f"""WITH {_BOTH}, r AS (SELECT game_id, c, {_CHILD} AS k FROM states, {_TIMES})
 SELECT game_id, degree, sum(c * k)::BIGINT AS coeff FROM r GROUP BY game_id, degree HAVING sum(c * k) <> 0"""
 
 

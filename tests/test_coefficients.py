@@ -1,5 +1,9 @@
+import random
+from decimal import Decimal
 from itertools import combinations, product
 
+import pytest
+
 from fairlineage.operators import coefficients as C
 
 from .helpers import dnf_table, parse
@@ -65,3 +69,40 @@ def test_leave_one_out(spark):
     out = {(r["game_id"], r["v"]): r["others"] for r in C.leave_one_out(rows, ["game_id"], "v").collect()}
     assert all(abs(out["g", float(v)] - 120 / v) < 1e-9 for v in range(1, 6))
     assert (out["z", 0.0], out["z", 2.0], out["z", 3.0]) == (6.0, 0.0, 0.0)
+
+
+def test_wide_coefficients(spark):
+    a = poly(spark, {1: 1 << 40})
+    assert got(C.multiply(a, a)) == {2: 1 << 80}
+    ones = poly(spark, {0: 1, 1: 1})
+    power = ones
+    for _ in range(99):
+        power = C.multiply(power, ones, drop_constant=False)
+        if _ % 20 == 19:
+            power = spark.createDataFrame(power.collect(), power.schema)
+    assert got(power)[50] == 100891344545564193334812497256  # C(100, 50)
+    huge = spark.createDataFrame([("g", 1, Decimal(10 ** 37))], "game_id string, degree bigint, coeff decimal(38,0)")
+    with pytest.raises(Exception, match="(?i)38|overflow|represented"):
+        C.multiply(huge, huge).collect()
+
+
+def test_states_of_one_large_game(spark):
+    """24 terms: states reported by round, spread over tasks, and those with all owners gone before the end."""
+    rng = random.Random(3)
+    ts = set()
+    while len(ts) < 24:
+        ts.add(tuple(sorted(rng.sample(range(10), 4))))
+    sizes = []
+    states = C.union_states(dnf_table(spark, {"g": " + ".join(" ".join(map(str, t)) for t in ts)}), sizes)
+    got_ = {tuple(r["members"]): r["coeff"] for r in states.collect()}
+    worth = lambda m: any(set(t) <= m for t in ts)
+    for k in range(1, 11):
+        for u in combinations(range(10), k):
+            want = sum((-1) ** (k - j) * worth(set(c)) for j in range(k + 1) for c in combinations(u, j))
+            assert got_.get(u, 0) == want
+    assert len(sizes) >= 6 and max(sizes) <= 1 << 10
+
+
+def test_no_numbering_of_a_whole_game(spark):
+    plan = C._blocks(dnf_table(spark, {"g": "1 2 + 3"}))._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(game_id" in plan and "_k" in plan.split("windowspecdefinition(game_id")[1][:40]

@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from fairlineage.operators import modules as M
 from fairlineage.operators import synthesis as T
 
 from .golden import GAMES
-from .helpers import dnf_table, parse, sets_table, terms, texts
+from .helpers import dnf_table, parse, random_games, sets_table, terms, texts
 
 
 def test_components(spark):
@@ -62,3 +63,21 @@ def test_trees(spark):
     found = texts(parts.where("game_id = 'x'").select(F.col("module").cast("string").alias("game_id"), "term"))
     assert found == {"3": terms("3"), "4": terms("9 + 4 5"), "6": terms("6 7 + 6 8 + 7 8")}
     assert texts(T.expand(d)) == {g: terms(t) for g, t in games.items()}
+
+
+def test_culprits_against_all_pairs(spark):
+    """Also where smaller terms fit into pairs that do not occur, so that a run's first pairs give way."""
+    rng = random.Random(12)
+    games = random_games(rng, 60, owners=8, terms=9)
+    games["fits"] = "1 9 + 1 2 6 7 8 + 3 9"
+    sets = {g: sorted(rng.sample(range(1, 9), 3)) for g in games} | {"fits": [1, 2, 3]}
+    met = M.meetings(dnf_table(spark, games), sets_table(spark, sets))
+    got = {r["game_id"]: (tuple(r["s0"]), tuple(r["t0"])) for r in M.culprits(met, ["game_id", "members"]).collect()}
+    for g, text in games.items():
+        a = set(sets[g])
+        parts = [(tuple(sorted(set(t) & a)), tuple(sorted(set(t) - a))) for t in parse(text) if set(t) & a]
+        lacking = [(len(s) + len(t), s, t) for s in {p[0] for p in parts} for t in {p[1] for p in parts}
+                   if not any(set(x) <= set(s) and set(y) <= set(t) for x, y in parts)]
+        assert got.get(g) == (min(lacking)[1:] if lacking else None)
+    plan = M._fitted(met.select("game_id", "members", "s", "t"), met, ["game_id", "members"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan
