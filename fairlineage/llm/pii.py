@@ -19,11 +19,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.sets import let
+
 ROUNDS = 8
 _FREE, _END = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
+#: A host name up to its last label that begins with two letters. Loops over groups are possessive: the JVM runs these as loops, any other
+#: loop over groups as calls in each other, which a long text would let overflow.
+_OTHER = r"(?:\.(?![A-Za-z]{2})[A-Za-z0-9-]+)*+"
+_HOST = r"[A-Za-z0-9-]+(?:" + _OTHER + r"\.[A-Za-z]{2}[A-Za-z0-9-]*+(?=" + _OTHER + r"\.[A-Za-z]{2}))*+" + _OTHER + r"\.[A-Za-z]{2,}"
 #: How each kind is written.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@" + _HOST,
     "iban": _FREE + r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?" + _END,
     "date": _FREE + r"(?:(?:19|20)[0-9]{2}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2(?:19|20)[0-9]{2})" + _END,
     "ssn": _FREE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
@@ -208,15 +214,12 @@ def _date(value: Column, key: str) -> tuple[Column, Column]:
 MAKERS = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "phone": _phone, "ip": _ip, "card": _card}
 
 
-def findings(text: Column, key: str) -> Column:
+def findings(text: Column, any_: Column, values: Column, groups: dict[str, Column], key: str) -> Column:
     """Array of (between, kind, value, pseudonym) of a text, ending with the text after the last candidate.
 
-    ``kind`` is null, and ``pseudonym`` the value itself, where a candidate is not valid. Cards of unusual groupings are
-    sought in what is left between all other findings.
+    ``any_`` is the text's pattern of candidates, ``values`` its matches and ``groups`` what each kind's group matched. ``kind`` is null, and ``pseudonym`` the value itself, where a candidate is not valid. Cards of
+    unusual groupings are sought in what is left between all other findings.
     """
-    any_ = F.concat(F.lit(OTHERS + "|("), _cards(text, USUAL), F.lit(")"))
-    values = F.regexp_extract_all(text, any_, F.lit(0))
-    groups = {k: F.regexp_extract_all(text, any_, F.lit(_GROUPS[k])) for k in KINDS}
     named = F.transform(values, lambda v, i: F.struct(v.alias("value"), F.coalesce(
         *[F.when(groups[k][i] != "", F.lit(k)) for k in KINDS]).alias("kind")))
 
@@ -249,7 +252,16 @@ def _found(docs: DataFrame, carried: list[str], key: str, text: str) -> DataFram
     """(row struct of the carried columns, text, found): ``found`` is null where a text has no candidate."""
     body = F.col("text")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col(text).alias("text"))
-    return rows.withColumn("found", F.when(body.rlike("[0-9]|@") & body.rlike(ANY), findings(body, key)))
+    some = body.rlike("[0-9]|@") & body.rlike(ANY)
+    pattern = F.concat(F.lit(OTHERS + "|("), _cards(body, USUAL), F.lit(")"))
+
+    def matches(any_: Column) -> Column:
+        return F.struct(any_.alias("any"), F.regexp_extract_all(body, any_, F.lit(0)).alias("values"),
+                        *[F.regexp_extract_all(body, any_, F.lit(_GROUPS[k])).alias(k) for k in KINDS])
+
+    # bound by let, as the optimizer would put columns of their own back into the lambda that reads them for every match
+    found = let(let(pattern, matches), lambda m: findings(body, m["any"], m["values"], {k: m[k] for k in KINDS}, key))
+    return rows.withColumn("found", F.when(some, found))
 
 
 def _rebuilt() -> Column:

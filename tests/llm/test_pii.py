@@ -99,3 +99,25 @@ def test_edges(edge_docs, edge_rows, no_docs):
     kept = pii.pseudonymised(edge_docs)
     assert kept.columns == edge_docs.columns and kept.count() == len(edge_rows)
     assert pii.personal_data(no_docs).collect() == []
+
+
+def test_hosts_end_as_in_the_plain_form():
+    """The possessive form of a host name matches what the plain form matches."""
+    import random
+
+    plain = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+    fast, rng = re.compile("@" + pii._HOST), random.Random(1)
+    for _ in range(5000):
+        text = "@" + "".join(rng.choice(("a", "com", "1", ".", ".", "-", "b2", "..")) for _ in range(rng.randint(1, 12)))
+        a, b = plain.search(text), fast.search(text)
+        assert (a and a[0]) == (b and b[0]), text
+
+
+def test_no_text_ends_or_holds_a_worker(spark):
+    import time
+
+    start = time.time()
+    cards = " and ".join(["4111 1111 1111 1111"] * 500)
+    got = treat(spark, ["mail x@" + "ab." * 100_000 + "com", "mail x@" + "1." * 100_000 + "1", cards, "a@b.com " * 1000, "x" * 100_000 + "@"])
+    assert [got[i]["n_email"] for i in (0, 1, 3, 4)] == [1, 0, 1000, 0] and got[2]["n_card"] == 500
+    assert time.time() - start < 120
