@@ -45,8 +45,10 @@ MORE_RULES = (
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("maps", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("payment", r"[sr]k_live_[0-9A-Za-z]{24,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
-    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[A-Za-z0-9._%+-]{1,64}:[A-Za-z0-9._%+!$*-]{3,64}@"),
+    # to the END line; where there is none, to the end of the block of base64
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=:, \t\r\n]*(?:-[A-Za-z0-9+/=:, \t\r\n]+){0,16}"
+                        r"-----END [A-Z ]{0,20}PRIVATE KEY-----|[ \t\r\n]*[A-Za-z0-9+/=\r\n]{16,})?"),
+    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[A-Za-z0-9._%+-]+:[A-Za-z0-9._%+!$*-]{3,}@"),
 )
 RULES = BASE_RULES + MORE_RULES
 
