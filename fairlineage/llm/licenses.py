@@ -217,7 +217,7 @@ def license_scan(docs: DataFrame, known=KNOWN, key: str = "doc_id", text: str =
     marked = lambda c: F.translate(c, _CAPITALS, _SMALL).rlike(MARKS)
     split = lambda by: F.split(body, by, -1)
     # a unit equal to a larger one (a text of one line) is looked up once
-    lines, paragraphs = split("\n"), split(r"\n[\x20\t]*\n")
+    lines, paragraphs = split("\n"), split(r"\n[\x20\t\r]*\n")
     units = F.concat(
         F.filter(lines, marked),
         F.filter(paragraphs, lambda p: marked(p) & p.rlike(TWO_LINES)),

@@ -46,7 +46,7 @@ def _licenses() -> str:
     return f"""
 WITH known(digest, license) AS (VALUES {known}),
 docs AS (SELECT row_number() OVER () AS no, doc_id, coalesce(text, '') AS t FROM documents),
-parts AS (SELECT no, t, string_split(t, chr(10)) AS lines, string_split_regex(t, '\n[ \t]*\n') AS paragraphs FROM docs),
+parts AS (SELECT no, t, string_split(t, chr(10)) AS lines, string_split_regex(t, '\n[ \t\r]*\n') AS paragraphs FROM docs),
 units AS (
     SELECT no, unnest(lines) AS u FROM parts
     UNION ALL SELECT no, u FROM (SELECT no, unnest(paragraphs) AS u FROM parts) WHERE regexp_matches(u, '{licenses.TWO_LINES}')

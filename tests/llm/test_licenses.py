@@ -82,3 +82,11 @@ def test_edges(edge_docs, edge_rows, no_docs):
     rows = licenses.license_scan(edge_docs).collect()
     assert len(rows) == len(edge_rows) and {r["doc_id"] for r in rows if r["n_units"]} == {11}
     assert licenses.license_scan(no_docs).collect() == []
+
+
+def test_line_ends(spark):
+    """Every known text, with line ends of both kinds, between other paragraphs."""
+    known = [text for _, text in licenses.KNOWN if "\n\n" not in text]
+    docs = [f"intro words\n\n{text}\n\nmore words\n" for text in known]
+    plain = scanned(spark, docs)
+    assert scanned(spark, [d.replace("\n", "\r\n") for d in docs]) == plain and all(plain)
