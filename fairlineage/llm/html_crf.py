@@ -59,7 +59,9 @@ TELLING = re.compile(
     r"(©|copyright|all rights reserved)|(cookie|privacy policy|terms of)|(subscribe|newsletter|sign up|log in|login)|(comment|reply|replies)|"
     r"(advert|sponsored)|(share|tweet|follow us)|(read more|related|see also)", re.I)
 _NAMES = {word: name for name, words in NAMES.items() for word in words}
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
+#: A quote that is never closed is a character of its tag, so every tag ends at its first > outside of quotes or with the page, and nothing
+#: is read twice.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -81,6 +83,7 @@ _NONE: frozenset[str] = frozenset()
 def leaf_blocks(source: str) -> list[tuple[str, str, tuple, int, int]]:
     """(text, tag, ancestors as (tag, what it says), letters in links, letters) of every leaf block with text."""
     blocks, stack, runs = [], [], []
+    endless: set[str] = set()  # tags that no end tag follows any more
     in_link, linked, at = 0, 0, 0
 
     def close() -> None:
@@ -107,7 +110,9 @@ def leaf_blocks(source: str) -> list[tuple[str, str, tuple, int, int]]:
         if tag in SILENT:
             # what is inside is no text of the page; a tag that is never closed is taken for a slip, but not a script
             if not m[1] and not m[3].endswith("/"):
-                end = _END_OF[tag].search(source, at)
+                end = None if tag in endless else _END_OF[tag].search(source, at)
+                if end is None:
+                    endless.add(tag)
                 if end or tag in ("script", "style"):
                     at = end.end() if end else len(source)
             continue
@@ -303,12 +308,18 @@ def labelled_pages(sources: Sequence[str], made: int, seed: int) -> list[tuple[l
     return out
 
 
-def fit(pages: DataFrame, made: int = 400, own: int = 100, key: str = "page_id", html_column: str = "html", seed: int = 11) -> ChainField:
-    """A field trained on ``made`` pages of known labels and up to ``own`` pages of the table, chosen by a hash."""
-    rows = pages.where(F.lower(html_column).rlike("<(article|main)[ >]")).select(
-        F.xxhash64(F.lit(seed), F.col(key), F.col(html_column)).alias("order"), F.substring(html_column, 1, 200_000).alias("html"))
-    sources = [r["html"] for r in rows.orderBy("order", "html").limit(own).collect()]
-    return train(labelled_pages(sources, made, seed))
+def fit(pages: DataFrame, made: int = 400, own: int = 100, longest: int = 200_000, key: str = "page_id", html_column: str = "html",
+        seed: int = 11) -> ChainField:
+    """A field trained on ``made`` pages of known labels and up to ``own`` pages of the table, chosen by a hash.
+
+    Only whole pages of at most ``longest`` characters are in that sample, so the driver holds ``own`` times as much at most;
+    pages are chosen by their hashes alone and then fetched.
+    """
+    marked = pages.where(F.lower(html_column).rlike("<(article|main)[ >]") & (F.char_length(html_column) <= longest)).select(
+        F.xxhash64(F.lit(seed), F.col(key), F.col(html_column)).alias("order"), F.col(html_column).alias("html"))
+    chosen = [r["order"] for r in marked.select("order").distinct().orderBy("order").limit(own).collect()]
+    sources = [r["html"] for r in marked.where(F.col("order").isin(chosen)).dropDuplicates(["order"]).collect()] if chosen else []
+    return train(labelled_pages(sorted(sources), made, seed))
 
 
 def main_text(pages: DataFrame, field: ChainField, keys: Sequence[str] = ("page_id", "url"), html_column: str = "html") -> DataFrame:

@@ -75,3 +75,27 @@ def test_edges(spark, field):
     assert len(got) == 5 and sorted(len(r["text"]) for r in got) == [0, 0, 0, 339_999, 339_999]
     assert H.main_text(pages.where("false"), field).collect() == []
     assert H.fit(pages.where("false"), made=30).names
+
+
+def test_no_page_holds_a_worker():
+    import time
+
+    start = time.time()
+    for source in ("<a " * 300_000 + '"', "<a '" * 200_000, "<title>" * 150_000, "<!-" * 300_000, "<p x=\"" * 150_001, "<svg><button>" * 80_000):
+        H.leaf_blocks(source)
+    assert time.time() - start < 20
+    assert texts('<p a="b>c</p>d<p>e') == ["c", "d", "e"] and texts("<p>a<title>b<p>c") == ["ab", "c"]
+
+
+def test_longer_pages_are_no_training_pages(spark):
+    rng = random.Random(4)
+    rows = [(i, "<article>" + "word " * 50 + "</article>" + "<p>x</p>" * rng.randint(0, 3)) for i in range(6)]
+    rows.append((9, "<article>" + "long " * 50_000 + "</article>"))
+    frame = spark.createDataFrame(rows, "page_id long, html string")
+    seen = []
+    kept, H.labelled_pages = H.labelled_pages, lambda sources, made, seed: seen.append(list(sources)) or kept([], made, seed)
+    try:
+        H.fit(frame, made=3, own=4)
+    finally:
+        H.labelled_pages = kept
+    assert len(seen[0]) == 4 and all(s in [h for _, h in rows[:6]] for s in seen[0])
