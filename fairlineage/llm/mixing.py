@@ -180,6 +180,5 @@ def mixed_texts(mixed: Mix, text: str = "text") -> DataFrame:
     return (
         mixed.documents.join(places, "row_no")
         .select("row", F.explode(cut_out).alias("piece"))
-        .select("row.*", F.col("piece.shard").alias("_shard"), F.col("piece.place").alias("_place"),
-                F.col("piece.text").alias("_text"))
-        .withColumn(text, F.col("_text")).drop("_text"))
+        .select(F.col("row").withField(text, F.col("piece.text")).alias("row"))
+        .select("row.*"))

@@ -84,3 +84,10 @@ def test_no_words(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     rows = mixing.taken_words(mixing.mix(docs)).collect()
     assert [(r["size"], r["source_size"], r["target"], r["taken"]) for r in rows] == [(0, 0, 0.0, 0)] * 2
+
+
+def test_columns_named_like_its_own(spark):
+    docs = spark.createDataFrame([(i, "one two three " * 40, "ab"[i % 2], "kept", "too", "also") for i in range(8)],
+                                 "doc_id long, text string, source string, _text string, _shard string, _place string")
+    rows = mixing.mixed_texts(mixing.mix(docs, carried=docs.columns)).select(*docs.columns).collect()
+    assert rows and {(r["_text"], r["_shard"], r["_place"]) for r in rows} == {("kept", "too", "also")}
