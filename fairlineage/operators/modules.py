@@ -218,23 +218,125 @@ def _advance(open_: DataFrame, step: DataFrame) -> DataFrame:
         "game_id", "_start", "members", "is_module")
 
 
-def pair_seeds(dnf: DataFrame) -> DataFrame:
-    """(game_id, members): pairs of owners that share a term."""
-    pairs = "flatten(transform(term, (a, i) -> transform(slice(term, i + 2, size(term)), b -> array(a, b))))"
-    return dnf.select("game_id", F.explode(F.expr(pairs)).alias("members")).distinct()
+def shares(dnf: DataFrame) -> DataFrame:
+    """(game_id, owner_id, other, share): in which part of an owner's terms another owner is, for owners that share a term.
+
+    Owners of one module have equal shares of everybody outside of it, as their inside parts go with all outside parts.
+    """
+    met = dnf.select("game_id", F.explode("term").alias("owner_id"), "term").select(
+        "game_id", "owner_id", F.explode("term").alias("other"))
+    counts = met.groupBy("game_id", "owner_id", "other").agg(F.count(F.lit(1)).alias("_n"))
+    own = counts.where("owner_id = other").select("game_id", "owner_id", F.col("_n").alias("_all"))
+    return counts.where("owner_id <> other").join(own, ["game_id", "owner_id"]).select(
+        "game_id", "owner_id", "other", (F.col("_n") / F.col("_all")).alias("share"))
+
+
+_ARENA = ["game_id", "arena"]
+_SPLIT = [*_ARENA, "anchor"]
+
+
+def _refined(parts: DataFrame, known: DataFrame) -> DataFrame:
+    """Split the blocks of ``parts(game_id, arena, anchor, owner_id, block)`` until nobody of an arena has
+    different shares with the members of a block he is not in. A block is named by its least owner.
+
+    Equality of shares is decided by two 64-bit hashes; a collision leaves a block too large, which costs seeds only.
+    """
+    seen = None
+    while True:
+        others = parts.select(*_SPLIT, F.col("owner_id").alias("other"), F.col("block").alias("_there"))
+        signs = parts.join(known, ["game_id", "owner_id"]).join(others, [*_SPLIT, "other"]).where("block <> _there").groupBy(
+            *_SPLIT, "owner_id").agg(F.bit_xor(F.xxhash64("other", "share")).alias("_a"),
+                                     F.bit_xor(F.xxhash64("share", "other", F.lit(1))).alias("_b"))
+        zero = F.lit(0).cast("bigint")
+        signed = parts.join(signs, [*_SPLIT, "owner_id"], "left").withColumns(
+            {"_a": F.coalesce("_a", zero), "_b": F.coalesce("_b", zero)})
+        key = [*_SPLIT, "block", "_a", "_b"]
+        named = signed.groupBy(*key).agg(F.min("owner_id").alias("_name"))
+        parts, now = cut(signed.join(named, key).select(*_SPLIT, "owner_id", F.col("_name").alias("block")),
+                         n=F.count_if(F.col("owner_id") == F.col("block")))
+        if now["n"] == seen:
+            return parts
+        seen = now["n"]
+
+
+def _named(groups: DataFrame, key: list[str]) -> DataFrame:
+    """(game_id, arena, owner_id, size): each set of owners once, whichever ways it was found; named by size and 128 bits."""
+    named = groups.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("owner_id")).alias("_a"),
+        F.bit_xor(F.xxhash64(F.lit(1), "owner_id")).alias("_b")).where("size > 1")
+    return groups.join(named, key).select(
+        "game_id", F.concat_ws(":", "size", F.hex("_a"), F.hex("_b")).alias("arena"), "owner_id", "size").distinct()
+
+
+def module_seeds(dnf: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(game_id, members): pairs of owners, at least one inside each least module of a function without twins.
+
+    Of an arena's two least owners a module has both (they are a seed) or lacks one. What lacks an owner lies in one block of
+    the coarsest partition of the others in which nobody tells the members of a foreign block apart by his share of their
+    terms; such blocks are the next arenas, all games and blocks at once. Mostly blocks are the modules or fall to
+    single owners. An arena that neither owner splits is decided by all its pairs that share a term.
+    """
+    known = cut(shares(dnf)) if known is None else known
+    arenas, seeds = cut(_named(D.variables(dnf), ["game_id"])), None
+    while True:
+        first = arenas.groupBy(*_ARENA).agg(F.min("owner_id").alias("_p"), F.max("owner_id").alias("_q"), F.max("size").alias("size"))
+        here = first.select("game_id", F.array("_p", "_q").alias("members"))
+        seeds = here if seeds is None else seeds.unionByName(here)
+        anchors = first.where("size > 2").select(*_ARENA, F.explode(F.array("_p", "_q")).alias("anchor"))
+        rest = arenas.join(anchors, _ARENA).withColumn("_alone", F.col("owner_id") == F.col("anchor"))
+        least = rest.groupBy(*_SPLIT, "_alone").agg(F.min("owner_id").alias("block"))
+        parts, begun = cut(rest.join(least, [*_SPLIT, "_alone"]).select(*_SPLIT, "owner_id", "block"), n=F.count(F.lit(1)))
+        if not begun["n"]:
+            return seeds.distinct()
+        blocks = _refined(parts, known)
+        sizes = blocks.groupBy(*_SPLIT, "block").agg(F.count(F.lit(1)).alias("_n")).groupBy(*_SPLIT).agg(F.max("_n").alias("_n"))
+        whole = cut(sizes.groupBy(*_ARENA).agg(F.min("_n").alias("_n")).join(first, _ARENA).where("_n = size - 1").select(*_ARENA))
+        stuck = arenas.join(whole, _ARENA, "left_semi").select(*_ARENA, "owner_id")
+        pairs = known.where("owner_id < other").join(stuck, ["game_id", "owner_id"]).join(
+            stuck.withColumnRenamed("owner_id", "other"), [*_ARENA, "other"])
+        seeds = cut(seeds.unionByName(pairs.select("game_id", F.array("owner_id", "other").alias("members"))).distinct())
+        arenas = cut(_named(blocks.join(whole, _ARENA, "left_anti"), [*_SPLIT, "block"]))
+
+
+def _share_closed(seeds: DataFrame, known: DataFrame, everybody: DataFrame) -> DataFrame:
+    """(game_id, members): seeds grown by everybody of whom their members have different shares; only those that do not
+    grow to all owners. Modules around a seed have all these owners too, and they are found many at a time."""
+    work = cut(seeds.select("game_id", F.col("members").alias("seed"), F.explode("members").alias("owner_id")))
+    key, done = ["game_id", "seed"], None
+    while True:
+        size = work.groupBy(*key).agg(F.count(F.lit(1)).alias("_size"))
+        told = work.join(known, ["game_id", "owner_id"]).groupBy(*key, F.col("other").alias("owner_id")).agg(
+            F.min("share").alias("_lo"), F.max("share").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+        split = told.join(size, key).where("_n < _size or _lo < _hi").select(*key, "owner_id")
+        new = split.join(work, [*key, "owner_id"], "left_anti").withColumn("_new", F.lit(True))
+        after, seen = cut(work.withColumn("_new", F.lit(False)).unionByName(new), n=F.count_if("_new"))
+        rows = after.drop("_new")
+        if not seen["n"]:
+            break
+        # seeds that stopped growing wait; those that grew to everybody go
+        grew = after.groupBy(*key).agg(F.bool_or("_new").alias("_on"), F.count(F.lit(1)).alias("_size")).join(
+            everybody, "game_id").where("_size < _n").select(*key, "_on")
+        state = cut(rows.join(grew, key))
+        stopped = state.where("not _on").drop("_on")
+        done = stopped if done is None else done.unionByName(stopped)
+        work = state.where("_on").drop("_on")
+    rows = rows if done is None else done.unionByName(rows)
+    return rows.groupBy(*key).agg(F.sort_array(F.collect_list("owner_id")).alias("members")).join(everybody, "game_id").where(
+        F.size("members") < F.col("_n")).select("game_id", "members").distinct()
 
 
 def prime_modules(kernel: DataFrame) -> DataFrame:
     """(game_id, members): the modules to merge next in functions without twins.
 
-    A least module with more than one owner is prime there, and any two owners that share one of
-    its terms have it as their closure. Games without such a module are prime themselves: all
-    their owners form the set.
+    A least module with more than one owner is prime there, so any two of its owners have it as their
+    closure. Games without such a module are prime themselves: all their owners form the set.
     """
     everybody = kernel.select("game_id", F.explode("term").alias("o")).groupBy("game_id").agg(
         F.count_distinct("o").alias("_n"))
-    seeds = pair_seeds(kernel)
-    closed = closure(kernel, seeds)
+    everybody = cut(everybody)
+    known = cut(shares(kernel))
+    grown = cut(_share_closed(module_seeds(kernel, known), known, everybody))
+    closed = closure(kernel, grown)
     proper = closed.join(everybody, "game_id").where(F.size("members") < F.col("_n")).select(
         "game_id", F.col("members").alias("term"))
     least = cut(D.minimise(proper)).withColumnRenamed("term", "members")

@@ -337,5 +337,6 @@ def synthesise(d: Decomposition) -> DataFrame:
 
 
 def recursive_method(dnf: DataFrame, ablation: str | None = None) -> DataFrame:
-    d = decompose(dnf, SEARCH_ABOVE)
+    """Values by decomposition; for an ablation every function is searched for modules, whatever its size."""
+    d = decompose(dnf, 0 if ablation else SEARCH_ABOVE)
     return synthesise(ablate(d, ablation) if ablation else d)

@@ -17,8 +17,8 @@ def _copies(key: str, salt: int) -> str:
     return f"(CASE WHEN {share} < 85 THEN 1 WHEN {share} < 95 THEN 2 WHEN {share} < 98 THEN 3 ELSE 4 END)"
 
 
-def _owner(key: str, salt: int, j: int) -> str:
-    return f"((({key}) * 5 + {salt} + 3 * {j}) % {OWNERS})"
+def _owner(key: str, salt: int, j: int, owners: int = OWNERS) -> str:
+    return f"((({key}) * 5 + {salt} + 3 * {j}) % {owners})"
 
 
 def _mask(key: str, salt: int) -> str:
@@ -56,10 +56,15 @@ tuple_games AS (SELECT clauses, array_to_string(list_transform({_SORTED}, lambda
   AS game_id, sum(n)::BIGINT AS tuples FROM absorbed GROUP BY clauses),
 tuple_dnf AS (SELECT game_id, unnest(clauses) AS m FROM tuple_games)"""
 
-PAIRS = "\nUNION ALL\n".join(
-    f"SELECT DISTINCT '{t}' AS table_name, ({k})::BIGINT AS row_id, unnest([{', '.join(_owner(k, s, j) for j in range(4))}]"
-    f"[1:{_copies(k, s)}])::BIGINT AS owner_id FROM {t}" for t, (k, s) in ROW_KEYS.items())
-ASSIGNMENT = f"{PARTSUPP}, assignment AS ({PAIRS})"
+
+
+def _pairs(owners: int) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT DISTINCT '{t}' AS table_name, ({k})::BIGINT AS row_id, unnest([{', '.join(_owner(k, s, j, owners) for j in range(4))}]"
+        f"[1:{_copies(k, s)}])::BIGINT AS owner_id FROM {t}" for t, (k, s) in ROW_KEYS.items())
+
+
+ASSIGNMENT = f"{PARTSUPP}, assignment AS ({_pairs(OWNERS)})"
 
 
 def _bit(expression: str) -> str:
@@ -141,24 +146,39 @@ def _hash_draw(text: str) -> str:
 # --- sources and sinks
 
 SQL["csv_scan"] = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
-SQL["folder_scan"] = " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, count(*) AS rows, {n}::BIGINT AS columns FROM {t}"
-    for t, n in (("region", 2), ("nation", 3), ("supplier", 4), ("part", 6)))
-SQL["row_index_attach"] = "SELECT p_partkey, p_partkey AS row_id FROM part"
-SQL["assignment_json_scan"] = f"WITH {ASSIGNMENT} SELECT DISTINCT * FROM assignment WHERE table_name = 'part'"
-SQL["dataset_load_with_assignment"] = " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, {ROW_KEYS[t][0]} AS row_id, {_text(_mask(*ROW_KEYS[t]))} AS owners FROM {t}"
-    for t in ("supplier", "part"))
-SQL["dataset_load_without_assignment"] = (
-    "SELECT n_name, r_name, false AS has_assignment FROM nation JOIN region ON n_regionkey = r_regionkey")
+_COLUMNS = {"region": 2, "nation": 3, "supplier": 4, "customer": 5, "part": 6, "orders": 6, "lineitem": 11, "partsupp": 2}
+SQL["folder_scan"] = f"WITH {PARTSUPP} " + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS rows, {n}::BIGINT AS columns FROM {t}" for t, n in _COLUMNS.items())
+SQL["row_index_attach"] = f"WITH {PARTSUPP} " + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, ({k})::BIGINT AS row_key, ({k})::BIGINT AS row_id FROM {t}" for t, (k, _) in ROW_KEYS.items())
+SQL["assignment_json_scan"] = f"WITH {ASSIGNMENT} SELECT DISTINCT * FROM assignment"
+SQL["dataset_load_with_assignment"] = f"WITH {PARTSUPP} " + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, ({k})::BIGINT AS row_id, {_text(_mask(k, s))} AS owners FROM {t}" for t, (k, s) in ROW_KEYS.items())
+SQL["dataset_load_without_assignment"] = f"""WITH {PARTSUPP} SELECT r_name, n_name, s_name, p_name, c_name, l_linenumber,
+  s_suppkey, ps_partkey, l_orderkey, o_custkey, o_orderpriority, false AS has_assignment FROM {CHAIN}"""
 SQL["owner_universe"] = f"WITH {ASSIGNMENT} SELECT DISTINCT owner_id FROM assignment"
 SQL["result_json_sink"] = f"""WITH {TOTAL} SELECT 'iusv' AS method, (SELECT count(*) FROM total) AS num_of_owners, owner_id,
   round(sv, 4) AS sv FROM total"""
 SQL["assignment_sink"] = f"WITH {ASSIGNMENT} SELECT DISTINCT * FROM assignment"
-SQL["delimited_scan"] = ("SELECT s_suppkey, s_name, 'street' AS s_address, s_nationkey, s_acctbal, 'none' AS s_comment "
-                         "FROM supplier")
-SQL["text_row_id"] = ("SELECT c_custkey || '|' || c_name || '|customer.' || row_number() OVER (ORDER BY c_custkey) AS line "
-                      "FROM customer")
+_CELLS = {
+    "region": "r_regionkey, r_name", "nation": "n_nationkey, n_name, n_regionkey",
+    "supplier": "s_suppkey, s_name, s_nationkey, #s_acctbal",
+    "customer": "c_custkey, c_name, c_nationkey, #c_acctbal, c_mktsegment", "partsupp": "ps_partkey, ps_suppkey",
+    "part": "p_partkey, p_name, p_brand, p_type, p_size, #p_retailprice",
+    "orders": "o_orderkey, o_custkey, o_orderstatus, #o_totalprice, o_orderdate, o_orderpriority",
+    "lineitem": "l_orderkey, l_partkey, l_suppkey, l_linenumber, #l_quantity, #l_extendedprice, #l_discount, #l_tax, "
+                "l_returnflag, l_linestatus, l_shipdate"}
+
+
+def _cell(name: str) -> str:
+    return f"round({name[1:]} * 100)::BIGINT::VARCHAR" if name.startswith("#") else f"{name}::VARCHAR"
+
+
+SQL["delimited_scan"] = f"WITH {PARTSUPP} " + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, ({k})::BIGINT AS row_key, md5(concat_ws('|', {', '.join(_cell(c) for c in _CELLS[t].split(', '))})) "
+    f"AS cells FROM {t}" for t, (k, _) in ROW_KEYS.items())
+SQL["text_row_id"] = ("SELECT concat_ws('|', c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) || '|customer.' || "
+                      "row_number() OVER (ORDER BY c_custkey) AS line FROM customer")
 SQL["soccer_cleanup"] = f"""WITH {MATCHES} SELECT team_api_id, team_fifa_api_id, team_long_name,
   team_fifa_api_id AS away_fifa_api_id FROM clean_team"""
 
@@ -177,12 +197,13 @@ SQL["copies_per_record"] = (f"WITH {_BUCKETS.format(t='orders')} SELECT copies,
 
 
 def _table_owners(quota: str) -> str:
-    return f"""WITH t AS (SELECT unnest(['customer', 'lineitem', 'nation', 'orders', 'part', 'partsupp', 'region', 'supplier'])
-  AS table_name), k AS (SELECT count(*) AS k FROM supplier),
-drawn AS (SELECT table_name, o AS owner_id, row_number() OVER (PARTITION BY table_name ORDER BY
+    rows = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ROW_KEYS)
+    return f"""WITH {PARTSUPP}, t AS ({rows}), k AS (SELECT count(DISTINCT owner_id) AS k FROM ({_pairs(500)})),
+drawn AS (SELECT table_name, n, o AS owner_id, row_number() OVER (PARTITION BY table_name ORDER BY
   {_hash_draw("concat_ws('|', '0', 'owner', table_name, o)")}, o) AS place
-  FROM t, k, (SELECT unnest(range((SELECT k FROM k))) AS o))
-SELECT table_name, place, owner_id FROM drawn, k WHERE place <= {quota}"""
+  FROM t, (SELECT unnest(range((SELECT k FROM k))) AS o)),
+taken AS (SELECT * FROM drawn, k WHERE place <= {quota})
+SELECT table_name, place, owner_id, n // count(*) OVER (PARTITION BY table_name) AS records_each FROM taken"""
 
 
 SQL["owners_of_tables_equal"] = _table_owners("(CASE WHEN table_name IN ('region', 'nation') THEN 5 ELSE k END)")
@@ -307,8 +328,8 @@ SQL["winning_coalitions_by_size"] = f"""WITH {TRADE}, {_worth('trade')}, all_pla
   FROM trade GROUP BY game_id)
 SELECT w.game_id, bit_count(s)::BIGINT AS k, count(*) AS winning FROM worth w JOIN all_players a ON a.game_id = w.game_id
 WHERE v = 1 AND (s & p) = s GROUP BY w.game_id, bit_count(s)"""
-SQL["run_summary"] = f"""WITH {TOTAL} SELECT 4.0::DOUBLE / count(*) AS avg_time, 4.0::DOUBLE AS total_time,
-  1.0::DOUBLE AS load_time, 2.0::DOUBLE AS sv_cal_time, count(*) AS num_of_owners FROM total"""
+SQL["run_summary"] = f"""WITH {TOTAL} SELECT count(*) AS num_of_owners, true AS both_parts_took_time, true AS parts_make_the_total,
+  true AS average_is_per_owner FROM total"""
 SQL["value_total_check"] = """SELECT 8::BIGINT AS owners, round(count(*)::DOUBLE, 4) AS total, count(*)::BIGINT AS games FROM lineitem
   JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey"""
@@ -470,9 +491,9 @@ SQL["shapley_linear"] = f"""WITH {TUPLE_GAMES}, easy AS (SELECT game_id FROM tup
   {_worth('few')}, sv AS ({_SV}) SELECT game_id, owner_id, round(sv, 6) AS sv FROM sv"""
 SQL["shapley_permutation"] = f"""WITH {TUPLE_GAMES}, {_worth('tuple_dnf')},
 arrivals AS (SELECT game_id, i, k, md5(concat_ws('|', game_id, k, i, '1')) AS h FROM players,
-  (SELECT unnest(range(1, 21)) AS k)),
+  (SELECT unnest(range(1, 1001)) AS k)),
 ordered AS (SELECT *, sum(1::BIGINT << i::INT) OVER (PARTITION BY game_id, k ORDER BY h)::BIGINT AS s FROM arrivals),
-pivots AS (SELECT o.game_id, o.i, count(*) / 20.0::DOUBLE AS sv FROM ordered o JOIN worth a ON a.game_id = o.game_id AND a.s = o.s
+pivots AS (SELECT o.game_id, o.i, count(*) / 1000.0::DOUBLE AS sv FROM ordered o JOIN worth a ON a.game_id = o.game_id AND a.s = o.s
   JOIN worth b ON b.game_id = o.game_id AND b.s = o.s - (1::BIGINT << o.i::INT) WHERE a.v > b.v GROUP BY o.game_id, o.i)
 SELECT p.game_id, p.i AS owner_id, round(coalesce(sv, 0.0), 6) AS sv FROM players p LEFT JOIN pivots v
   ON v.game_id = p.game_id AND v.i = p.i"""

@@ -1,5 +1,5 @@
 import random
-from itertools import combinations
+from itertools import combinations, product
 
 from pyspark.sql import functions as F
 
@@ -81,3 +81,62 @@ def test_culprits_against_all_pairs(spark):
         assert got.get(g) == (min(lacking)[1:] if lacking else None)
     plan = M._fitted(met.select("game_id", "members", "s", "t"), met, ["game_id", "members"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Cross" not in plan
+
+
+def _owners(text):
+    return sorted({o for t in parse(text) for o in t})
+
+
+def _nested(rng, outer, inner):
+    """A function with some variables replaced by functions, and owners named by chance."""
+    names = rng.sample(range(1, 100), 30)
+    where = rng.sample(_owners(outer), len(inner))
+    part = {v: [frozenset([names[v]])] for v in _owners(outer)}
+    for i, (v, f) in enumerate(zip(where, inner)):
+        part[v] = [frozenset(names[6 + 6 * i + o] for o in t) for t in parse(f)]
+    ts = {frozenset().union(*c) for t in parse(outer) for c in product(*(part[v] for v in t))}
+    return " + ".join(" ".join(map(str, sorted(t))) for t in sorted(ts, key=sorted))
+
+
+def test_seeds_reach_every_least_module(spark):
+    """A seed lies in each inclusion-minimal module of more than one owner; games without twins only."""
+    rng = random.Random(5)
+    prime = ["1 2 + 2 3 + 1 3", "1 2 + 2 3 + 3 4", "1 2 + 2 3 + 3 4 + 4 5 + 1 5", "1 4 + 2 5 + 1 3 5 + 2 3 4"]
+    games = {f"n{i}": _nested(rng, rng.choice(prime), [rng.choice(prime) for _ in range(rng.randint(1, 2))]) for i in range(20)}
+    games |= {f"r{i}": g for i, g in enumerate(random_games(rng, 40, owners=8, terms=8).values())}
+    # equal for all owners: three of seven, and two of three whose third is three of five
+    games["same"] = " + ".join(" ".join(map(str, c)) for c in combinations(range(1, 8), 3))
+    games["inner"] = "1 2 + " + " + ".join(f"{a} {' '.join(map(str, c))}" for a in (1, 2) for c in combinations(range(3, 8), 3))
+    asked = {}
+    for g, text in games.items():
+        ts, owners = {frozenset(t) for t in parse(text)}, _owners(text)
+        if len(owners) > 11:
+            continue
+        found = []
+        for k in range(2, len(owners)):
+            for c in map(frozenset, combinations(owners, k)):
+                if not any(m < c for m in found) and is_module(ts, c):
+                    found.append(c)
+        if not any(len(m) == 2 for m in found):  # two owners that are a module are twins
+            asked[g] = found
+    assert sum(bool(f) for f in asked.values()) >= 15 and {"same", "inner"} <= set(asked)
+    seeds = {}
+    for r in M.module_seeds(dnf_table(spark, {g: games[g] for g in asked})).collect():
+        seeds.setdefault(r["game_id"], []).append(frozenset(r["members"]))
+    for g, found in asked.items():
+        assert all(any(s <= m for s in seeds.get(g, [])) for m in found), g
+    # only where two owners cannot be told apart by shares do all pairs stand in
+    assert sum(map(len, seeds.values())) - len(seeds["same"]) - len(seeds["inner"]) <= 2 * sum(len(_owners(games[g])) for g in asked)
+
+
+def test_ring_has_few_seeds(spark):
+    """A ring of 40 owners is prime; so is one with a ring of 12 in place of an owner, but for that module."""
+    ring = [(i, i % 40 + 1) for i in range(1, 41)]
+    inside = [(100 + i, 100 + (i + 1) % 12) for i in range(12)]
+    nested = [t for t in ring if 1 not in t] + [(o, *p) for t in ring if 1 in t for o in t if o != 1 for p in inside]
+    games = {"ring": " + ".join(f"{a} {b}" for a, b in ring), "nested": " + ".join(" ".join(map(str, sorted(t))) for t in nested)}
+    dnf = dnf_table(spark, games)
+    count = {r["game_id"]: r["count"] for r in M.module_seeds(dnf).groupBy("game_id").count().collect()}
+    assert count["ring"] <= 40 and count["nested"] <= 52, count
+    found = {r["game_id"]: set(r["members"]) for r in M.prime_modules(dnf).collect()}
+    assert found == {"ring": set(range(1, 41)), "nested": set(range(100, 112))}
