@@ -105,3 +105,18 @@ def test_totals(spark):
     n = spark.createDataFrame([("a", 4), ("b", 3)], "game_id string, tuples bigint")
     assert {r["owner_id"]: r["sv"] for r in V.total_by_owner(sv, n).collect()} == {1: 5.0, 2: 2.0}
     assert {r["owner_id"]: r["sv"] for r in V.total_by_owner(sv).collect()} == {1: 1.5, 2: 0.5}
+
+
+def test_totals_of_many_owners_and_of_samples(spark, sf_dir):
+    """Values of 500 owners sum to the tuples; sampled totals lie within four standard errors of the exact ones, taken as
+    if all tuples shared the same 1,000 orders."""
+    from fairlineage.plans.catalog import QUERIES
+
+    tuples = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    many = [r["sv"] for r in QUERIES["tpch_attribution_500_owners"](spark, sf_dir).collect()]
+    assert len(many) == 500 and abs(sum(many) - tuples) < 0.1
+    exact = {r["owner_id"]: r["sv"] for r in QUERIES["tpch_attribution_traditional"](spark, sf_dir).collect()}
+    drawn = {r["owner_id"]: r["sv"] for r in QUERIES["tpch_attribution_permutation"](spark, sf_dir).collect()}
+    error = {o: tuples * (v / tuples * (1 - v / tuples) / 1000) ** 0.5 for o, v in exact.items()}
+    assert drawn.keys() == exact.keys() and abs(sum(drawn.values()) - tuples) < 0.1
+    assert all(abs(drawn[o] - v) < 4 * error[o] for o, v in exact.items()), (drawn, exact)
