@@ -116,16 +116,63 @@ def paths(d: Decomposition) -> DataFrame:
     return place.withColumnRenamed("elem", "owner_id")
 
 
+def _sums(text: str | Column) -> dict[str, Column]:
+    """Four sums of the 32-bit quarters of md5 hashes: a digest of a multiset that needs no order and no list."""
+    quarter = lambda k: F.conv(F.substring(F.md5(text), 1 + 8 * k, 8), 16, 10).cast("bigint")
+    return {f"_s{k}": F.sum(quarter(k)) for k in range(4)}
+
+
+def _nodes(p: DataFrame) -> DataFrame:
+    """Inner nodes from :func:`paths`: (game_id, node, above, kind, owners, name, print).
+
+    ``name`` is the node's least owner and number of owners, which no other inner node of a game
+    shares; ``print`` digests its kind and owners. Both are sums over owners, partial first.
+    """
+    inner = p.select("game_id", "owner_id", F.posexplode("path").alias("at", "n"), "path").select(
+        "game_id", "owner_id", F.col("n.node").alias("node"), F.expr("get(path, at - 1).node").alias("above"),
+        F.col("n.kind").alias("kind"))
+    summed = inner.groupBy("game_id", "node", "above", "kind").agg(
+        F.count(F.lit(1)).alias("owners"), F.min("owner_id").alias("_least"),
+        *[c.alias(k) for k, c in _sums(F.col("owner_id").cast("string")).items()])
+    return summed.select("game_id", "node", "above", "kind", "owners", F.concat_ws("/", "_least", "owners").alias("name"),
+                         F.concat_ws("|", "kind", "owners", *[f"_s{k}" for k in range(4)]).alias("print"))
+
+
 def tree(d: Decomposition) -> DataFrame:
-    """(game_id, node_id, parent_id, kind, owner_id): one row per node; owners are ``var`` nodes."""
+    """(game_id, node_id, parent_id, kind, owner_id): one row per node; owners are ``var`` nodes.
+
+    Inner nodes are named by their least owner and number of owners, so equal trees have equal rows
+    however many rounds it took to find them.
+    """
     p = cut(paths(d))
-    inner = p.select("game_id", F.posexplode("path").alias("at", "n"), "path").select(
-        "game_id", F.col("n.node").alias("node_id"), F.expr("get(path, at - 1).node").alias("parent_id"),
-        F.col("n.kind").alias("kind"), F.lit(None).cast("bigint").alias("owner_id")).distinct()
+    nodes = cut(_nodes(p))
+    names = nodes.select("game_id", F.col("node").alias("above"), F.col("name").alias("parent_id"))
     leaves = p.select(
-        "game_id", F.concat(F.lit("owner:"), F.col("owner_id").cast("string")).alias("node_id"),
-        F.expr("get(path, size(path) - 1).node").alias("parent_id"), F.lit("var").alias("kind"), "owner_id")
-    return inner.unionByName(leaves)
+        "game_id", F.concat(F.lit("owner:"), F.col("owner_id").cast("string")).alias("name"),
+        F.expr("get(path, size(path) - 1).node").alias("above"), F.lit("var").alias("kind"), "owner_id")
+    inner = nodes.select("game_id", "name", "above", "kind", F.lit(None).cast("bigint").alias("owner_id"))
+    return inner.unionByName(leaves).join(names, ["game_id", "above"], "left").select(
+        "game_id", F.col("name").alias("node_id"), "parent_id", "kind", "owner_id")
+
+
+def tree_digests(d: Decomposition) -> DataFrame:
+    """(game_id, nodes, digest): equal digests mean equal trees up to the order of children.
+
+    A tree is the set of its nodes' kinds and owners, so the digest sums hashes of these; owners and
+    nodes of one game are summed in many tasks and no cell holds a subtree.
+    """
+    p = cut(paths(d))
+    leaves = p.select("game_id", F.concat(F.lit("var|"), F.col("owner_id").cast("string")).alias("print"))
+    summed = _nodes(p).select("game_id", "print").unionByName(leaves).groupBy("game_id").agg(
+        F.count(F.lit(1)).alias("nodes"), *[c.alias(k) for k, c in _sums("print").items()])
+    return summed.select("game_id", "nodes", F.md5(F.concat_ws("|", "nodes", *[f"_s{k}" for k in range(4)])).alias("digest"))
+
+
+def equal_trees(a: Decomposition, b: Decomposition) -> DataFrame:
+    """(game_id, equal) for every game of either; a game the other lacks is not equal."""
+    left, right = tree_digests(a), tree_digests(b).withColumnsRenamed({"nodes": "_n", "digest": "_d"})
+    return left.join(right, "game_id", "full").select(
+        "game_id", F.coalesce((F.col("nodes") == F.col("_n")) & (F.col("digest") == F.col("_d")), F.lit(False)).alias("equal"))
 
 
 def top_modules(d: Decomposition) -> DataFrame:
@@ -156,8 +203,7 @@ def split_once(d: Decomposition) -> tuple[DataFrame, DataFrame, DataFrame]:
 def canonical_text(d: Decomposition) -> DataFrame:
     """(game_id, text) of the tree, children in a fixed order, e.g. ``and[or[1, 2], or[3, 4]]``.
 
-    Equal texts mean equal trees up to the order of children. One cell per game, for tests and for
-    reading.
+    One cell per game, for reading; trees are compared by :func:`tree_digests`.
     """
     t = cut(tree(d).withColumn("text", F.col("owner_id").cast("string")))
     depth = cut(paths(d)).agg(F.max(F.size("path"))).first()[0] or 0

@@ -802,6 +802,21 @@ def recursive_tree_text(spark, sf):
     return T.canonical_text(_decomposed(spark, sf))
 
 
+@query
+def recursive_tree_digest(spark, sf):
+    return T.tree_digests(_decomposed(spark, sf))
+
+
+@query
+def recursive_tree_equality(spark, sf):
+    """Trees of the orders' games against those of games in which returned lines' parts belong to the next owner."""
+    lines = _read(spark, sf, "lineitem").select(
+        "l_orderkey", ((F.col("l_suppkey") * 5 + 3) % 8).alias("supplier_owner"),
+        ((F.col("l_partkey") * 5 + 5 + (F.col("l_returnflag") == "R").cast("int")) % 8).alias("part_owner"))
+    other = T.decompose(G.group_games(lines, "l_orderkey", ["supplier_owner", "part_owner"]))
+    return T.equal_trees(_decomposed(spark, sf), other)
+
+
 # --- Shapley methods --------------------------------------------------------------------------
 
 

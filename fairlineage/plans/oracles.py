@@ -476,6 +476,53 @@ SQL["hybrid_quotient"] = f"""WITH {ORDERS}, {_modules('order_dnf')}, q AS (SELEC
 SQL["one_level_parts"] = f"""WITH {ORDERS}, {_modules('order_dnf')} SELECT DISTINCT t.game_id, {_least('s')} AS module,
   {_text('(t.m & s)')} AS term FROM order_dnf t JOIN (SELECT * FROM top UNION ALL SELECT * FROM alone) x
   ON x.game_id = t.game_id AND (x.s & t.m) <> 0"""
+
+
+def _trees(dnf: str) -> str:
+    """Nodes are the modules that overlap no other module; a node's children are the greatest of these inside it."""
+    return f"""{_modules(dnf)}, nodes AS (SELECT game_id, s FROM strong UNION SELECT game_id, p FROM every),
+kids AS (SELECT a.game_id, a.s, b.s AS c FROM nodes a JOIN nodes b ON b.game_id = a.game_id AND b.s <> a.s AND (a.s & b.s) = b.s
+  WHERE NOT EXISTS (SELECT 1 FROM nodes z WHERE z.game_id = a.game_id AND z.s <> a.s AND z.s <> b.s AND (z.s & a.s) = z.s
+  AND (z.s & b.s) = b.s)),
+hits AS (SELECT k.game_id, k.s, t.m, count(*) AS hit FROM kids k JOIN {dnf} t ON t.game_id = k.game_id AND (t.m & k.c) <> 0
+  GROUP BY k.game_id, k.s, t.m),
+kinds AS (SELECT h.game_id, h.s, CASE WHEN max(hit) = 1 THEN 'or' WHEN min(hit) = max(n) THEN 'and' ELSE 'hybrid' END AS kind
+  FROM hits h JOIN (SELECT game_id, s, count(*) AS n FROM kids GROUP BY game_id, s) USING (game_id, s) GROUP BY h.game_id, h.s
+  UNION ALL SELECT game_id, s, 'var' FROM nodes WHERE bit_count(s) = 1)"""
+
+
+def _tree_name(s: str) -> str:
+    return f"CASE WHEN bit_count({s}) = 1 THEN concat('owner:', {_least(s)}) ELSE concat({_least(s)}, '/', bit_count({s})) END"
+
+
+def _quarters(text: str) -> list[str]:
+    return [f"sum(('0x' || substr(md5({text}), {1 + 8 * k}, 8))::BIGINT)::VARCHAR" for k in range(4)]
+
+
+def _digests(dnf: str) -> str:
+    return f"""WITH {_trees(dnf)}, prints AS (SELECT game_id, CASE WHEN max(kind) = 'var' THEN concat('var|', max(i))
+  ELSE concat_ws('|', max(kind), count(*), {', '.join(_quarters('i::VARCHAR'))}) END AS print
+  FROM kinds, (SELECT unnest(range(8)) AS i) WHERE ((s >> i::INT) & 1) = 1 GROUP BY game_id, s)
+SELECT game_id, count(*) AS nodes, md5(concat_ws('|', count(*), {', '.join(_quarters('print'))})) AS digest
+FROM prints GROUP BY game_id"""
+
+
+_TEXTS = "t1 AS (SELECT game_id, s, array_to_string(" + _members("s") + ", ' ') AS text FROM nodes WHERE bit_count(s) = 1), " + ", ".join(
+    f"""t{i} AS (SELECT * FROM t{i - 1} UNION ALL SELECT k.game_id, k.s, max(kind) || '[' || array_to_string(list_sort(list(text)), ', ')
+  || ']' FROM kids k JOIN t{i - 1} t ON t.game_id = k.game_id AND t.s = k.c JOIN kinds n ON n.game_id = k.game_id AND n.s = k.s
+  WHERE bit_count(k.s) = {i} GROUP BY k.game_id, k.s)""" for i in range(2, 9))
+SQL["recursive_tree"] = f"""WITH {ORDERS}, {_trees('order_dnf')}
+SELECT n.game_id, {_tree_name('n.s')} AS node_id, CASE WHEN k.s IS NOT NULL THEN {_tree_name('k.s')} END AS parent_id, kind,
+  CASE WHEN kind = 'var' THEN {_least('n.s')} END AS owner_id
+FROM kinds n LEFT JOIN kids k ON k.game_id = n.game_id AND k.c = n.s"""
+SQL["recursive_tree_text"] = f"""WITH {ORDERS}, {_trees('order_dnf')}, {_TEXTS}
+SELECT t.game_id, text FROM t8 t JOIN every e ON e.game_id = t.game_id AND e.p = t.s"""
+SQL["recursive_tree_digest"] = f"WITH {ORDERS}, d AS ({_digests('order_dnf')}) SELECT game_id, nodes, digest FROM d"
+RETURNS = f"""return_raw AS (SELECT DISTINCT l_orderkey AS game_id, {_bit('l_suppkey * 5 + 3')}
+  | {_bit("l_partkey * 5 + 5 + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END")} AS m FROM lineitem),
+{_minimal('return_dnf', 'return_raw')}"""
+SQL["recursive_tree_equality"] = f"""WITH {ORDERS}, {RETURNS}, a AS ({_digests('order_dnf')}), b AS ({_digests('return_dnf')})
+SELECT game_id, a.digest = b.digest AS equal FROM a JOIN b USING (game_id)"""
 SQL["recursive_tree_expanded"] = f"WITH {ORDERS} SELECT game_id, {_text('m')} AS term FROM order_dnf"
 
 # --- Shapley methods

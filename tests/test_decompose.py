@@ -65,6 +65,20 @@ def test_trees(spark):
     assert texts(T.expand(d)) == {g: terms(t) for g, t in games.items()}
 
 
+def test_equal_trees_whatever_the_rounds(spark):
+    """A digest is the same for the same tree and another one for another kind or another owner."""
+    games = {"x": "1 6 + 1 7 + 2 6 + 2 7", "y": "1 2 + 2 3 + 1 3", "z": "2 + 4", "v": "5", "w": "1 2 3 + 4"}
+    other = games | {"x": "1 6 + 1 7 + 2 6 + 2 8", "y": "1 2 3", "w": "1 2 4 + 3"}
+    a, b = T.decompose(dnf_table(spark, games)), T.decompose(dnf_table(spark, other | {"more": "1"}), search_above=12)
+    got = {r["game_id"]: r["equal"] for r in T.equal_trees(a, b).collect()}
+    assert got == {"x": False, "y": False, "z": True, "v": True, "w": False, "more": False}
+    counted = {r["game_id"]: r["nodes"] for r in T.tree_digests(a).collect()}
+    assert counted == {"x": 7, "y": 4, "z": 3, "v": 1, "w": 6}
+    names = {(r["node_id"], r["parent_id"], r["kind"]) for r in T.tree(a).where("game_id = 'w'").collect()}
+    assert names == {("1/4", None, "or"), ("1/3", "1/4", "and"), ("owner:4", "1/4", "var"), *(
+        (f"owner:{i}", "1/3", "var") for i in (1, 2, 3))}
+
+
 def test_culprits_against_all_pairs(spark):
     """Also where smaller terms fit into pairs that do not occur, so that a run's first pairs give way."""
     rng = random.Random(12)
