@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.registry import JoinPlan
+from ..session import cut
 from ..sources.tables import ROW_ID, Dataset
 
 OWNERS = "_owners"
@@ -89,22 +90,51 @@ def attach_owners(dataset: Dataset) -> dict[str, DataFrame]:
     return ready
 
 
+HOT_SHARES = 1024  # a row with more than one in so many of all tuples is dealt out; fewer than so many rows can be hot
+
+
+def row_counts(melted: DataFrame) -> DataFrame:
+    """(table, row_id, tuples): how many joined tuples a row is in, counted before the shuffle."""
+    return melted.groupBy("table", "row_id").agg(F.count(F.lit(1)).alias("tuples"))
+
+
+def _known_or_error(matched: DataFrame) -> DataFrame:
+    return matched.withColumn("owner_id", F.when(
+        F.col("owner_id").isNull(), F.raise_error(F.lit("row id without owner")).cast("bigint")).otherwise(F.col("owner_id")))
+
+
+def count_owners(melted: DataFrame, assignment: DataFrame, check: bool = True) -> DataFrame:
+    """(table, owner_id, tuples): rows are counted first, so owners meet each row once, however many tuples it is in."""
+    matched = row_counts(melted).join(assignment.select("table", "row_id", "owner_id"), ["table", "row_id"],
+                                      "left" if check else "inner")
+    matched = _known_or_error(matched) if check else matched
+    return matched.groupBy("table", "owner_id").agg(F.sum("tuples").alias("tuples"))
+
+
 def lookup_owners(melted: DataFrame, assignment: DataFrame, check: bool = True) -> DataFrame:
     """(game_id, table, owner_id) by an equi join of melted row ids with the assignment.
 
-    With ``check`` a row id the assignment does not know is an error.
+    With ``check`` a row id the assignment does not know is an error. The tuples of a row of a small
+    table would all meet in one task. Rows are therefore counted first; those in more than one in
+    ``HOT_SHARES`` of all tuples, which are fewer than ``HOT_SHARES`` and so fit a broadcast, get as many
+    copies of their owners as they have such shares, and their tuples are dealt to the copies by game.
+    ``melted`` is read twice.
     """
-    a = assignment.select(F.col("table").alias("_t"), F.col("row_id").alias("_r"), "owner_id")
-    matched = melted.join(a, (F.col("table") == F.col("_t")) & (F.col("row_id") == F.col("_r")),
-                          "left" if check else "inner").drop("_t", "_r")
-    if check:
-        matched = matched.withColumn("owner_id", F.when(
-            F.col("owner_id").isNull(), F.raise_error(F.lit("row id without owner")).cast("bigint"))
-            .otherwise(F.col("owner_id")))
-    return matched.select("game_id", "table", "owner_id")
+    counts, seen = cut(row_counts(melted), all=F.sum("tuples"))
+    share = (seen["all"] or 0) / HOT_SHARES
+    hot = F.broadcast(counts.where(F.col("tuples") > share).select(
+        "table", "row_id", F.ceil(F.col("tuples") / F.lit(max(share, 1.0))).cast("int").alias("_copies")))
+    owned = (
+        assignment.select("table", "row_id", "owner_id").join(hot, ["table", "row_id"], "left")
+        .select(F.col("table").alias("_t"), F.col("row_id").alias("_r"), "owner_id",
+                F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)).alias("_c")))
+    dealt = melted.join(hot, ["table", "row_id"], "left").select(
+        *melted.columns, F.pmod(F.xxhash64("game_id"), F.coalesce("_copies", F.lit(1))).cast("int").alias("_copy"))
+    matched = dealt.join(owned, (F.col("table") == F.col("_t")) & (F.col("row_id") == F.col("_r")) & (F.col("_copy") == F.col("_c")),
+                         "left" if check else "inner")
+    return (_known_or_error(matched) if check else matched).select("game_id", "table", "owner_id")
 
 
 def unmatched_rows(melted: DataFrame, assignment: DataFrame) -> DataFrame:
-    """Row ids of joined tuples that nobody owns."""
-    a = assignment.select(F.col("table").alias("_t"), F.col("row_id").alias("_r"))
-    return melted.join(a, (F.col("table") == F.col("_t")) & (F.col("row_id") == F.col("_r")), "left_anti")
+    """(table, row_id, tuples): rows of joined tuples that nobody owns, and how many tuples they are in."""
+    return row_counts(melted).join(assignment.select("table", "row_id"), ["table", "row_id"], "left_anti")

@@ -407,21 +407,26 @@ def joined_tuples_distinct(spark, sf):
     return J.join_along(narrow, plan_for("trade"), with_assignment=True, distinct=True)
 
 
+def _melted(spark, sf) -> DataFrame:
+    ids = J.row_ids(_tpch_joined(spark, sf))
+    return J.melt_row_ids(ids.withColumn("game_id", F.xxhash64(*[f"`{c}`" for c in ids.columns])))
+
+
 @query
 def lineage_lookup(spark, sf):
-    ds = parquet_dataset(spark, sf)
-    numbered = J.row_ids(_tpch_joined(spark, sf)).withColumn("game_id", F.monotonically_increasing_id())
-    found = J.lookup_owners(J.melt_row_ids(numbered), ds.assignment)
+    found = J.lookup_owners(_melted(spark, sf), parquet_dataset(spark, sf).assignment)
     return found.groupBy(F.col("table").alias("table_name"), "owner_id").agg(F.count(F.lit(1)).alias("tuples"))
 
 
+@query
+def lineage_owner_counts(spark, sf):
+    return J.count_owners(_melted(spark, sf), parquet_dataset(spark, sf).assignment).withColumnRenamed("table", "table_name")
+
+
 @query
 def unmatched_row_check(spark, sf):
-    ds = parquet_dataset(spark, sf)
-    numbered = J.row_ids(_tpch_joined(spark, sf)).withColumn("game_id", F.lit(0))
-    known = ds.assignment.where("not (table = 'supplier' and row_id % 10 = 0)")
-    return J.unmatched_rows(J.melt_row_ids(numbered), known).groupBy(F.col("table").alias("table_name"), "row_id").agg(
-        F.count(F.lit(1)).alias("tuples"))
+    known = parquet_dataset(spark, sf).assignment.where("not (table = 'supplier' and row_id % 10 = 0)")
+    return J.unmatched_rows(_melted(spark, sf), known).withColumnRenamed("table", "table_name")
 
 
 @query

@@ -280,6 +280,7 @@ SQL["joined_tuples_distinct"] = """SELECT DISTINCT l_orderkey AS o_orderkey, l_s
 SQL["lineage_lookup"] = f"WITH {PARTSUPP}, joined AS (SELECT * FROM {CHAIN})" + " UNION ALL ".join(
     f" SELECT '{t}' AS table_name, o AS owner_id, count(*) AS tuples FROM joined, (SELECT unnest(range(8)) AS o) "
     f"WHERE (({_mask(k, s)} >> o::INT) & 1) = 1 GROUP BY o" for t, (k, s) in ROW_KEYS.items())
+SQL["lineage_owner_counts"] = SQL["lineage_lookup"]
 SQL["unmatched_row_check"] = f"""WITH {PARTSUPP} SELECT 'supplier' AS table_name, s_suppkey AS row_id, count(*) AS tuples
   FROM {CHAIN} WHERE s_suppkey % 10 = 0 GROUP BY s_suppkey"""
 SQL["tuple_lineage"] = f"""WITH {FAMILIES} SELECT array_to_string(list_sort(list_transform(family, lambda m: {_text('m')})), ' | ')

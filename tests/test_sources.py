@@ -89,3 +89,21 @@ def test_plain_join_is_inner(spark):
     left = J.join_along(ds.tables, plan_for("soccer"), with_assignment=True).count()
     teams = ds.tables["HomeTeam"].select(F.col("team_api_id").alias("home_team_api_id"))
     assert plain < left == ds.tables["Match"].join(teams, "home_team_api_id").count()
+
+
+def test_lookup_of_hot_rows(spark):
+    """A row that is in every tuple is dealt out, and each tuple still finds all its owners once."""
+    melted = spark.range(3000).select(F.col("id").alias("game_id"), F.explode(F.array(
+        F.struct(F.lit("small").alias("table"), F.lit(0).cast("bigint").alias("row_id")),
+        F.struct(F.lit("large").alias("table"), F.col("id").alias("row_id")))).alias("c")).select("game_id", "c.*")
+    owners = spark.createDataFrame([("small", 0, 1), ("small", 0, 2)], "table string, row_id bigint, owner_id bigint").unionByName(
+        spark.range(2999).select(F.lit("large").alias("table"), F.col("id").alias("row_id"), (F.col("id") % 3).alias("owner_id")))
+    found = J.lookup_owners(melted, owners, check=False)
+    assert sorted(map(tuple, found.collect())) == sorted(
+        [(i, "small", o) for i in range(3000) for o in (1, 2)] + [(i, "large", i % 3) for i in range(2999)])
+    with pytest.raises(Exception, match="row id without owner"):
+        J.lookup_owners(melted, owners).collect()
+    assert {tuple(r) for r in J.count_owners(melted, owners, check=False).collect()} == {
+        ("small", 1, 3000), ("small", 2, 3000), ("large", 0, 1000), ("large", 1, 1000), ("large", 2, 999)}
+    assert [tuple(r) for r in J.unmatched_rows(melted, owners).collect()] == [("large", 2999, 1)]
+    assert J.lookup_owners(melted.limit(0), owners).collect() == []
