@@ -1,11 +1,14 @@
 """Quality rules: counts per text, and how far its histograms lie from those of known languages.
 
 Method: a text's histogram of character classes, and its histogram over a language's most common words
-(all others together), are compared with the same histograms summed over all documents of that language.
-The measure is the Jensen-Shannon distance (square root of the divergence in bits, 0 to 1). The nearest
-language counts; a text farther than a limit in either histogram is rejected. Short texts have noisy
-histograms: the limits widen as the number of words falls, and below ``least_chars`` or ``least_words``
-the comparison is not made.
+(all others together), are compared with the same histograms of a reference of that language. The measure is the
+Jensen-Shannon distance (square root of the divergence in bits, 0 to 1). Each distance has a limit; a language fits
+as badly as the larger of its two distances, each over its limit. The language that fits best counts, in both
+histograms; a text beyond either limit there is rejected. Short texts have noisy histograms: the limits widen as
+the number of words falls, and below ``least_chars`` or ``least_words`` the comparison is not made.
+
+References are an input: :func:`fit` takes them from documents of one's choice. Where none are given they are
+the sums over all documents judged, by language.
 
 One pass over the texts writes a narrow table of counts; references and verdicts come from that table.
 References are as many as the languages given, so they fit into the plan as literals.
@@ -155,45 +158,60 @@ def references(counts: DataFrame, common_words: Mapping[str, str]) -> dict[str,
     return found
 
 
+References = Mapping[str, tuple[Sequence[float], Sequence[float]]]
+
+
+def fit(docs: DataFrame, common_words: Mapping[str, str] = COMMON_WORDS, text: str = "text", lang: str = "lang") -> References:
+    """References of all languages that ``docs`` has words of, over all its rows; for ``known`` of :func:`judge`."""
+    return references(count_texts(docs, common_words, [], text, lang), common_words)
+
+
 def judge(docs: DataFrame, carried: Sequence[str], common_words: Mapping[str, str] = COMMON_WORDS,
           class_limit: tuple[float, float] = (0.14, 1.4), word_limit: tuple[float, float] = (0.20, 1.2),
-          least_chars: int = 150, least_words: int = 50, text: str = "text", lang: str | None = "lang") -> DataFrame:
-    """Counts, distances and verdicts of every row, beside the carried columns in ``row``.
+          least_chars: int = 150, least_words: int = 50, text: str = "text", lang: str | None = "lang",
+          known: References | None = None) -> DataFrame:
+    """Counts, distances, the nearest language and verdicts of every row, beside the carried columns in ``row``.
 
     A limit (a, b) means a + b / sqrt(n_words): the distance of a short text from its own language's
-    histogram is larger by chance, in that proportion.
+    histogram is larger by chance, in that proportion. ``known`` are references fitted before, by the same common words.
     """
     counts = cut(count_texts(docs, common_words, carried, text, lang))
     spans, start = {}, 0
     for name, words in common_words.items():
         spans[name] = start, len(words.split())
         start += spans[name][1]
-    known = references(counts, common_words)
+    known = references(counts, common_words) if known is None else known
     summed = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-    class_distances, word_distances = [], []
+    # a text without words has no limits; the base rule has rejected it
+    allowed = lambda limit: limit[0] + limit[1] / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
+    other_language = F.col("lang").isNotNull() & ~F.col("lang").isin(list(known))
+    fits = []
     for name, (classes, words) in sorted(known.items()):
-        class_distances.append(_divergence(F.col("classes"), summed("classes"), classes))
         own = F.slice("common", spans[name][0] + 1, spans[name][1])
-        word_distances.append(_divergence(F.concat(own, F.array(F.col("n_words") - summed(own))), F.col("n_words"), words))
-    least = lambda cs: F.array_min(F.array(*cs)) if cs else F.lit(0.0)
-    allowed = lambda limit: limit[0] + limit[1] / F.sqrt(F.col("n_words"))
+        by_class = _divergence(F.col("classes"), summed("classes"), classes)
+        by_word = _divergence(F.concat(own, F.array(F.col("n_words") - summed(own))), F.col("n_words"), words)
+        fits.append(F.struct(by_class.alias("c"), by_word.alias("w"), F.lit(name).alias("nearest")))
+    none = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("w"), F.lit(None).cast("string").alias("nearest"))
     short = (F.col("n_words") < least_words) | (F.col("word_chars") < least_chars)
-    other_language = F.col("lang").isNotNull() & ~F.col("lang").isin(list(known))
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    near = (F.col("class_distance") <= allowed(class_limit)) & (
-        other_language | (F.col("word_distance") <= allowed(word_limit)))
+    ranked = F.transform("_fits", lambda x: F.struct(
+        F.greatest(x["c"] / allowed(class_limit), F.when(other_language, F.lit(0.0)).otherwise(
+            x["w"] / allowed(word_limit))).alias("over"), x.alias("fit")))
     return (
-        counts.withColumn("class_distance", least(class_distances))
-        .withColumn("word_distance", least(word_distances))
+        counts.withColumn("_fits", F.array(*(fits or [none])))
+        .withColumn("_best", F.array_min(ranked))
+        .withColumn("class_distance", F.col("_best.fit.c"))
+        .withColumn("word_distance", F.col("_best.fit.w"))
+        .withColumn("nearest", F.col("_best.fit.nearest"))
         .withColumn("base_failed", base_failed)
-        .withColumn("kept", ~F.col("base_failed") & (short | near)))
+        .withColumn("kept", ~F.col("base_failed") & (short | (F.col("_best.over") <= 1))))
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
-    """One row per document: key, its counts, ``class_distance``, ``word_distance``, base_failed and kept."""
+    """One row per document: key, its counts, ``class_distance``, ``word_distance`` and ``nearest`` (language), base_failed and kept."""
     return judge(docs, [key], **settings).select(
         F.col(f"row.{key}").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "class_distance", "word_distance", "base_failed", "kept")
+        "class_distance", "word_distance", "nearest", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, **settings) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 from collections import Counter
+from math import log2, sqrt
 
 from fairlineage.llm import quality
 
@@ -20,6 +21,73 @@ def brute(text):
     return (n, sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(inside), n < 50 or 100 * len(inside) > 50 * n)
 
 
+def histograms(text, lists):
+    """Shares of character classes, and for each language of its common words and of all others."""
+    def kind(c):
+        for name, members in (("stop", ".,;:!?"), ("quote", "'\"()-"), ("symbol", "#*$%&|<>"), ("line", "\n"), ("blank", "\t\x0b\f\r ")):
+            if c in members:
+                return name
+        return ("small" if "a" <= c <= "z" else "capital" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9"
+                else "beyond" if ord(c) > 127 else "other")
+    of = Counter(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+    return Counter(map(kind, text)), {n: Counter({w: of[w] for w in ws.split()}) + Counter(
+        {None: sum(c for w, c in of.items() if w not in ws.split())}) for n, ws in lists.items()}
+
+
+def distance(p, q):
+    total, all_ = sum(p.values()), sum(q.values())
+    if not total:
+        return 1.0
+    out = 0.0
+    for k in set(p) | set(q):
+        a, b = p[k] / total, q[k] / all_
+        out += sum(x / 2 * log2(2 * x / (a + b)) for x in (a, b) if x)
+    return sqrt(max(out, 0.0))
+
+
+def verdicts(judged, fitted, lists):
+    """doc_id → (class distance, word distance, nearest, kept), by plain loops over whole texts."""
+    classes, words = {}, {}
+    for _, text, lang in fitted:
+        if lang in lists and text and text.split():
+            c, w = histograms(text, lists)
+            classes.setdefault(lang, Counter()).update(c)
+            words.setdefault(lang, Counter()).update(w[lang])
+    out = {}
+    for i, text, lang in judged:
+        c, w = histograms(text or "", lists)
+        n, chars, *_, failed = brute(text)
+        best = min(((max(distance(c, classes[k]) / (0.14 + 1.4 / sqrt(max(n, 1))),
+                         0.0 if lang is not None and lang not in classes else distance(w[k], words[k]) / (0.20 + 1.2 / sqrt(max(n, 1)))),
+                     distance(c, classes[k]), distance(w[k], words[k]), k) for k in classes), default=(0.0, 0.0, 0.0, None))
+        out[i] = (*best[1:], not failed and (chars < 150 or best[0] <= 1))
+    return out
+
+
+def test_verdicts_against_brute_force(spark, documents):
+    """Distances, the one nearest language and the verdict of every document, with references of the table itself and with given ones."""
+    docs = [(d["doc_id"], d["text"], d["lang"]) for d in documents.collect()]
+    english = documents.where("lang = 'en'")
+    for settings, fitted in (({}, docs), ({"known": quality.fit(english)}, [d for d in docs if d[2] == "en"])):
+        want = verdicts(docs, fitted, quality.COMMON_WORDS)
+        for r in quality.quality_rules(documents, **settings).collect():
+            c, w, nearest, kept = want[r["doc_id"]]
+            assert abs(r["class_distance"] - c) < 1e-9 and abs(r["word_distance"] - w) < 1e-9
+            assert (r["nearest"], r["kept"]) == (nearest, kept)
+
+
+def test_one_language_must_fit_in_both_histograms(spark):
+    """Characters of one language with common words of another are no text of either."""
+    words = {"a": "the of and to", "b": "der die das und"}
+    one, two = "the of and to some more words here " * 20, "DER DIE DAS UND EIN PAAR WORTE 12345 " * 20
+    mixed = "der die das und ein paar worte hier " * 20
+    known = quality.fit(spark.createDataFrame([(1, one, "a"), (2, two, "b")], "doc_id long, text string, lang string"), words)
+    docs = spark.createDataFrame([(3, mixed, "a")], "doc_id long, text string, lang string")
+    row = quality.judge(docs, ["doc_id"], words, known=known, class_limit=(0.2, 0.0), word_limit=(0.2, 0.0)).first()
+    assert min(row["_fits"], key=lambda f: f["c"])["nearest"] == "a" and min(row["_fits"], key=lambda f: f["w"])["nearest"] == "b"
+    assert not row["kept"]
+
+
 def test_counts_and_verdicts(spark, documents, sf_dir):
     rows = {r["doc_id"]: r for r in quality.quality_rules(documents).collect()}
     for d in documents.collect():
