@@ -107,3 +107,13 @@ def test_lookup_of_hot_rows(spark):
         ("small", 1, 3000), ("small", 2, 3000), ("large", 0, 1000), ("large", 1, 1000), ("large", 2, 999)}
     assert [tuple(r) for r in J.unmatched_rows(melted, owners).collect()] == [("large", 2999, 1)]
     assert J.lookup_owners(melted.limit(0), owners).collect() == []
+
+
+def test_written_tables_of_many_files(spark, tmp_path):
+    folder = str(tmp_path / "old.csv" / "data")
+    rows = spark.range(30).select("id", (F.col("id") % 4).alias("v"))
+    I.write_csv(rows.repartition(5), f"{folder}/t.csv")
+    I.write_csv(rows.where("id < 3").coalesce(1), f"{folder}/u.csv")
+    tables = I.read_folder(spark, folder, infer=True)
+    assert {n: df.count() for n, df in tables.items()} == {"t": 30, "u": 3}
+    assert sorted(r["id"] for r in tables["t"].collect()) == list(range(30))
