@@ -3,10 +3,11 @@ from decimal import Decimal
 from itertools import combinations, product
 
 import pytest
+from pyspark.sql import functions as F
 
 from fairlineage.operators import coefficients as C
 
-from .helpers import dnf_table, parse
+from .helpers import dnf_table, parse, random_games
 
 
 def poly(spark, coeffs, game="g"):
@@ -106,3 +107,18 @@ def test_states_of_one_large_game(spark):
 def test_no_numbering_of_a_whole_game(spark):
     plan = C._blocks(dnf_table(spark, {"g": "1 2 + 3"}))._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(game_id" in plan and "_k" in plan.split("windowspecdefinition(game_id")[1][:40]
+
+
+def test_listed_states_equal_multiplied_ones(spark):
+    rng = random.Random(4)
+    games = {**random_games(rng, 60, owners=10, terms=9), "true": "TRUE", "wide": " + ".join(f"{i} {i + 1}" for i in range(11)),
+             "far": "-9000000000 7 + 7 9000000000 + -9000000000 9000000000"}
+    dnf = dnf_table(spark, games)
+    rows = lambda df: sorted((r["game_id"], tuple(r["members"]), r["coeff"]) for r in df.collect())
+    states = C.union_states(dnf)
+    assert rows(states) == rows(C._multiplied(dnf))
+    # states of small games are not joined with factors, round by round
+    small = C.union_states(dnf.where("game_id <> 'wide'"))
+    assert "Join" not in small._jdf.queryExecution().executedPlan().toString()
+    nested = C.union_states(dnf.select(F.struct("game_id", F.lit(3).alias("rep")).alias("game_id"), "term"))
+    assert rows(nested.select("game_id.game_id", "members", "coeff")) == rows(states)
