@@ -120,3 +120,13 @@ def test_totals_of_many_owners_and_of_samples(spark, sf_dir):
     error = {o: tuples * (v / tuples * (1 - v / tuples) / 1000) ** 0.5 for o, v in exact.items()}
     assert drawn.keys() == exact.keys() and abs(sum(drawn.values()) - tuples) < 0.1
     assert all(abs(drawn[o] - v) < 4 * error[o] for o, v in exact.items()), (drawn, exact)
+
+
+def test_permutation_shuffles_terms_not_samples(spark):
+    dnf = dnf_table(spark, {"g": "1 2 + 3 + 4 5"})
+    plan = V.permutation(dnf, 300, seed=2)._jdf.queryExecution().executedPlan().toString()
+    lines = [x.strip() for x in plan.splitlines()]
+    assert not [x for x in lines if "Exchange hashpartitioning" in x and "_sample" in x]
+    assert not [x for x in lines if x.lstrip("+-:| ").startswith(("Sort ", "SortAggregate")) and "_sample" in x]
+    sv = values(V.permutation(dnf, 300, seed=2))
+    assert abs(sum(sv.values()) - 1) < 1e-9 and sv["g", 3] > max(v for (_, o), v in sv.items() if o != 3)
