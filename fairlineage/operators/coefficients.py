@@ -9,6 +9,7 @@ wrong number.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from decimal import Decimal
 from functools import reduce
 
 import numpy as np
@@ -240,9 +241,8 @@ def union_polynomial(states: DataFrame) -> DataFrame:
         _total(F.col("coeff")).alias("coeff")).where("coeff <> 0")
 
 
-def child_products(states: DataFrame, children: DataFrame) -> DataFrame:
-    """(game_id, members, degree, coeff): product of the polynomials ``children(game_id, child_id,
-    degree, coeff)`` over the members of each state, in as many rounds as the largest state has members."""
+def _joined_products(states: DataFrame, children: DataFrame) -> DataFrame:
+    """:func:`child_products` of games of any size, in as many rounds as the largest state has members."""
     states, seen = cut(states.select("game_id", "members").distinct(), most=F.max(F.size("members")))
     child = children.select("game_id", F.col("child_id").alias("_child"), F.col("degree").alias("_d"),
                             F.col("coeff").alias("_c"))
@@ -251,13 +251,73 @@ def child_products(states: DataFrame, children: DataFrame) -> DataFrame:
     for i in range(seen["most"] or 0):
         with_child = grown.withColumn("_child", F.get("members", F.lit(i)))
         grown = (
-            with_child.join(child, ["game_id", "_child"], "left")
+            with_child.join(child.hint("merge"), ["game_id", "_child"], "left")
             .where(F.col("_child").isNull() | F.col("_c").isNotNull())
             .groupBy("game_id", "members", (F.col("degree") + F.coalesce("_d", F.lit(0))).alias("degree"))
             .agg(_total(_times(F.col("coeff"), F.coalesce("_c", F.lit(1)))).alias("coeff")))
     return grown.where("coeff <> 0")
 
 
+def _game_products(states: list[list[int]], kids: list[dict]) -> Iterator[tuple[list[int], int, int]]:
+    """(members, degree, coeff) of one game; products of equal first members are made once. A state with a member without polynomial has none."""
+    poly: dict[int, dict[int, int]] = {}
+    for k in kids:
+        of = poly.setdefault(k["child"], {})
+        of[k["degree"]] = of.get(k["degree"], 0) + int(k["coeff"])
+    made = {(): {0: 1}}
+
+    def product(members: tuple[int, ...]) -> dict[int, int]:
+        if members not in made:
+            out: dict[int, int] = {}
+            for d, c in product(members[:-1]).items():
+                for e, b in poly.get(members[-1], {}).items():
+                    out[d + e] = out.get(d + e, 0) + c * b
+            made[members] = out
+        return made[members]
+
+    for members in states:
+        for d, c in product(tuple(members)).items():
+            if c:
+                yield members, d, c
+
+
+def _listed_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 64):
+            part = batch.slice(start, 64)
+            rows = [(i, *r) for i, (states, kids) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist()))
+                    for r in _game_products(states, kids or [])]
+            game, members, degree, coeff = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(game, pa.int64())), pa.array(members, pa.list_(pa.int64())), pa.array(degree, pa.int64()),
+                 pa.array([Decimal(c) for c in coeff], pa.decimal128(38, 0))], ["game_id", "members", "degree", "coeff"])
+
+
+def child_products(states: DataFrame, children: DataFrame) -> DataFrame:
+    """(game_id, members, degree, coeff): product of the polynomials ``children(game_id, child_id,
+    degree, coeff)`` over the members of each state.
+
+    Games of at most 2^``LISTED`` states and as many rows of children, all of at most ``LISTED`` owners among them, are worked out
+    one by one in whole numbers: their states are shuffled by game only. The others are joined member by member.
+    """
+    ship_package(states.sparkSession)
+    kind, most = states.schema["game_id"].dataType.simpleString(), 1 << LISTED
+    states = cut(states.select("game_id", "members").distinct())
+    size = states.groupBy("game_id").agg(F.count(F.lit(1)).alias("_states"), F.max(F.size("members")).alias("_widest"))
+    rows = children.groupBy("game_id").agg(F.count(F.lit(1)).alias("_rows"))
+    few = (F.col("_states") <= most) & (F.col("_widest") <= LISTED) & (F.coalesce("_rows", F.lit(0)) <= most)
+    games, seen = cut(size.join(rows, "game_id", "left").select("game_id", few.alias("_few")), wide=F.count_if(~F.col("_few")))
+    small, wide = (games.where(c).select("game_id") for c in ("_few", "not _few"))
+    kids = children.join(small, "game_id", "left_semi").groupBy("game_id").agg(F.collect_list(F.struct(
+        F.col("child_id").alias("child"), "degree", F.col("coeff").cast("string").alias("coeff"))).alias("kids"))
+    listed = states.join(small, "game_id", "left_semi").groupBy("game_id").agg(F.collect_list("members").alias("states"))
+    found = listed.join(kids, "game_id", "left").select("game_id", "states", "kids").mapInArrow(
+        _listed_products, f"game_id {kind}, members array<bigint>, degree bigint, coeff {WHOLE}")
+    if not seen["wide"]:
+        return found
+    return found.unionByName(_joined_products(states.join(wide, "game_id", "left_semi"), children.join(wide, "game_id", "left_semi")))
+
+
 def expression_polynomial(states: DataFrame, children: DataFrame) -> DataFrame:
     """(game_id, degree, coeff): the function with the children's polynomials put in."""
     weight = states.select("game_id", "members", F.col("coeff").alias("_w"))

@@ -122,3 +122,18 @@ def test_listed_states_equal_multiplied_ones(spark):
     assert "Join" not in small._jdf.queryExecution().executedPlan().toString()
     nested = C.union_states(dnf.select(F.struct("game_id", F.lit(3).alias("rep")).alias("game_id"), "term"))
     assert rows(nested.select("game_id.game_id", "members", "coeff")) == rows(states)
+
+
+def test_listed_products_equal_joined_ones(spark):
+    states = spark.createDataFrame([("g", [1, 2]), ("g", [2]), ("g", [1, 2, 3]), ("g", []), ("h", [1]), ("w", list(range(12)))],
+                                   "game_id string, members array<bigint>")
+    polys = [("g", 1, 1, 2), ("g", 1, 2, -1), ("g", 2, 2, 1), ("g", 2, 2, 4), ("h", 1, 1, 1), ("h", 1, 1, -1)]
+    polys += [("w", i, 1, 1 << 8) for i in range(12)]
+    kids = spark.createDataFrame(polys, "game_id string, child_id bigint, degree bigint, coeff bigint")
+    rows = lambda df: sorted((r["game_id"], tuple(r["members"]), r["degree"], r["coeff"]) for r in df.collect())
+    assert rows(C.child_products(states, kids)) == rows(C._joined_products(states, kids))
+    few = C.child_products(states.where("game_id <> 'w'"), kids)
+    assert "_child" not in few._jdf.queryExecution().executedPlan().toString()
+    big = spark.createDataFrame([("g", i, 1, Decimal(10 ** 20)) for i in (1, 2)], "game_id string, child_id bigint, degree bigint, coeff decimal(38,0)")
+    with pytest.raises(Exception, match="(?i)38|precision"):
+        C.child_products(states.where("game_id = 'g'"), big).collect()
