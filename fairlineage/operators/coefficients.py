@@ -12,17 +12,15 @@ from collections.abc import Iterator, Sequence
 from decimal import Decimal
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import sets as S
 from ..session import cut, delete_tables, recorded_tables, ship_package
+from .listed import LISTED, differences, solved, split_games
 
 WHOLE = "decimal(38,0)"
 BLOCK, MOST = 4, 8    # terms of a block of union_states, wanted and at most: at most 2^8 unions of one block
-LISTED = 10           # a game of so few owners has at most 2^10 states and C(10, 5) terms, which are worked out in one row
-CELLS = 1 << 16       # states that a task holds at once of such games
 PARTS, SMALL = 16, 12  # parts that the states of one game are dealt over; a game of few terms has few states and one part
 
 
@@ -127,53 +125,6 @@ def _over_parts(df: DataFrame, parts: Column) -> DataFrame:
     return df.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
 
 
-def _listed_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Union states of games of at most ``LISTED`` owners, given as (game_id, list of terms).
-
-    The coefficients of f are its differences over subsets: f is 1 above a term, and for each owner the value without it is
-    taken from the one with it. All in whole numbers.
-    """
-    terms = batch.column(1)
-    of_term, flat = terms.flatten(), terms.flatten().flatten().to_numpy(zero_copy_only=False)
-    term_game = np.repeat(np.arange(batch.num_rows), np.diff(terms.offsets.to_numpy()))
-    lengths = np.diff(of_term.offsets.to_numpy())
-    value_term = np.repeat(np.arange(len(lengths)), lengths)
-    pairs, place = np.unique(np.stack([term_game[value_term], flat]), axis=1, return_inverse=True)
-    owners, first = pairs[1], np.searchsorted(pairs[0], np.arange(batch.num_rows + 1))
-    local = place.ravel() - first[term_game[value_term]]
-    masks = np.bincount(value_term, weights=np.left_shift(1, local), minlength=len(lengths)).astype(np.int64)
-    players = np.diff(first)
-    for n in np.unique(players):
-        every = np.flatnonzero(players == n)
-        for start in range(0, len(every), max(1, CELLS >> n)):
-            games = every[start:start + max(1, CELLS >> n)]
-            row = np.full(batch.num_rows, -1)
-            row[games] = np.arange(len(games))
-            mine = row[term_game] >= 0
-            f = np.zeros((len(games), 1 << n), np.int64)
-            f[row[term_game[mine]], masks[mine]] = 1
-            for i in range(n):
-                half = f.reshape(len(games), -1, 2, 1 << i)
-                half[:, :, 1] |= half[:, :, 0]
-            for i in range(n):
-                half = f.reshape(len(games), -1, 2, 1 << i)
-                half[:, :, 1] -= half[:, :, 0]
-            f[:, 0] = 0
-            at, state = np.nonzero(f)
-            inside, who = np.nonzero((state[:, None] >> np.arange(n)) & 1)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(inside, minlength=len(state)))]).astype(np.int32)
-            members = pa.ListArray.from_arrays(pa.array(ends), pa.array(owners[first[games[at[inside]]] + who], pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(games[at])), members, pa.array(f[at, state])], ["game_id", "members", "coeff"])
-
-
-def _listed_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, 1024):
-            yield from _listed_batch(pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([c.slice(start, 1024)]) for c in batch.columns], names=["game_id", "terms"]))
-
-
 def union_states(dnf: DataFrame, sizes: list[int] | None = None) -> DataFrame:
     """(game_id, members, coeff): the function as Σ coeff·[all members], i.e. inclusion–exclusion
     over all sets of terms with equal unions merged and cancelled.
@@ -183,15 +134,9 @@ def union_states(dnf: DataFrame, sizes: list[int] | None = None) -> DataFrame:
     """
     if sizes is not None:
         return _multiplied(dnf, sizes)
-    ship_package(dnf.sparkSession)
-    owners = dnf.select("game_id", F.explode("term").alias("o")).distinct().groupBy("game_id").agg(F.count(F.lit(1)).alias("_owners"))
-    counted, seen = cut(dnf.select("game_id", "term").join(owners.hint("merge"), "game_id"), wide=F.count_if(F.col("_owners") > LISTED))
-    listed = counted.where(F.col("_owners") <= LISTED).groupBy("game_id").agg(F.collect_set("term").alias("terms"))
-    kind = dnf.schema["game_id"].dataType.simpleString()
-    states = listed.select("game_id", "terms").mapInArrow(_listed_states, f"game_id {kind}, members array<bigint>, coeff bigint")
-    if not seen["wide"]:
-        return states
-    return states.unionByName(_multiplied(counted.where(F.col("_owners") > LISTED).select("game_id", "term")))
+    games, rest = split_games(dnf)
+    states = solved(games, differences)
+    return states if rest is None else states.unionByName(_multiplied(rest))
 
 
 def _multiplied(dnf: DataFrame, sizes: list[int] | None = None) -> DataFrame:

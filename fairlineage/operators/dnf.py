@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import sets as S
 from ..session import cut
+from .listed import least_terms, solved, split_games
 
 KEYS = ["game_id", "term"]
 
@@ -78,13 +79,24 @@ def kinds(dnf: DataFrame, games: DataFrame) -> DataFrame:
 
 
 def minimise(dnf: DataFrame) -> DataFrame:
-    """Drop every term that has a proper subset among the terms of its game."""
+    """Drop every term that has a proper subset among the terms of its game.
+
+    The distinct terms are written once, so that what they come from is worked out once. Games of few owners are then
+    worked out row by row, the others by :func:`absorbed`.
+    """
+    terms = cut(dnf.select(*KEYS).dropDuplicates(KEYS))
+    games, rest = split_games(terms)
+    least = solved(games, least_terms).select("game_id", F.col("members").alias("term"))
+    return least if rest is None else least.unionByName(absorbed(rest))
+
+
+def absorbed(dnf: DataFrame) -> DataFrame:
+    """:func:`minimise` of games of any size; ``dnf`` is read several times."""
     dnf = dnf.dropDuplicates(KEYS)
     least = dnf.groupBy("game_id").agg(F.min(F.size("term")).alias("_least"), F.max(F.size("term")).alias("_most"))
     mixed = least.where("_least < _most")  # terms of one size never absorb each other
     wide = dnf.join(mixed, "game_id").where(F.size("term") > F.col("_least"))
-    absorbed = _has_subset(wide, dnf)
-    return dnf.join(absorbed, KEYS, "left_anti")
+    return dnf.join(_has_subset(wide, dnf), KEYS, "left_anti")
 
 
 def _has_subset(wide: DataFrame, dnf: DataFrame) -> DataFrame:

@@ -339,7 +339,7 @@ def prime_modules(kernel: DataFrame) -> DataFrame:
     closed = closure(kernel, grown)
     proper = closed.join(everybody, "game_id").where(F.size("members") < F.col("_n")).select(
         "game_id", F.col("members").alias("term"))
-    least = cut(D.minimise(proper)).withColumnRenamed("term", "members")
+    least = cut(D.absorbed(cut(proper))).withColumnRenamed("term", "members")
     whole = D.variables(kernel).join(least, "game_id", "left_anti").groupBy("game_id").agg(
         F.sort_array(F.collect_list("owner_id")).alias("members"))
     return least.unionByName(whole)

@@ -109,3 +109,14 @@ def test_owner_cells_count_by_declared_type(spark):
     got = [r[0] for r in rows.select(S.owner_set(*[F.col(c) for c in "abcd"])).collect()]
     assert got == [[3, 5], [3]]
     assert terms("1 2") == {(1, 2)}
+
+
+def test_minimise_of_few_owners_joins_no_terms(spark):
+    small = {"a": "1 + 1 2 + 2 3", "b": "TRUE + 4", "c": "5 6 + 5 6 7 + 7 8"}
+    wide = {"w": "1 2 + 1 2 3 + " + " + ".join(str(o) for o in range(4, 16)) + " + 1 15"}
+    got = D.minimise(dnf_table(spark, small))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert texts(got) == {"a": {(1,), (2, 3)}, "b": {()}, "c": {(5, 6), (7, 8)}}
+    both = texts(D.minimise(dnf_table(spark, {**small, **wide})))
+    assert both["w"] == {(1, 2), *((o,) for o in range(4, 16))} and both["a"] == {(1,), (2, 3)}
