@@ -17,29 +17,53 @@ from ..functions import sets as S
 from ..plans.registry import JoinPlan, plan_for
 from ..sources.tables import Dataset
 from . import dnf as D
-from .joins import OWNERS, attach_owners, join_along, per_table_columns
+from .joins import OWNERS, attach_owners, fold_tail, join_along, per_table_columns
 
 
-def lineage(dataset: Dataset, plan: JoinPlan | None = None) -> DataFrame:
-    """One row per joined tuple with the owner set of every table's row (``_owners:<table>``)."""
-    joined = join_along(attach_owners(dataset), plan or plan_for(dataset.name), with_assignment=True)
-    return joined.select(*[f"`{c}`" for c in per_table_columns(joined, OWNERS).values()])
+def lineage(dataset: Dataset, plan: JoinPlan | None = None, texts: bool = False) -> DataFrame:
+    """One row per joined tuple with the owner set of every table's row (``_owners:<table>``).
+
+    The joins carry sets as texts, which shuffle in half the bytes; with ``texts`` they stay texts (members by blanks).
+    """
+    plan = plan or plan_for(dataset.name)
+    keys = {k for s in plan.steps for k in (*s.left_keys, *s.right_keys)}
+    narrow = {
+        t: df.select(*[f"`{c}`" for c in df.columns if c in keys], F.array_join(F.col(OWNERS), " ").alias(OWNERS))
+        for t, df in attach_owners(dataset).items()}
+    joined = join_along(*fold_tail(narrow, plan), with_assignment=True)
+    columns = per_table_columns(joined, OWNERS).values()
+    return joined.select(*[F.col(f"`{c}`") if texts else _set_of(F.col(f"`{c}`")).alias(c) for c in columns])
+
+
+def _set_of(text: Column) -> Column:
+    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.split(text, " ").cast("array<bigint>"))
 
 
 def owner_families(lineage: DataFrame) -> DataFrame:
-    """The distinct owner sets of a joined tuple, tables forgotten: one cell per tuple."""
+    """The distinct owner sets of a joined tuple, tables forgotten: one cell per tuple. Sets given as texts stay texts."""
     columns = per_table_columns(lineage, OWNERS).values()
     return lineage.select(S.family([F.col(f"`{c}`") for c in columns]).alias("family"))
 
 
+def _as_sets(families: DataFrame) -> DataFrame:
+    """``family`` as sets of numbers, whether given as these or as texts."""
+    if families.schema["family"].dataType.simpleString() != "array<string>":
+        return families
+    return families.withColumn("family", F.transform("family", _set_of))
+
+
+def counted_families(lineage: DataFrame) -> DataFrame:
+    """(family, n): distinct families of owner sets and how many tuples have each; texts are read once per family."""
+    return _as_sets(owner_families(lineage).groupBy("family").agg(F.count(F.lit(1)).alias("n")))
+
+
 def tuple_games(lineage: DataFrame) -> DataFrame:
     """(clauses, tuples): distinct games of the joined tuples and how many tuples share each.
 
     Tuples are counted by their families first (map-side, cheap functions only), then by their
     absorbed clauses. A tuple with an ownerless row is FALSE and gives no game.
     """
-    counted = owner_families(lineage).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    clauses = counted.select(S.by_size(S.absorb(F.col("family"))).alias("clauses"), "n")
+    clauses = counted_families(lineage).select(S.by_size(S.absorb(F.col("family"))).alias("clauses"), "n")
     return _satisfiable(clauses.groupBy("clauses").agg(F.sum("n").alias("tuples")))
 
 
@@ -68,7 +92,7 @@ def tuple_shapes(lineage: DataFrame, count_first: bool = False) -> DataFrame:
     if count_first:
         games = tuple_games(lineage)
     else:
-        games = _satisfiable(owner_families(lineage).select(
+        games = _satisfiable(_as_sets(owner_families(lineage)).select(
             S.by_size(S.absorb(F.col("family"))).alias("clauses"), F.lit(1).cast("bigint").alias("tuples")))
     return game_shapes(games)
 
@@ -144,6 +168,6 @@ def games_of(dataset: Dataset, plan: JoinPlan | None = None) -> DataFrame:
     """(game_id, term, tuples): tuple games (dual terms) with an assignment, group games without."""
     if not dataset.has_assignment:
         return match_games(dataset, plan).withColumn("tuples", F.lit(1).cast("bigint"))
-    return name_games(tuple_games(lineage(dataset, plan))).select(
+    return name_games(tuple_games(lineage(dataset, plan, texts=True))).select(
         "game_id", F.explode("clauses").alias("term"), "tuples")
 

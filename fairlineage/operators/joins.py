@@ -44,6 +44,27 @@ def join_along(tables: Resolver, plan: JoinPlan, with_assignment: bool, distinct
     return left.dropDuplicates() if distinct else left
 
 
+def fold_tail(tables: Mapping[str, DataFrame], plan: JoinPlan) -> tuple[dict[str, DataFrame], JoinPlan]:
+    """(tables, plan) of the same tuples: as long as the last step's left keys all come from the table of the step before and
+    both join inner, the two tables are joined first. What the earlier steps gathered is then shuffled once, not once per
+    step. Columns are told apart as in :func:`join_along`; left keys keep their names.
+    """
+    ready, steps = dict(tables), list(plan.steps)
+    while len(steps) > 1:
+        before, last = steps[-2:]
+        elsewhere = {c for t in (plan.init_table, *(s.table for s in steps[:-2])) for c in ready[t].columns}
+        left, right = ready[before.table], ready[last.table]
+        if not (before.how == last.how == "inner" and set(last.left_keys) <= set(left.columns) - elsewhere):
+            break
+        keys, taken = {k: f"_key{i}" for i, k in enumerate(last.right_keys)}, elsewhere | set(left.columns)
+        right = right.select(*[
+            F.col(f"`{c}`").alias(keys.get(c, f"{c}:{last.table}" if c in taken else c)) for c in right.columns])
+        match = [left[f"`{a}`"] == right[keys[b]] for a, b in zip(last.left_keys, last.right_keys)]
+        ready[before.table] = left.join(right, match).drop(*keys.values())
+        steps.pop()
+    return ready, JoinPlan(plan.init_table, tuple(steps))
+
+
 def per_table_columns(joined: DataFrame, prefix: str = ROW_ID) -> dict[str, str]:
     """table → column, for columns named ``<prefix>:<table>``."""
     return {c.rsplit(":", 1)[1]: c for c in joined.columns if c.startswith(f"{prefix}:")}

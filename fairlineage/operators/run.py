@@ -29,7 +29,7 @@ def run_attribution(dataset: Dataset, method: str = "rdsv", path: str | None = N
     calculation when the totals are. With ``path`` both results are written there.
     """
     start = time.monotonic()
-    shapes = cut(G.tuple_shapes(G.lineage(dataset), count_first=count_first))
+    shapes = cut(G.tuple_shapes(G.lineage(dataset, texts=True), count_first=count_first))
     loaded = time.monotonic()
     values = cut(totals_of_shapes(shapes, method, **settings))
     done = time.monotonic()

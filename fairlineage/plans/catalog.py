@@ -63,7 +63,7 @@ def _text(column: Column | str) -> Column:
 
 def tuple_games(spark: SparkSession, sf: str) -> DataFrame:
     """(clauses, tuples, game_id) of the 8-table join."""
-    return _once("tuple_games", spark, sf, lambda: G.name_games(G.tuple_games(G.lineage(parquet_dataset(spark, sf)))))
+    return _once("tuple_games", spark, sf, lambda: G.name_games(G.tuple_games(G.lineage(parquet_dataset(spark, sf), texts=True))))
 
 
 def tuple_dnf(spark: SparkSession, sf: str) -> DataFrame:
@@ -431,9 +431,8 @@ def unmatched_row_check(spark, sf):
 
 @query
 def tuple_lineage(spark, sf):
-    return G.owner_families(G.lineage(parquet_dataset(spark, sf))).groupBy("family").agg(
-        F.count(F.lit(1)).alias("tuples")).select(
-        F.concat_ws(" | ", F.sort_array(F.transform("family", S.text_of_set))).alias("family"), "tuples")
+    return G.counted_families(G.lineage(parquet_dataset(spark, sf), texts=True)).select(
+        F.concat_ws(" | ", F.sort_array(F.transform("family", S.text_of_set))).alias("family"), F.col("n").alias("tuples"))
 
 
 # --- columns, predicates, scalar functions ----------------------------------------------------
@@ -639,7 +638,7 @@ def games_by_mode(spark, sf):
 @query
 def tuple_shapes(spark, sf):
     """How often an owner takes a place in a shape; places are summed up to be comparable."""
-    shapes = G.tuple_shapes(G.lineage(parquet_dataset(spark, sf)), count_first=True)
+    shapes = G.tuple_shapes(G.lineage(parquet_dataset(spark, sf), texts=True), count_first=True)
     return shapes.groupBy("owner_id").agg(F.sum("tuples").alias("appearances"))
 
 
@@ -909,7 +908,7 @@ for _kind in T.ABLATIONS:
 
 def total_sv(spark: SparkSession, sf: str, method: str = "iusv", **settings) -> DataFrame:
     """(owner_id, sv) over all tuples of the 8-table join: shapes are solved, owners are summed."""
-    shapes = cut(G.tuple_shapes(G.lineage(parquet_dataset(spark, sf)), count_first=True))
+    shapes = cut(G.tuple_shapes(G.lineage(parquet_dataset(spark, sf), texts=True), count_first=True))
     return totals_of_shapes(shapes, method, **settings)
 
 
@@ -943,14 +942,14 @@ def tpch_attribution_permutation(spark, sf):
 @query
 def tpch_attribution_500_owners(spark, sf):
     """Totals of 500 owners, whose games hardly repeat."""
-    shapes = cut(G.tuple_shapes(G.lineage(parquet_dataset(spark, sf, owners=500))))
+    shapes = cut(G.tuple_shapes(G.lineage(parquet_dataset(spark, sf, owners=500), texts=True)))
     return totals_of_shapes(shapes, "iusv").select("owner_id", F.round("sv", 4).alias("sv"))
 
 
 @query
 def tpch_attribution_uncounted(spark, sf):
     """The same without counting equal games first."""
-    shapes = cut(G.tuple_shapes(G.lineage(parquet_dataset(spark, sf))))
+    shapes = cut(G.tuple_shapes(G.lineage(parquet_dataset(spark, sf), texts=True)))
     return totals_of_shapes(shapes, "iusv").select("owner_id", F.round("sv", 4).alias("sv"))
 
 

@@ -57,7 +57,8 @@ def parquet_dataset(spark: SparkSession, sf_dir: str, owners: int = OWNERS) -> D
         key, salt = ROW_KEYS[name]
         df = df.withColumn(ROW_ID, F.expr(f"cast({key} as bigint)"))
         tables[name] = df
-        owned = df.select(F.lit(name).alias("table"), F.col(ROW_ID).alias("row_id"),
-                          F.explode(Rule(salt, owners).owner_set(F.col(ROW_ID))).alias("owner_id"))
+        # an id's owners depend on the id alone, so ids are made distinct before they are multiplied by their owners
+        owned = df.select(F.col(ROW_ID).alias("row_id")).distinct().select(
+            F.lit(name).alias("table"), "row_id", F.explode(F.array_distinct(Rule(salt, owners).owner_set(F.col("row_id")))).alias("owner_id"))
         pairs = owned if pairs is None else pairs.unionByName(owned)
-    return Dataset("tpch", tables, pairs.distinct())
+    return Dataset("tpch", tables, pairs)

@@ -6,6 +6,7 @@ from fairlineage.operators import games as G
 from fairlineage.operators import joins as J
 from fairlineage.plans.registry import JoinPlan, plan_for
 from fairlineage.sources import tables as I
+from fairlineage.sources.samples import parquet_dataset
 
 
 def test_json_assignment(spark, tmp_path):
@@ -117,3 +118,18 @@ def test_written_tables_of_many_files(spark, tmp_path):
     tables = I.read_folder(spark, folder, infer=True)
     assert {n: df.count() for n, df in tables.items()} == {"t": 30, "u": 3}
     assert sorted(r["id"] for r in tables["t"].collect()) == list(range(30))
+
+
+def test_lineage_shuffles_ids_once_and_joins_from_behind(spark, sf_dir):
+    ds, plan = parquet_dataset(spark, sf_dir), plan_for("tpch")
+    owned = J.owner_sets(ds.assignment.where("table = 'lineitem'"))
+    assert owned._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    keys = {k for s in plan.steps for k in (*s.left_keys, *s.right_keys)}
+    narrow = {t: df.select(*[c for c in df.columns if c in keys or c == "_row_id"]) for t, df in ds.tables.items()}
+    tables, short = J.fold_tail(narrow, plan)
+    assert [s.table for s in short.steps][-1] == "lineitem" and len(plan.steps) - len(short.steps) == 2
+    want = J.row_ids(J.join_along(narrow, plan, with_assignment=True))
+    got = J.row_ids(J.join_along(tables, short, with_assignment=True)).select(*[f"`{c}`" for c in want.columns])
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    arrays, texts = G.tuple_games(G.lineage(ds)), G.tuple_games(G.lineage(ds, texts=True))
+    assert {(str(r[0]), r[1]) for r in arrays.collect()} == {(str(r[0]), r[1]) for r in texts.collect()}
