@@ -17,6 +17,7 @@ from ..functions.quadrature import nodes_for
 from ..session import cut
 from . import dnf as D
 from .coefficients import union_states
+from .listed import split_games
 from .modules import merge_modules, merge_twins, prime_modules, twins
 
 ABLATIONS = {"no-horizontal": "or", "no-vertical": "and", "no-hybrid": "hybrid"}
@@ -37,8 +38,24 @@ class Step:
 
 @dataclass
 class Decomposition:
+    """Games and how they come apart. With ``names(game_id, shape, place, owner_id)`` the steps are those of ``shapes``, the
+    games' shapes over places, and ``names`` puts the owners back."""
+
     dnf: DataFrame
     steps: list[Step]
+    shapes: DataFrame | None = None
+    names: DataFrame | None = None
+
+    @property
+    def apart(self) -> DataFrame:
+        """The functions that the steps take apart."""
+        return self.dnf if self.shapes is None else self.shapes
+
+    def by_owner(self, found: DataFrame) -> DataFrame:
+        """``found(game_id, owner_id, …)`` of the functions taken apart, for every game that has them."""
+        if self.names is None:
+            return found
+        return self.names.join(found.withColumnsRenamed({"game_id": "shape", "owner_id": "place"}), ["shape", "place"]).drop("shape", "place")
 
 
 def _with_born(groups: DataFrame, made: DataFrame | None) -> DataFrame:
@@ -94,6 +111,31 @@ def decompose(dnf: DataFrame, search_above: int = 0) -> Decomposition:
     return Decomposition(source, steps)
 
 
+def decompose_shapes(dnf: DataFrame, search_above: int = 0) -> Decomposition:
+    """:func:`decompose`, with games that differ in owner names alone taken apart once. How a function comes apart does not
+    depend on names, so the rounds work on shapes, whose number does not grow with the games.
+
+    Games of few owners are relabelled row by row and share shapes, told apart by a 128-bit hash of their text; any other game
+    is a shape of its own, its owners being the places.
+    """
+    source = cut(dnf.where(F.size("term") > 0).select(*D.KEYS))
+    games, rest = split_games(source)
+    ranked = games.select("game_id", S.let(F.col("terms"), lambda fam: S.let(S.owners_by_role(fam), lambda owners: F.struct(
+        S.text_of_family(S.relabel(fam, owners)).alias("text"), owners.alias("owners")))).alias("s"))
+    ranked = cut(ranked.select("game_id", F.md5("s.text").alias("shape"), "s.text", "s.owners"))
+    names = ranked.select("game_id", "shape", F.posexplode("owners").alias("at", "owner_id")).select(
+        "game_id", "shape", (F.col("at") + 1).cast("bigint").alias("place"), "owner_id")
+    shapes = ranked.groupBy("shape").agg(F.min("text").alias("text")).select(
+        F.col("shape").alias("game_id"), F.explode(S.family_of_text(F.col("text"))).alias("term"))
+    if rest is not None:
+        own = rest.withColumn("shape", F.concat(F.lit("game "), F.col("game_id").cast("string")))
+        shapes = shapes.unionByName(own.select(F.col("shape").alias("game_id"), "term"))
+        names = names.unionByName(own.select("game_id", "shape", F.explode("term").alias("owner_id")).distinct().select(
+            "game_id", "shape", F.col("owner_id").alias("place"), "owner_id"))
+    d = decompose(shapes, search_above)
+    return Decomposition(source, d.steps, d.dnf, names)
+
+
 # --- the tree as tables -----------------------------------------------------------------------
 
 
@@ -104,7 +146,7 @@ def paths(d: Decomposition) -> DataFrame:
     deep.
     """
     start = "cast(array() as array<struct<node:string,kind:string>>)"
-    place = D.variables(d.dnf).groupBy("game_id").agg(F.min("owner_id").alias("elem")).withColumn("path", F.expr(start))
+    place = D.variables(d.apart).groupBy("game_id").agg(F.min("owner_id").alias("elem")).withColumn("path", F.expr(start))
     for i in reversed(range(len(d.steps))):
         groups = d.steps[i].groups.select("game_id", F.col("rep").alias("elem"), "kind", "child")
         node = F.struct(F.concat(F.lit(f"{i}:"), F.col("elem").cast("string")).alias("node"), F.col("kind").alias("kind"))
@@ -113,7 +155,8 @@ def paths(d: Decomposition) -> DataFrame:
             "game_id", F.coalesce("child", "elem").alias("elem"),
             F.when(F.col("child").isNull() | F.coalesce((F.size("path") > 0) & merged, F.lit(False)), F.col("path"))
             .otherwise(F.concat("path", F.array(node))).alias("path"))
-    return place.withColumnRenamed("elem", "owner_id")
+    found = place.withColumnRenamed("elem", "owner_id")
+    return found if d.names is None else d.by_owner(cut(found))
 
 
 def _sums(text: str | Column) -> dict[str, Column]:
@@ -223,7 +266,7 @@ def canonical_text(d: Decomposition) -> DataFrame:
 
 def expand(d: Decomposition) -> DataFrame:
     """Multiply the decomposition out again: the inverse of :func:`decompose`."""
-    work = D.variables(d.dnf).groupBy("game_id").agg(F.min("owner_id").alias("o")).select(
+    work = D.variables(d.apart).groupBy("game_id").agg(F.min("owner_id").alias("o")).select(
         "game_id", F.array("o").alias("term"))
     for step in reversed(d.steps):
         choices = step.groups.where("kind = 'or'").select("game_id", "rep", F.array("child").alias("choice"))
@@ -242,7 +285,11 @@ def expand(d: Decomposition) -> DataFrame:
                 "game_id", F.when(F.col("choice").isNull(), F.col("term")).otherwise(
                     S.union(F.col("term"), F.col("choice"))).alias("term"), "_reps")
         work = opened.select(*D.KEYS).distinct()
-    return work
+    if d.names is None:
+        return work
+    # one member after the other gets its owner's name
+    return d.by_owner(D.members(cut(work)).withColumnRenamed("term", "_places")).groupBy("game_id", "_places").agg(
+        F.sort_array(F.collect_list("owner_id")).alias("term")).select(*D.KEYS)
 
 
 # --- ablation ---------------------------------------------------------------------------------
@@ -252,7 +299,7 @@ def ablate(d: Decomposition, ablation: str) -> Decomposition:
     """Undo one kind of split: a node of that kind and all below it become one function of its
     owners, to be solved by inclusion–exclusion."""
     kind = ABLATIONS[ablation]
-    where = D.variables(d.dnf).groupBy("game_id").agg(F.min("owner_id").alias("elem")).withColumns(
+    where = D.variables(d.apart).groupBy("game_id").agg(F.min("owner_id").alias("elem")).withColumns(
         {"leaf_step": F.lit(None).cast("int"), "leaf_rep": F.lit(None).cast("bigint")})
     for i in reversed(range(len(d.steps))):
         groups = d.steps[i].groups.select("game_id", "kind", F.col("rep").alias("elem"), "child")
@@ -263,7 +310,7 @@ def ablate(d: Decomposition, ablation: str) -> Decomposition:
             F.when(hit, F.col("elem")).otherwise(F.col("leaf_rep")).alias("leaf_rep"))
     leaves = cut(where.where("leaf_step is not null").select(
         "game_id", F.col("elem").alias("owner_id"), "leaf_step", F.col("leaf_rep").alias("rep")))
-    functions = cut(D.members(d.dnf).join(leaves, ["game_id", "owner_id"]).groupBy(*D.KEYS, "leaf_step", "rep").agg(
+    functions = cut(D.members(d.apart).join(leaves, ["game_id", "owner_id"]).groupBy(*D.KEYS, "leaf_step", "rep").agg(
         F.sort_array(F.collect_list("owner_id")).alias("_q")).select(
         "game_id", "leaf_step", "rep", F.col("_q").alias("term")).distinct())
     steps = []
@@ -281,7 +328,7 @@ def ablate(d: Decomposition, ablation: str) -> Decomposition:
         groups = cut(groups.select("game_id", "kind", "rep", "child", "born").unionByName(here))
         terms, seen = cut(terms, n=F.count(F.lit(1)))
         steps.append(Step(groups, terms if seen["n"] else None))
-    return Decomposition(d.dnf, steps)
+    return Decomposition(d.dnf, steps, d.shapes, d.names)
 
 
 # --- values -----------------------------------------------------------------------------------
@@ -309,12 +356,18 @@ def _union_rows(step: Step, values: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def synthesise(d: Decomposition) -> DataFrame:
-    """(game_id, owner_id, sv) from a decomposition.
+    """(game_id, owner_id, sv) from a decomposition; games of one shape share its values."""
+    values = _synthesised(d)
+    return values if d.names is None else d.by_owner(cut(values)).select("game_id", "owner_id", "sv")
+
+
+def _synthesised(d: Decomposition) -> DataFrame:
+    """Values of the functions taken apart.
 
     Only merged elements have rows per node. Owners that are merged by the same AND/OR group share
     one value, computed once for the group and joined back.
     """
-    games = D.owner_counts(d.dnf).withColumnRenamed("owners", "n")
+    games = D.owner_counts(d.apart).withColumnRenamed("owners", "n")
     nodes = cut(nodes_for(games))
     values = nodes.select("game_id", F.lit(0).cast("bigint").alias("elem"), F.lit(0).alias("step"), "q",
                           F.lit(0.0).alias("lv"), F.lit(0.0).alias("lw")).where(F.lit(False))
@@ -359,7 +412,7 @@ def synthesise(d: Decomposition) -> DataFrame:
                 F.col("rep")).alias("cls"), F.col("child").alias("owner_id")))
         values = values.unionByName(value) if i else value
     # top-down: one chain of joins; a row that has reached owners waits with its step and class
-    root = D.variables(d.dnf).groupBy("game_id").agg(F.min("owner_id").alias("elem"), F.count(F.lit(1)).alias("n"))
+    root = D.variables(d.apart).groupBy("game_id").agg(F.min("owner_id").alias("elem"), F.count(F.lit(1)).alias("n"))
     slope = root.where("n > 1").join(nodes, "game_id").select(
         "game_id", "elem", "q", F.lit(1.0).alias("g"), F.lit(None).cast("int").alias("step"),
         F.lit(None).cast("bigint").alias("cls"))
@@ -384,5 +437,5 @@ def synthesise(d: Decomposition) -> DataFrame:
 
 def recursive_method(dnf: DataFrame, ablation: str | None = None) -> DataFrame:
     """Values by decomposition; for an ablation every function is searched for modules, whatever its size."""
-    d = decompose(dnf, 0 if ablation else SEARCH_ABOVE)
+    d = decompose_shapes(dnf, 0 if ablation else SEARCH_ABOVE)
     return synthesise(ablate(d, ablation) if ablation else d)

@@ -761,7 +761,7 @@ def twin_owners(spark, sf):
 def _decomposed(spark, sf) -> T.Decomposition:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _trees:
-        _trees[key] = T.decompose(order_games(spark, sf))
+        _trees[key] = T.decompose_shapes(order_games(spark, sf))
     return _trees[key]
 
 
@@ -817,7 +817,7 @@ def recursive_tree_equality(spark, sf):
     lines = _read(spark, sf, "lineitem").select(
         "l_orderkey", ((F.col("l_suppkey") * 5 + 3) % 8).alias("supplier_owner"),
         ((F.col("l_partkey") * 5 + 5 + (F.col("l_returnflag") == "R").cast("int")) % 8).alias("part_owner"))
-    other = T.decompose(G.group_games(lines, "l_orderkey", ["supplier_owner", "part_owner"]))
+    other = T.decompose_shapes(G.group_games(lines, "l_orderkey", ["supplier_owner", "part_owner"]))
     return T.equal_trees(_decomposed(spark, sf), other)
 
 

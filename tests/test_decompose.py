@@ -154,3 +154,23 @@ def test_ring_has_few_seeds(spark):
     assert count["ring"] <= 40 and count["nested"] <= 52, count
     found = {r["game_id"]: set(r["members"]) for r in M.prime_modules(dnf).collect()}
     assert found == {"ring": set(range(1, 41)), "nested": set(range(100, 112))}
+
+
+def test_games_of_one_shape_come_apart_once(spark):
+    from .helpers import substituted_games, values
+
+    rng = random.Random(77)
+    games = substituted_games(rng, 3)
+    ring = {"ring": " + ".join(f"{o} {o % 13 + 1}" for o in range(1, 14))}  # more owners than are listed
+    renamed = {f"{g}/{k}": " + ".join(" ".join(str(int(o) * 7 % 31 + k) for o in t.split()) for t in text.split(" + "))
+               for g, text in {**games, "small": "1 2 + 2 3 + 3 4 + 5"}.items() for k in range(4)}
+    dnf = dnf_table(spark, {**renamed, **ring, "one": "5"})
+    one_by_one, shared = T.decompose(dnf), T.decompose_shapes(dnf)
+    listed = {g for g, text in renamed.items() if len(set(text.replace("+", "").split())) <= 10} | {"one"}
+    shapes = {r["game_id"]: r["shape"] for r in shared.names.select("game_id", "shape").distinct().collect()}
+    assert len({shapes[g] for g in listed}) < len(listed) and len({shapes[f"small/{k}"] for k in range(4)}) == 1
+    for show in (T.tree, T.tree_digests, T.top_modules, T.expand, T.canonical_text):
+        rows = [sorted(str(sorted(r.asDict().items())) for r in show(d).collect()) for d in (one_by_one, shared)]
+        assert rows[0] == rows[1], show.__name__
+    want, got = values(T.synthesise(one_by_one)), values(T.synthesise(shared))
+    assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-9 for k in want)
