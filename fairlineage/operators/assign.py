@@ -154,12 +154,12 @@ def weighted_places(records: DataFrame, weights: DataFrame, seed: int, table: st
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """Add ``pos``, the place of a row in the given order, from 0: a distributed sort, then counts of the sorted files before a row's own."""
+    """Add ``pos``, the place of a row in the given order, from 0: a distributed sort, then counts of the sorted files before a row's own, sent to all tasks."""
     ordered = cut(rows.orderBy(*order))
     at = ordered.select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_at"), *rows.columns)
     starts = at.groupBy("_f").agg(F.count(F.lit(1)).alias("_n")).select("_f", F.expr(
         "sum(_n) over (order by _f rows between unbounded preceding and current row) - _n").alias("_start"))
-    return at.join(starts, "_f").select((F.col("_start") + F.col("_at")).alias("pos"), *rows.columns)
+    return at.join(F.broadcast(starts), "_f").select((F.col("_start") + F.col("_at")).alias("pos"), *rows.columns)
 
 
 def shuffled_rows(records: DataFrame, seed: int, table: str, key: str = "row_id") -> DataFrame:

@@ -25,7 +25,7 @@ from ..sources import derived as X
 from ..sources import results as W
 from ..sources import tables as I
 from ..sources.schemas import schema_of
-from ..sources.samples import ROW_KEYS, parquet_dataset, read_tables
+from ..sources.samples import ROW_KEYS, TABLES, parquet_dataset, read_tables
 from .registry import JoinPlan, JoinStep, plan_for
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,7 +134,7 @@ def _owned_folders(spark: SparkSession, sf: str) -> tuple[str, str]:
         source = parquet_dataset(spark, sf)
         for t, df in read_tables(spark, sf).items():
             I.write_csv(df, f"{data}/{t}.csv")
-            index = I.with_position(I.read_csv(spark, f"{data}/{t}.csv", df.schema)).select(
+            index = I.with_position(I.read_csv(spark, f"{data}/{t}.csv", df.schema), scan=True).select(
                 "pos", F.expr(f"cast({ROW_KEYS[t][0]} as bigint)").alias("row_id"))
             W.write_assignment_json(source.assignment, index, t, owned)
         _files[made] = data, owned
@@ -160,7 +160,7 @@ def row_index_attach(spark, sf):
     tables = {}
     for t, df in read_tables(spark, sf).items():
         rows = I.read_csv(spark, f"{data}/{t}.csv", df.schema)
-        tables[t] = I.attach_row_index(rows, I.read_row_index(spark, f"{owned}/{t}-index.json"))
+        tables[t] = I.attach_row_index(rows, I.read_row_index(spark, f"{owned}/{t}-index.json"), scan=True)
     return _stacked(df.select(
         F.lit(t).alias("table_name"), F.expr(f"cast({ROW_KEYS[t][0]} as bigint)").alias("row_key"),
         F.col(I.ROW_ID).alias("row_id")) for t, df in tables.items())
@@ -231,7 +231,7 @@ def delimited_scan(spark, sf):
     for t, df in read_tables(spark, sf).items():
         names = schema_of(t).fieldNames()
         cells = [F.coalesce(_declared(c, df), F.lit("")) for c in names]
-        I.append_text_row_id(df.select(F.concat_ws("|", *cells).alias("value")), t).write.text(f"{path}/{t}")
+        I.append_text_row_id(df.select(F.concat_ws("|", *cells).alias("value")), t, scan=t in TABLES).write.text(f"{path}/{t}")
         back = I.read_delimited(spark, f"{path}/{t}", t)
         shown = [F.round(F.col(f.name) * 100).cast("bigint") if f.dataType.typeName() == "double" else F.col(f.name)
                  for f in back.schema]
@@ -277,7 +277,7 @@ def copy_buckets(spark, sf):
 
 @query
 def copies_per_record(spark, sf):
-    records = I.with_position(_read(spark, sf, "orders").select("o_orderkey"), "row_id").select("row_id")
+    records = I.with_position(_read(spark, sf, "orders").select("o_orderkey"), "row_id", scan=True).select("row_id")
     counted = A.with_copies(records, A.copy_buckets(records, 500, 4, 3.0))
     return counted.groupBy("copies").agg(F.count(F.lit(1)).alias("records"), F.min("row_id").alias("first_row"))
 
@@ -332,7 +332,7 @@ def starved_owner_repair(spark, sf):
 
 def _numbered_tables(spark, sf):
     """All eight tables with numbered rows."""
-    return {t: I.with_position(df, "row_id").select("row_id") for t, df in read_tables(spark, sf).items()}
+    return {t: I.with_position(df, "row_id", scan=t in TABLES).select("row_id") for t, df in read_tables(spark, sf).items()}
 
 
 @query

@@ -6,7 +6,6 @@ import os
 import re
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -83,33 +82,32 @@ def read_folder(spark: SparkSession, folder: str, infer: bool = False) -> dict[s
     }
 
 
-def _with_split(df: DataFrame) -> DataFrame:
+def _with_split(df: DataFrame, scan: bool) -> DataFrame:
     """Rows with the file and place in it that they come from; what is no plain file scan is written first,
-    so that a row's place is the same in every branch and every retry."""
+    so that a row's place is the same in every branch and every retry. Spark offers a scan's file columns above a distinct
+    as well, where rows of one split are no longer together, so that they resolve says nothing."""
     if {_FILE, _BLOCK} <= set(df.columns):
         return df
-    place = F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK)
-    try:
-        return df.select("*", *place)
-    except AnalysisException:
-        return cut(df).select("*", *place)
+    return (df if scan else cut(df)).select(
+        "*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK))
 
 
-def with_position(df: DataFrame, name: str = "pos") -> DataFrame:
+def with_position(df: DataFrame, name: str = "pos", scan: bool = False) -> DataFrame:
     """0-based position of a row in the order of the scan, without a global sort.
 
     Rows number themselves inside their piece of input; only the pieces' row counts (one row per
-    file split) are summed up in order and joined back. Part files count in name order, whatever their sizes.
+    file split) are summed up in order and sent to all tasks, so rows are not shuffled. Part files count in name order,
+    whatever their sizes. ``scan`` says that ``df`` reads files row by row, without a shuffle, and need not be written first.
     """
     split = [_FILE, _BLOCK]
-    numbered = _with_split(df).withColumn("_mid", F.monotonically_increasing_id())
+    numbered = _with_split(df, scan).withColumn("_mid", F.monotonically_increasing_id())
     counts = numbered.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     running = f"sum(_n) over (order by {', '.join(split)} rows between unbounded preceding and current row)"
     starts = counts.select(
         *[F.col(c).alias(f"_at{i}") for i, c in enumerate(split)],
         F.expr(f"{running} - _n - _first").alias("_shift"))
     same_split = [F.col(c) == F.col(f"_at{i}") for i, c in enumerate(split)]
-    return numbered.join(starts, same_split).withColumn(name, F.col("_mid") + F.col("_shift")).drop(
+    return numbered.join(F.broadcast(starts), same_split).withColumn(name, F.col("_mid") + F.col("_shift")).drop(
         "_mid", "_shift", *split, *[f"_at{i}" for i in range(len(split))])
 
 
@@ -135,9 +133,9 @@ def read_row_index(spark: SparkSession, path: str) -> DataFrame:
     return with_position(pieces).select("pos", "row_id")
 
 
-def attach_row_index(table: DataFrame, index: DataFrame) -> DataFrame:
-    """Give row *i* of the scan the *i*-th id of the index; lengths must agree."""
-    placed = with_position(table, "_pos").join(
+def attach_row_index(table: DataFrame, index: DataFrame, scan: bool = False) -> DataFrame:
+    """Give row *i* of the scan the *i*-th id of the index; lengths must agree. ``scan`` as in :func:`with_position`."""
+    placed = with_position(table, "_pos", scan).join(
         index.select(F.col("pos").alias("_ipos"), F.col("row_id").alias(ROW_ID)),
         F.col("_pos") == F.col("_ipos"), "full")
     return placed.withColumn(
@@ -193,15 +191,15 @@ def load_dataset(spark: SparkSession, name: str, folder: str, assignment: str |
     pairs = None
     for table in tables:
         index = read_row_index(spark, os.path.join(assignment, f"{table}-index.json"))
-        tables[table] = attach_row_index(tables[table], index)
+        tables[table] = attach_row_index(tables[table], index, scan=True)
         owned = read_assignment(spark, os.path.join(assignment, f"{table}-owner.json"), table)
         pairs = owned if pairs is None else pairs.unionByName(owned)
     return Dataset(name, tables, pairs)
 
 
-def append_text_row_id(lines: DataFrame, table: str, column: str = "value") -> DataFrame:
-    """Append ``|<table>.<line number from 1>`` to every line."""
-    return with_position(lines, "_line").select(
+def append_text_row_id(lines: DataFrame, table: str, column: str = "value", scan: bool = False) -> DataFrame:
+    """Append ``|<table>.<line number from 1>`` to every line. ``scan`` as in :func:`with_position`."""
+    return with_position(lines, "_line", scan).select(
         F.concat(F.col(column), F.lit(f"|{table}."), (F.col("_line") + 1).cast("string")).alias(column))
 
 

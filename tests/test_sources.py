@@ -133,3 +133,27 @@ def test_lineage_shuffles_ids_once_and_joins_from_behind(spark, sf_dir):
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
     arrays, texts = G.tuple_games(G.lineage(ds)), G.tuple_games(G.lineage(ds, texts=True))
     assert {(str(r[0]), r[1]) for r in arrays.collect()} == {(str(r[0]), r[1]) for r in texts.collect()}
+
+
+def test_positions_of_a_distinct_table(spark, tmp_path):
+    lines = str(tmp_path / "lines")
+    spark.range(6000).select((F.col("id") * 7919 % 500).alias("a"), (F.col("id") % 3).alias("b")).repartition(7).write.parquet(lines)
+    pairs = spark.read.parquet(lines).distinct()
+    assert sorted(r["pos"] for r in I.with_position(pairs).collect()) == list(range(1500))
+    made = A.assign_dataset({"t": I.with_position(pairs, "row_id").select("row_id")}, A.AssignmentConfig(owners=20, seed=4))
+    assert made.select("row_id").distinct().count() == 1500
+
+
+def test_positions_are_not_shuffled(spark, tmp_path, capsys):
+    path = str(tmp_path / "rows")
+    spark.range(9000).select("id").repartitionByRange(5, "id").write.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = I.with_position(spark.read.parquet(path), scan=True)
+        assert sorted(tuple(r) for r in placed.collect()) == [(i, i) for i in range(9000)]
+        capsys.readouterr()
+        placed.explain()
+        plan = capsys.readouterr().out
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
