@@ -118,27 +118,51 @@ def csv_scan(spark, sf):
     return I.read_csv(spark, path, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
 
 
-_files: dict[tuple[str, str], tuple[str, str]] = {}
+_files: dict[tuple[str, str, str], str] = {}
+
+
+def _files_once(name: str, spark: SparkSession, sf: str, write: Callable[[str], None], folder: str | None = None) -> str:
+    """A folder of files, written once per application and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _files:
+        path = folder or _folder(spark)
+        write(path)
+        _files[key] = path
+    return _files[key]
 
 
 def _data_folder(spark: SparkSession, sf: str) -> str:
     """All eight tables as CSV files of one folder."""
-    return _owned_folders(spark, sf)[0]
+    def write(path: str) -> None:
+        for t, df in read_tables(spark, sf).items():
+            I.write_csv(df, f"{path}/{t}.csv")
 
+    return _files_once("data", spark, sf, write)
 
-def _owned_folders(spark: SparkSession, sf: str) -> tuple[str, str]:
-    """All eight tables as CSV files, and the row index and owner JSON of their assignment; written once per application."""
-    made = (spark.sparkContext.applicationId, sf)
-    if made not in _files:
-        data, owned = _folder(spark), _folder(spark)
-        source = parquet_dataset(spark, sf)
+
+def _indexed_folders(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """All eight tables as CSV files, and the row index JSON of each."""
+    data = _data_folder(spark, sf)
+
+    def write(path: str) -> None:
         for t, df in read_tables(spark, sf).items():
-            I.write_csv(df, f"{data}/{t}.csv")
             index = I.with_position(I.read_csv(spark, f"{data}/{t}.csv", df.schema), scan=True).select(
                 "pos", F.expr(f"cast({ROW_KEYS[t][0]} as bigint)").alias("row_id"))
-            W.write_assignment_json(source.assignment, index, t, owned)
-        _files[made] = data, owned
-    return _files[made]
+            W.write_index_json(index, t, path)
+
+    return data, _files_once("index", spark, sf, write)
+
+
+def _owned_folders(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """All eight tables as CSV files, and the row index and owner JSON of their assignment."""
+    data, owned = _indexed_folders(spark, sf)
+
+    def write(path: str) -> None:
+        assignment = parquet_dataset(spark, sf).assignment
+        for t in ROW_KEYS:
+            W.write_owner_json(assignment, t, path)
+
+    return data, _files_once("owners", spark, sf, write, owned)
 
 
 def _stacked(tables: Iterable[DataFrame]) -> DataFrame:
@@ -156,7 +180,7 @@ def folder_scan(spark, sf):
 @query
 def row_index_attach(spark, sf):
     """Every row of every table with the id that its place in the index gives it."""
-    data, owned = _owned_folders(spark, sf)
+    data, owned = _indexed_folders(spark, sf)
     tables = {}
     for t, df in read_tables(spark, sf).items():
         rows = I.read_csv(spark, f"{data}/{t}.csv", df.schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.report import run_summary
+from ..session import cut
 
 
 def result_document(sv: DataFrame, *, method: str, csv_dir: str | None = None,
@@ -59,6 +60,12 @@ def write_assignment_json(assignment: DataFrame, index: DataFrame, table: str, p
     Each is one JSON document cut into ordered part files (joined in name order they are the
     document), so sorting and writing are spread over tasks.
     """
+    write_owner_json(assignment, table, path)
+    write_index_json(index, table, path)
+
+
+def write_owner_json(assignment: DataFrame, table: str, path: str) -> None:
+    """``<table>-owner.json``."""
     pairs = assignment_lines(assignment, table)
     cells = pairs.select(F.lit(0).alias("part"), "k", F.col("row_id").alias("v")).unionByName(
         pairs.select(F.lit(1).alias("part"), "k", F.col("owner_id").alias("v")))
@@ -70,11 +77,15 @@ def write_assignment_json(assignment: DataFrame, index: DataFrame, table: str, p
             F.format_string('"%d":%d', F.col("k"), F.col("v")),
             F.when(last_of_map & second, "}}").when(last_of_map, "},").otherwise(","))),
         ["part", "k"], f"{path}/{table}-owner.json")
-    end = index.agg(F.max("pos")).scalar()
+
+
+def write_index_json(index: DataFrame, table: str, path: str) -> None:
+    """``<table>-index.json`` of ``index(pos, row_id)``, which is worked out once: the sort reads it twice."""
+    index, seen = cut(index.select("pos", "row_id"), end=F.max("pos"))
     _write_pieces(
         index.withColumn("value", F.concat(
             F.when(F.col("pos") == 0, "[").otherwise(""), F.col("row_id").cast("string"),
-            F.when(F.col("pos") == end, "]").otherwise(","))),
+            F.when(F.col("pos") == F.lit(seen["end"]), "]").otherwise(","))),
         ["pos"], f"{path}/{table}-index.json")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from fairlineage.operators import assign as A
 from fairlineage.operators import games as G
 from fairlineage.operators import joins as J
+from fairlineage.plans import catalog as C
 from fairlineage.plans.registry import JoinPlan, plan_for
 from fairlineage.sources import tables as I
 from fairlineage.sources.samples import parquet_dataset
@@ -157,3 +158,14 @@ def test_positions_are_not_shuffled(spark, tmp_path, capsys):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_row_index_needs_no_owner_files(spark, sf_dir, monkeypatch):
+    def owners(*args):
+        raise AssertionError("owner files were written")
+
+    monkeypatch.setattr(C, "_files", {})
+    monkeypatch.setattr(C.W, "assignment_lines", owners)
+    rows = C.row_index_attach(spark, sf_dir)
+    assert rows.where("row_key <> row_id").count() == 0
+    assert rows.groupBy("table_name").count().count() == 8
