@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.registry import JoinPlan
+from ..plans.registry import JoinPlan, JoinStep
 from ..session import cut
 from ..sources.tables import ROW_ID, Dataset
 
@@ -16,6 +16,10 @@ _PER_ROW = (ROW_ID, OWNERS)
 Resolver = Mapping[str, DataFrame] | Callable[[str], DataFrame]
 
 
+def _shuffled(right: DataFrame, step: JoinStep) -> DataFrame:
+    return right.hint("merge") if step.large else right
+
+
 def join_along(tables: Resolver, plan: JoinPlan, with_assignment: bool, distinct: bool = False) -> DataFrame:
     """Join the plan's tables in order.
 
@@ -33,7 +37,7 @@ def join_along(tables: Resolver, plan: JoinPlan, with_assignment: bool, distinct
         right = right.select(*[
             F.col(f"`{c}`").alias(keys.get(c, f"{c}:{step.table}" if c in taken else c)) for c in right.columns])
         match = [left[f"`{a}`"] == right[keys[b]] for a, b in zip(step.left_keys, step.right_keys)]
-        left = left.join(right, match, step.how if with_assignment else "inner").drop(*keys.values())
+        left = left.join(_shuffled(right, step), match, step.how if with_assignment else "inner").drop(*keys.values())
         if with_assignment:
             names = set(left.columns) - set(step.left_keys)
             left = left.withColumnsRenamed({
@@ -60,7 +64,7 @@ def fold_tail(tables: Mapping[str, DataFrame], plan: JoinPlan) -> tuple[dict[str
         right = right.select(*[
             F.col(f"`{c}`").alias(keys.get(c, f"{c}:{last.table}" if c in taken else c)) for c in right.columns])
         match = [left[f"`{a}`"] == right[keys[b]] for a, b in zip(last.left_keys, last.right_keys)]
-        ready[before.table] = left.join(right, match).drop(*keys.values())
+        ready[before.table] = left.join(_shuffled(right, last), match).drop(*keys.values())
         steps.pop()
     return ready, JoinPlan(plan.init_table, tuple(steps))
 

@@ -7,10 +7,13 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class JoinStep:
+    """``large``: both sides grow with the data, so both are shuffled. Small compressed files would have one of them sent through the driver."""
+
     table: str
     left_keys: tuple[str, ...]
     right_keys: tuple[str, ...]
     how: str = "inner"
+    large: bool = False
 
 
 @dataclass(frozen=True)

@@ -9,8 +9,8 @@ from .tables import Dataset
 
 # lineitem → its order → its customer
 TRADE = register("trade", JoinPlan("lineitem", (
-    JoinStep("orders", ("l_orderkey",), ("o_orderkey",)),
-    JoinStep("customer", ("o_custkey",), ("c_custkey",)),
+    JoinStep("orders", ("l_orderkey",), ("o_orderkey",), large=True),
+    JoinStep("customer", ("o_custkey",), ("c_custkey",), large=True),
 )))
 
 # The matches of a league in the columns of the match data set: an order is a match, suppliers are

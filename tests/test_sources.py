@@ -169,3 +169,9 @@ def test_row_index_needs_no_owner_files(spark, sf_dir, monkeypatch):
     rows = C.row_index_attach(spark, sf_dir)
     assert rows.where("row_key <> row_id").count() == 0
     assert rows.groupBy("table_name").count().count() == 8
+
+
+def test_growing_tables_are_shuffled(spark, sf_dir):
+    from fairlineage.sources.derived import trade_rows
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"  # these files are far smaller
+    assert "Broadcast" not in trade_rows(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
