@@ -60,9 +60,9 @@ def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("game_id",)) ->
 def multiply(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("game_id",),
              drop_constant: bool = True) -> DataFrame:
     """Convolution: degrees add, coefficients multiply. Constant terms of the result are dropped
-    unless asked for."""
+    unless asked for. Both polynomials are shuffled, as either can have a row per game."""
     other = b.select(*keys, F.col("degree").alias("_d"), F.col("coeff").alias("_c"))
-    product = a.join(other, list(keys)).groupBy(*keys, (F.col("degree") + F.col("_d")).alias("degree")).agg(
+    product = a.join(other.hint("merge"), list(keys)).groupBy(*keys, (F.col("degree") + F.col("_d")).alias("degree")).agg(
         _total(_times(F.col("coeff"), F.col("_c"))).alias("coeff")).where("coeff <> 0")
     return product.where("degree <> 0") if drop_constant else product
 

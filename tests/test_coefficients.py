@@ -32,6 +32,14 @@ def test_arithmetic(spark):
     assert C.value_of(a).first()["value"] == 2.0
 
 
+def test_no_polynomial_is_broadcast(spark):
+    p = spark.range(4).selectExpr("id div 2 as game_id", "id % 2 + 1 as degree", "id + 1 as coeff")
+    for made in (C.multiply(p, p), C.vertical(p, p), C.horizontal(p, p)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {(r["game_id"], r["degree"], int(r["coeff"])) for r in C.multiply(p, p).collect()} == {
+        (0, 2, 1), (0, 3, 4), (0, 4, 4), (1, 2, 9), (1, 3, 24), (1, 4, 16)}
+
+
 def times(*polys):
     out = {0: 1}
     for p in polys:
