@@ -100,14 +100,14 @@ def attach_owners(dataset: Dataset) -> dict[str, DataFrame]:
 
     Each table is matched once with its own assignment rows; the joins then carry the sets, and
     joined tuples, of which there are far more, need no lookup of their own. A row nobody owns is
-    an error.
+    an error. Owners are as many as rows, so they are shuffled, never broadcast.
     """
     ready = {}
     for name, df in dataset.tables.items():
         if OWNERS not in df.columns:
             owned = owner_sets(dataset.assignment.where(F.col("table") == name)).select(
                 F.col("row_id").alias("_rid"), F.col("owners").alias(OWNERS))
-            df = df.join(owned, F.col(ROW_ID) == F.col("_rid"), "left").drop("_rid").withColumn(
+            df = df.join(owned.hint("merge"), F.col(ROW_ID) == F.col("_rid"), "left").drop("_rid").withColumn(
                 OWNERS, F.when(F.col(OWNERS).isNull(),
                                F.raise_error(F.lit(f"a row of {name} has no owner")).cast("array<bigint>"))
                 .otherwise(F.col(OWNERS)))

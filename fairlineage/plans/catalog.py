@@ -212,7 +212,7 @@ def dataset_load_without_assignment(spark, sf):
     # left names stay without an assignment, so the chain's keys are named by their first table
     first = {"p_partkey": "ps_partkey", "ps_suppkey": "s_suppkey"}
     chain = plan_for("tpch")
-    steps = tuple(JoinStep(s.table, tuple(first.get(k, k) for k in s.left_keys), s.right_keys, s.how) for s in chain.steps)
+    steps = tuple(JoinStep(s.table, tuple(first.get(k, k) for k in s.left_keys), s.right_keys, s.how, s.large) for s in chain.steps)
     joined = J.join_along(ds.tables, JoinPlan(chain.init_table, steps), with_assignment=False)
     big = [F.col(c).cast("bigint").alias(c) for c in ("s_suppkey", "ps_partkey", "l_orderkey", "o_custkey")]
     return joined.select("r_name", "n_name", "s_name", "p_name", "c_name", "l_linenumber", *big, "o_orderpriority",

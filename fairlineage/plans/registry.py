@@ -26,8 +26,8 @@ class JoinPlan:
         return (self.init_table, *(s.table for s in self.steps))
 
 
-def _step(table: str, left: str, right: str, how: str = "inner") -> JoinStep:
-    return JoinStep(table, tuple(left.split()), tuple(right.split()), how)
+def _step(table: str, left: str, right: str, how: str = "inner", large: bool = False) -> JoinStep:
+    return JoinStep(table, tuple(left.split()), tuple(right.split()), how, large)
 
 
 _PLANS: dict[str, JoinPlan] = {}
@@ -53,11 +53,11 @@ def plan_names() -> list[str]:
 register("tpch", JoinPlan("region", (
     _step("nation", "r_regionkey", "n_regionkey"),
     _step("supplier", "n_nationkey", "s_nationkey"),
-    _step("partsupp", "s_suppkey", "ps_suppkey"),
-    _step("part", "ps_partkey", "p_partkey"),
-    _step("lineitem", "p_partkey ps_suppkey", "l_partkey l_suppkey"),
-    _step("orders", "l_orderkey", "o_orderkey"),
-    _step("customer", "o_custkey", "c_custkey"),
+    _step("partsupp", "s_suppkey", "ps_suppkey", large=True),
+    _step("part", "ps_partkey", "p_partkey", large=True),
+    _step("lineitem", "p_partkey ps_suppkey", "l_partkey l_suppkey", large=True),
+    _step("orders", "l_orderkey", "o_orderkey", large=True),
+    _step("customer", "o_custkey", "c_custkey", large=True),
 )))
 register("soccer", JoinPlan("Match", (
     _step("Country", "country_id", "id"),

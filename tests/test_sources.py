@@ -175,3 +175,10 @@ def test_growing_tables_are_shuffled(spark, sf_dir):
     from fairlineage.sources.derived import trade_rows
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"  # these files are far smaller
     assert "Broadcast" not in trade_rows(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lineage_of_growing_tables_is_shuffled(spark, sf_dir):
+    lineage = G.lineage(parquet_dataset(spark, sf_dir), JoinPlan("partsupp", plan_for("tpch").steps[3:]))
+    rows, plan = lineage.collect(), lineage._jdf.queryExecution().executedPlan().toString()
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
