@@ -174,3 +174,34 @@ def test_games_of_one_shape_come_apart_once(spark):
         assert rows[0] == rows[1], show.__name__
     want, got = values(T.synthesise(one_by_one)), values(T.synthesise(shared))
     assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-9 for k in want)
+
+
+def test_values_of_trees_are_made_row_by_row(spark):
+    """Node values of union states and elements are not shuffled, whether a game has few owners or its tree fits a row."""
+    from fairlineage.operators.listed_trees import values as listed_values
+
+    from .helpers import brute_force, values
+
+    rng = random.Random(8)
+    games = {k: " + ".join(" ".join(map(str, sorted(t))) for t in sorted(map(sorted, m))) for k, m in
+             ((k, {frozenset(t) for t in parse(v)}) for k, v in random_games(rng, 25, owners=8, terms=9).items())}
+    few = T.decompose(dnf_table(spark, games | {"one": "7"}), search_above=12)
+    found = listed_values(few.rows)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = values(T.synthesise(few))
+    want = {(g, o): v for g, text in (games | {"one": "7"}).items() for o, v in brute_force(parse(text)).items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    wide = T.decompose(dnf_table(spark, {"w": " + ".join(f"1 {i} {i + 20}" for i in range(2, 9)), "v": "1 2 + 2 3 + 1 3"}))
+    got, want = values(T.synthesise(wide)), values(T._by_steps(wide))
+    assert wide.wide and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from fairlineage.session import cut
+
+    def kept():
+        return spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+    before = kept()
+    assert cut(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+    assert kept() <= before + 1  # that of the count itself
