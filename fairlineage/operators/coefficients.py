@@ -357,8 +357,81 @@ def expression_polynomial(states: DataFrame, children: DataFrame) -> DataFrame:
         _total(_times(F.col("coeff"), F.col("_w"))).alias("coeff")).where("coeff <> 0"))
 
 
+def _game_interaction(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owners, states as masks, coefficients) of the AND of two functions of one game, each given as (members of all states, how many
+    each state has, coefficients): values of all coalitions are multiplied, and differences give the coefficients back."""
+    owners = np.unique(np.concatenate([a[0], b[0]]))
+    product = np.ones(1 << len(owners), np.int64)
+    for flat, lengths, coeff in (a, b):
+        state = np.repeat(np.arange(len(lengths)), lengths)
+        masks = np.bincount(state, weights=np.left_shift(1, np.searchsorted(owners, flat)), minlength=len(lengths)).astype(np.int64)
+        table = np.zeros(1 << len(owners), np.int64)
+        np.add.at(table, masks, coeff)
+        for i in range(len(owners)):
+            table.reshape(-1, 2, 1 << i)[:, 1] += table.reshape(-1, 2, 1 << i)[:, 0]
+        product *= table
+    for i in range(len(owners)):
+        product.reshape(-1, 2, 1 << i)[:, 1] -= product.reshape(-1, 2, 1 << i)[:, 0]
+    states = np.flatnonzero(product)
+    return owners, states, product[states]
+
+
+def _listed_interactions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 64):
+            part, sides = batch.slice(start, 64), []
+            for column in part.columns[1:]:
+                states = column.flatten()
+                members, ends = states.field("members"), np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))])
+                lengths = np.diff(members.offsets.to_numpy())
+                cells = np.concatenate([[0], np.cumsum(lengths)])
+                flat, coeff = members.flatten().to_numpy(zero_copy_only=False), states.field("coeff").to_numpy(zero_copy_only=False)
+                sides.append([(flat[cells[i]:cells[j]], lengths[i:j], coeff[i:j]) for i, j in zip(ends[:-1], ends[1:])])
+            games, owners, sizes, numbers = [], [], [], []
+            for i, (a, b) in enumerate(zip(*sides)):
+                who, states, found = _game_interaction(a, b)
+                inside, at = np.nonzero((states[:, None] >> np.arange(len(who))) & 1)
+                games.append(np.full(len(states), i))
+                owners.append(who[at])
+                sizes.append(np.bincount(inside, minlength=len(states)))
+                numbers.append(found)
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(np.concatenate(games))), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(owners), pa.int64())),
+                 pa.array(np.concatenate(numbers), pa.int64())], ["game_id", "members", "coeff"])
+
+
 def interaction_states(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The union states of the AND of two functions. The states of ``a`` are dealt over parts, each of which has those of ``b``."""
+    """The union states of the AND of two functions.
+
+    Games of at most ``LISTED`` owners in both and of small coefficients are worked out row by row: the states of both are shuffled by
+    game, their pairs are not. The others are joined by :func:`_joined_interactions`.
+    """
+    ship_package(a.sparkSession)
+    kind = a.schema["game_id"].dataType.simpleString()
+    a, b = (cut(x.where("game_id is not null").select("game_id", "members", _whole(F.col("coeff")).alias("coeff"))) for x in (a, b))
+    owners = a.select("game_id", F.explode_outer("members").alias("o")).unionByName(
+        b.select("game_id", F.explode_outer("members").alias("o"))).distinct().groupBy("game_id").agg(F.count("o").alias("_owners"))
+    # 2^10 coalitions of values below 2^20 · 2^20 stay far below 2^63
+    size = owners
+    for k, side in (("_a", a), ("_b", b)):
+        size = size.join(side.groupBy("game_id").agg(F.sum(F.abs("coeff").cast("double")).alias(k)).hint("merge"), "game_id")
+    few = (F.col("_owners") <= LISTED) & (F.col("_a") <= 1 << 20) & (F.col("_b") <= 1 << 20)
+    games, seen = cut(size.select("game_id", few.alias("_few")), wide=F.count_if(~F.col("_few")))
+    mine, wide = (a, b), None
+    if seen["wide"]:
+        small, large = (games.where(c).select("game_id").hint("merge") for c in ("_few", "not _few"))
+        mine = tuple(x.join(small, "game_id", "left_semi") for x in (a, b))
+        wide = _joined_interactions(*(x.join(large, "game_id", "left_semi") for x in (a, b)))
+    left, right = (x.groupBy("game_id").agg(F.collect_list(F.struct("members", F.col("coeff").cast("bigint").alias("coeff"))).alias(k))
+                   for k, x in zip(("_left", "_right"), mine))
+    found = left.join(right.hint("merge"), "game_id").select("game_id", "_left", "_right").mapInArrow(
+        _listed_interactions, f"game_id {kind}, members array<bigint>, coeff bigint").withColumn("coeff", _whole(F.col("coeff")))
+    return found if wide is None else found.unionByName(wide)
+
+
+def _joined_interactions(a: DataFrame, b: DataFrame) -> DataFrame:
+    """:func:`interaction_states` of games of any size. The states of ``a`` are dealt over parts, each of which has those of ``b``."""
     other = _over_parts(b.select("game_id", F.col("members").alias("_m"), F.col("coeff").alias("_c")), F.lit(PARTS))
     mine = a.withColumn("_part", _part(F.col("members"), F.lit(PARTS)))
     return mine.join(other.hint("merge"), ["game_id", "_part"]).groupBy("game_id", S.union(F.col("members"), F.col("_m")).alias("members")).agg(

@@ -159,3 +159,23 @@ def test_products_of_a_game_are_summed_where_they_are_made(spark):
     assert "Broadcast" not in plan and "degree" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
     assert {(r["game_id"], r["degree"]): int(r["coeff"]) for r in poly.collect()} == {
         ("a", 1): -4, ("a", 2): 10, ("a", 3): -5, ("b", 3): 1 << 101}
+
+
+def test_interaction_states_of_small_games_are_not_paired_in_a_join(spark):
+    """Also where a game has too many owners for a row, or too large a coefficient."""
+    rng = random.Random(4)
+    wide = list(range(20, 33))
+    rows = {k: [(g, sorted(rng.sample(pool, rng.randint(1, 3))), rng.choice([-2, -1, 1, 3]) * big)
+                for g, pool, big in (("a", range(6), 1), ("b", range(8), 1), ("w", wide, 1), ("c", range(4), 1 << 30)) for _ in range(7)]
+            for k in "xy"}
+    a, b = (spark.createDataFrame(rows[k], "game_id string, members array<bigint>, coeff bigint") for k in "xy")
+    want = {}
+    for g, s, c in rows["x"]:
+        for h, t, e in rows["y"]:
+            if g == h:
+                key = (g, tuple(sorted({*s, *t})))
+                want[key] = want.get(key, 0) + c * e
+    got = {(r["game_id"], tuple(r["members"])): int(r["coeff"]) for r in C.interaction_states(a, b).collect()}
+    assert got == {k: c for k, c in want.items() if c}
+    small = C.interaction_states(a.where("game_id < 'c'"), b.where("game_id < 'c'"))
+    assert "_part" not in small._jdf.queryExecution().optimizedPlan().toString()
