@@ -182,3 +182,16 @@ def test_lineage_of_growing_tables_is_shuffled(spark, sf_dir):
     rows, plan = lineage.collect(), lineage._jdf.queryExecution().executedPlan().toString()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+
+
+def test_lineage_lookup_joins_the_tables_once(spark, sf_dir):
+    """The tuples' ids are read again from a written table; files go without shuffle files left behind."""
+    plan = C._melted(spark, sf_dir, written=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+    def kept():
+        return spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+    folder, before = C._folder(spark), kept()
+    I.write_csv(spark.range(50).groupBy((F.col("id") % 3).alias("k")).count(), folder)
+    assert kept() <= before
